@@ -1,0 +1 @@
+"""No stream exists in the capability list, so this package holds nothing yet."""
