@@ -37,43 +37,61 @@ class TokenScorer:
     nbytes: int
 
 
-def _log_units(top: Column, bottom: Column) -> Column:
-    return F.round(F.log(top.cast("double") / bottom.cast("double")) * UNIT).cast("bigint")
-
-
 def train(docs: DataFrame, classes: int) -> TokenScorer:
-    """Learn from rows of `cell`, `class` and `tokens`.
+    """Learn from rows of `cell` (a number from 0), `class` and `tokens`, in one pass over them.
 
     Weight of a token in a class: ln((n + 1) / (N + V)), n its count in the class, N all counts of
-    the class, V the distinct tokens of the cell. Prior: ln((docs + 1) / (docs of the cell + classes)).
-    Counts are partial before the shuffle, so a frequent token does not weigh on one task.
+    the class, V the distinct tokens of the cell. Prior: ln((docs + 1) / (docs of the cell + classes)),
+    from the counts of the token that every document carries once. Counts are partial before the
+    shuffle, so a frequent token does not weigh on one task.
     """
-    counters = [F.count_if(F.col("class") == k).alias(f"n{k}") for k in range(classes)]
-    names = [f"n{k}" for k in range(classes)]
-    n = F.array(*names)
-    counts = docs.select("cell", "class", F.explode("tokens").alias("token")).groupBy("token", "cell").agg(*counters)
-    # One row per cell of the run.
-    totals = counts.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("distinct"), *[F.sum(c).alias(f"all_{c}") for c in names]
-    )
-    weight = F.array(*[_log_units(F.col(c) + 1, F.col(f"all_{c}") + F.col("distinct")) for c in names])
-    known = counts.join(F.broadcast(totals), "cell").select(
-        "token", F.struct("cell", n.alias("n"), weight.alias("weight")).alias("entry")
-    )
-    per_cell = docs.groupBy("cell").agg(*counters)
-    seen = sum((F.col(c) for c in names), F.lit(classes))
-    prior = F.array(*[_log_units(F.col(c) + 1, seen) for c in names])
-    priors = per_cell.select(
-        F.lit(PRIOR_TOKEN).alias("token"), F.struct("cell", n.alias("n"), prior.alias("weight")).alias("entry")
+    n = F.array(*[F.count_if(F.col("class") == k) for k in range(classes)])
+    carried = F.explode(F.concat(F.array(F.lit(PRIOR_TOKEN)), F.col("tokens")))
+    counts = docs.select("cell", "class", carried.alias("token")).groupBy("token", "cell").agg(n.alias("n"))
+    entries = F.array_sort(F.collect_list(F.struct("cell", "n")))
+    stored = materialize(counts.groupBy("token").agg(entries.alias("cells")), "token_counts")
+    totals = cell_totals(stored, classes)
+
+    cells = 1 + max([r["cell"] for r in totals], default=0)
+    bottoms = [[1] * cells for _ in range(classes)]
+    prior_bottom = [1] * cells
+    for r in totals:
+        prior_bottom[r["cell"]] = sum(r["docs"]) + classes
+        for k in range(classes):
+            bottoms[k][r["cell"]] = r["occurrences"][k] + r["distinct"]
+
+    def weighted(entry):
+        is_prior = F.col("token") == PRIOR_TOKEN
+        below = [F.when(is_prior, _at(prior_bottom, entry["cell"])).otherwise(_at(b, entry["cell"])) for b in bottoms]
+        weight = [F.round(F.log((entry["n"][k] + 1) / below[k]) * UNIT).cast("bigint") for k in range(classes)]
+        return F.struct(entry["cell"].alias("cell"), entry["n"].alias("n"), F.array(*weight).alias("weight"))
+
+    weights = stored.select("token", F.transform("cells", weighted).alias("cells"))
+    return TokenScorer(classes, weights, sum(r["nbytes"] for r in totals))
+
+
+def _at(numbers: list[int], position: Column) -> Column:
+    return F.get(F.array(*[F.lit(float(x)) for x in numbers]), position)
+
+
+def cell_totals(stored: DataFrame, classes: int) -> list:
+    """Per cell: documents and occurrences per class, distinct tokens, bytes. One row per cell."""
+    real = F.col("token") != PRIOR_TOKEN
+
+    def per_class(condition):
+        return F.array(*[F.coalesce(F.sum(F.when(condition, F.col("n")[k])), F.lit(0)) for k in range(classes)])
+
+    rows = stored.select("token", F.inline("cells"))
+    return (
+        rows.groupBy("cell")
+        .agg(
+            per_class(~real).alias("docs"),
+            per_class(real).alias("occurrences"),
+            F.count_if(real).alias("distinct"),
+            F.sum(F.octet_length("token") + 48 + 16 * classes).alias("nbytes"),
+        )
+        .collect()
     )
-    weights = known.unionByName(priors).groupBy("token").agg(F.array_sort(F.collect_list("entry")).alias("cells"))
-    return sized(classes, materialize(weights, "token_weight"))
-
-
-def sized(classes: int, weights: DataFrame) -> TokenScorer:
-    """A scorer over a stored table, with its size in bytes of values."""
-    row = F.octet_length("token") + 32 + F.size("cells") * (16 + 16 * classes)
-    return TokenScorer(classes, weights, weights.agg(F.sum(row).alias("nbytes")).first()["nbytes"] or 0)
 
 
 def one_model(docs: DataFrame, label: str, classes: int) -> DataFrame:
@@ -161,7 +179,9 @@ def save_scorer(scorer: TokenScorer, path: str) -> None:
 def load_scorer(spark: SparkSession, path: str) -> TokenScorer:
     weights = spark.read.parquet(path)
     prior = weights.filter(F.col("token") == PRIOR_TOKEN).select(F.size(F.col("cells")[0]["n"]).alias("classes"))
-    return sized(prior.first()["classes"], weights)
+    classes = prior.first()["classes"]
+    totals = cell_totals(weights.select("token", F.transform("cells", lambda c: F.struct(c["cell"].alias("cell"), c["n"].alias("n"))).alias("cells")), classes)
+    return TokenScorer(classes, weights, sum(r["nbytes"] for r in totals))
 
 
 def append_predictions(corpus: DataFrame, predictions: DataFrame, key: Sequence[str], column: str = "senti_pre") -> DataFrame:
