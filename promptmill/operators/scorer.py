@@ -33,6 +33,7 @@ class TokenScorer:
     """
 
     classes: int
+    cells: int
     weights: DataFrame
     nbytes: int
 
@@ -67,7 +68,7 @@ def train(docs: DataFrame, classes: int) -> TokenScorer:
         return F.struct(entry["cell"].alias("cell"), entry["n"].alias("n"), F.array(*weight).alias("weight"))
 
     weights = stored.select("token", F.transform("cells", weighted).alias("cells"))
-    return TokenScorer(classes, weights, sum(r["nbytes"] for r in totals))
+    return TokenScorer(classes, cells, weights, sum(r["nbytes"] for r in totals))
 
 
 def _at(numbers: list[int], position: Column) -> Column:
@@ -128,16 +129,19 @@ def score_cells(
 ) -> DataFrame:
     """keep, cell, units array<bigint>: prior plus the weights of all tokens; unknown ones add nothing.
 
-    `keep` must identify a document. A document's tokens are counted within its row. They meet the
-    broadcast scorer where they are read, and what is shuffled is one row per document and cell;
-    not even that when the documents are already partitioned by `keep`. A scorer over the limit is
-    joined by shuffle, except for its most frequent tokens, which are still broadcast, so that no
-    stop word gathers in one task.
+    `keep` must identify a document. Its tokens meet the broadcast scorer where they are read, and
+    what is shuffled is one row per document and cell; not even that when the documents are already
+    partitioned by `keep`. A scorer over the limit is joined by shuffle, except for its most
+    frequent tokens, which are still broadcast, so that no stop word gathers in one task. Tokens
+    are counted within the row first wherever a repeated one would cost more than that.
     """
     keep = list(keep)
     weights = scorer.weights.select("token", "cells")
     with_prior = F.concat(F.array(F.lit(PRIOR_TOKEN)), F.col("tokens"))
-    counted = docs.select(*keep, F.inline(token_frequencies(with_prior)))
+    if scorer.nbytes <= limit and scorer.cells == 1:
+        counted = docs.select(*keep, F.explode(with_prior).alias("token"), F.lit(1).alias("tf"))
+    else:
+        counted = docs.select(*keep, F.inline(token_frequencies(with_prior)))
     if scorer.nbytes <= limit:
         matched = counted.join(broadcast_if_small(weights, scorer.nbytes, limit), "token")
     else:
@@ -180,8 +184,9 @@ def load_scorer(spark: SparkSession, path: str) -> TokenScorer:
     weights = spark.read.parquet(path)
     prior = weights.filter(F.col("token") == PRIOR_TOKEN).select(F.size(F.col("cells")[0]["n"]).alias("classes"))
     classes = prior.first()["classes"]
-    totals = cell_totals(weights.select("token", F.transform("cells", lambda c: F.struct(c["cell"].alias("cell"), c["n"].alias("n"))).alias("cells")), classes)
-    return TokenScorer(classes, weights, sum(r["nbytes"] for r in totals))
+    totals = cell_totals(weights, classes)
+    cells = 1 + max([r["cell"] for r in totals], default=0)
+    return TokenScorer(classes, cells, weights, sum(r["nbytes"] for r in totals))
 
 
 def append_predictions(corpus: DataFrame, predictions: DataFrame, key: Sequence[str], column: str = "senti_pre") -> DataFrame:

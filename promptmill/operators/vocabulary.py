@@ -43,8 +43,12 @@ def prompt_phrases(spark: SparkSession) -> DataFrame:
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """Occurrences of every token of a `tokens` column; counted before the shuffle."""
-    return docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    """Occurrences of every token of a `tokens` column; counted before the shuffle.
+
+    The outer form keeps Catalyst from adding a size check, which would tokenize every text twice.
+    """
+    each = docs.select(F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull())
+    return each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def most_frequent(counts: DataFrame, k: int) -> DataFrame:

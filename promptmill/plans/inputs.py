@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from promptmill.functions.arrays import dot
 from promptmill.functions.text import tokens
 from promptmill.operators.ordering import row_index, slice_splits, with_slice
+from promptmill.sources.storage import spread
 from promptmill.tasks import TASKS
 
 # Classes of the vector labels.
@@ -18,15 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus, with its row id as `guid`."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("doc_id", "guid")
+
+
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """guid, text_a, label, senti_gold, split: one row per labelled document."""
-    labels = table(spark, sf_dir, "labels")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "guid")
+    docs = documents(spark, sf_dir).select("guid", "text", "lang")
     senti = F.when(F.col("quality") == 0, 0).when(F.col("lang") == "en", 2).otherwise(1)
-    tail = F.col("doc_id") % 10
+    tail = F.col("guid") % 10
     split = F.when(tail < 8, "train").when(tail == 8, "dev").otherwise("test")
-    return docs.join(labels, "doc_id").select(
-        F.col("doc_id").alias("guid"),
+    return docs.join(labels, "guid").select(
+        "guid",
         F.col("text").alias("text_a"),
         F.col("toxic").alias("label"),
         senti.alias("senti_gold"),
@@ -40,7 +46,7 @@ def example_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("guid"), tokens(F.col("text")).alias("tokens"))
+    return documents(spark, sf_dir).select("guid", tokens(F.col("text")).alias("tokens"))
 
 
 def task_of(guid: Column) -> Column:

@@ -63,7 +63,7 @@ def r6(value: Column | str) -> Column:
 @query
 def csv_roundtrip(spark, sf):
     path = new_path(spark, "documents_csv")
-    sinks.write_csv(inputs.table(spark, sf, "documents").withColumnRenamed("doc_id", "guid"), path)
+    sinks.write_csv(inputs.documents(spark, sf), path)
     return corpus.read_csv(spark, path).withColumn("n_chars", F.col("n_chars").cast("bigint"))
 
 
@@ -127,13 +127,9 @@ def sweep_partition_read(spark, sf):
     return corpus.read_sweep(spark, path, 64, 99).select("n", "seed", "rank", "guid", "label")
 
 
-def _documents(spark, sf):
-    return inputs.table(spark, sf, "documents").withColumnRenamed("doc_id", "guid")
-
-
 def _annotated_documents(spark, sf):
     model = stages.learn_sentiment(inputs.examples(spark, sf))
-    return stages.annotate(_documents(spark, sf), model, ["guid"], "text")
+    return stages.annotate(inputs.documents(spark, sf), model, ["guid"], "text")
 
 
 @query
@@ -732,7 +728,7 @@ def stage1_metrics(spark, sf):
 def stage2_annotate(spark, sf):
     model = stages.learn_sentiment(inputs.examples(spark, sf))
     turns = inputs.table(spark, sf, "conversations")
-    documents = stages.annotate(_documents(spark, sf), model, ["guid"], "text")
+    documents = stages.annotate(inputs.documents(spark, sf), model, ["guid"], "text")
     talks = stages.annotate(turns, model, ["conv_id", "turn"], "text")
     return documents.select(
         F.lit("documents").alias("corpus"), "guid", F.lit(0).cast("bigint").alias("turn"), "text", "senti_pre"

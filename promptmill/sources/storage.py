@@ -46,6 +46,17 @@ def broadcast_if_small(df: DataFrame, nbytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if nbytes <= limit else df
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Share out a scan that has fewer splits than the session has cores.
+
+    One large row group would otherwise keep all text work in one task. A corpus with enough
+    splits is left alone, so nothing is shuffled at scale.
+    """
+    if scan.rdd.getNumPartitions() >= scan.sparkSession.sparkContext.defaultParallelism:
+        return scan
+    return scan.repartition(F.col(key))
+
+
 def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A short list of fixed rows as a table that is planned, and broadcast, without a job."""
     names = [part.split()[0] for part in schema.split(", ")]
