@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,8 @@ from promptmill.sources.storage import BROADCAST_BYTES, broadcast_if_small, mate
 UNIT = 1_000_000_000
 # Tokens kept at hand when a scorer is too large to broadcast whole.
 HOT_TOKENS = 20_000
+# Times a sweep may read the documents so that each share of its scorer can be broadcast.
+PASSES = 8
 # Every document carries it once and its weights are the priors; no text can produce it.
 PRIOR_TOKEN = ""
 
@@ -33,9 +36,18 @@ class TokenScorer:
     """
 
     classes: int
-    cells: int
     weights: DataFrame
-    nbytes: int
+    cell_bytes: dict[int, int]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(self.cell_bytes.values())
+
+    def restricted(self, cells: Sequence[int]) -> TokenScorer:
+        """The same weights for some of the cells."""
+        kept = F.filter("cells", lambda c: c["cell"].isin(list(cells)))
+        weights = self.weights.withColumn("cells", kept)
+        return TokenScorer(self.classes, weights, {c: self.cell_bytes[c] for c in cells})
 
 
 def train(docs: DataFrame, classes: int) -> TokenScorer:
@@ -64,11 +76,14 @@ def train(docs: DataFrame, classes: int) -> TokenScorer:
     def weighted(entry):
         is_prior = F.col("token") == PRIOR_TOKEN
         below = [F.when(is_prior, _at(prior_bottom, entry["cell"])).otherwise(_at(b, entry["cell"])) for b in bottoms]
-        weight = [F.round(F.log((entry["n"][k] + 1) / below[k]) * UNIT).cast("bigint") for k in range(classes)]
+        weight = [F.rint(F.log((entry["n"][k] + 1) / below[k]) * UNIT).cast("bigint") for k in range(classes)]
         return F.struct(entry["cell"].alias("cell"), entry["n"].alias("n"), F.array(*weight).alias("weight"))
 
     weights = stored.select("token", F.transform("cells", weighted).alias("cells"))
-    return TokenScorer(classes, cells, weights, sum(r["nbytes"] for r in totals))
+    if cells > 1:
+        # A sweep may be read in several shares; its weights are worked out once.
+        weights = materialize(weights, "token_weights")
+    return TokenScorer(classes, weights, {r["cell"]: r["nbytes"] for r in totals})
 
 
 def _at(numbers: list[int], position: Column) -> Column:
@@ -124,6 +139,18 @@ def token_frequencies(tokens: Column) -> Column:
     return let(F.sort_array(tokens), from_sorted)
 
 
+def shares(scorer: TokenScorer, limit: int) -> list[list[int]]:
+    """Cells in groups whose weights fit the limit together; a cell over the limit stands alone."""
+    groups, filled = [], limit + 1
+    for cell in sorted(scorer.cell_bytes):
+        if filled + scorer.cell_bytes[cell] > limit:
+            groups.append([])
+            filled = 0
+        groups[-1].append(cell)
+        filled += scorer.cell_bytes[cell]
+    return groups
+
+
 def score_cells(
     docs: DataFrame, scorer: TokenScorer, keep: Sequence[str] = ("guid",), limit: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -131,37 +158,46 @@ def score_cells(
 
     `keep` must identify a document. Its tokens meet the broadcast scorer where they are read, and
     what is shuffled is one row per document and cell; not even that when the documents are already
-    partitioned by `keep`. A scorer over the limit is joined by shuffle, except for its most
-    frequent tokens, which are still broadcast, so that no stop word gathers in one task. Tokens
-    are counted within the row first wherever a repeated one would cost more than that.
+    partitioned by `keep`. A sweep over the limit is broadcast in a few shares. Beyond that the
+    scorer is joined by shuffle, except for its most frequent tokens, which are still broadcast, so
+    that no stop word gathers in one task.
     """
     keep = list(keep)
-    weights = scorer.weights.select("token", "cells")
+    groups = shares(scorer, limit)
+    if len(groups) > 1 and len(groups) <= PASSES and max(scorer.cell_bytes.values()) <= limit:
+        parts = [score_cells(docs, scorer.restricted(g), keep, limit) for g in groups]
+        return reduce(DataFrame.unionByName, parts)
     with_prior = F.concat(F.array(F.lit(PRIOR_TOKEN)), F.col("tokens"))
-    if scorer.nbytes <= limit and scorer.cells == 1:
-        counted = docs.select(*keep, F.explode(with_prior).alias("token"), F.lit(1).alias("tf"))
-    else:
-        counted = docs.select(*keep, F.inline(token_frequencies(with_prior)))
+    names = [f"units{k}" for k in range(scorer.classes)]
     if scorer.nbytes <= limit:
-        matched = counted.join(broadcast_if_small(weights, scorer.nbytes, limit), "token")
+        if len(scorer.cell_bytes) == 1:
+            counted = docs.select(*keep, F.explode(with_prior).alias("token"), F.lit(1).alias("tf"))
+        else:
+            # Many cells share each match, so a repeated token is worth counting within its row.
+            counted = docs.select(*keep, F.inline(token_frequencies(with_prior)))
+        matched = counted.join(broadcast_if_small(flat(scorer.weights, names), scorer.nbytes, limit), "token")
     else:
-        head = F.broadcast(hot_tokens(scorer))
-        first = counted.join(head, "token", "left")
-        rare = first.filter(F.col("cells").isNull()).drop("cells").join(weights, "token")
+        counted = docs.select(*keep, F.inline(token_frequencies(with_prior)))
+        first = counted.join(F.broadcast(flat(hot_tokens(scorer), names)), "token", "left")
+        rare = first.filter(F.col("cells").isNull()).drop("cells").join(flat(scorer.weights, names), "token")
         matched = first.filter(F.col("cells").isNotNull()).unionByName(rare)
-    entries = matched.select(*keep, "tf", F.explode("cells").alias("entry"))
-    sums = entries.groupBy(*keep, F.col("entry.cell").alias("cell")).agg(
-        *[F.sum(F.get("entry.weight", F.lit(k)) * F.col("tf")).alias(f"units{k}") for k in range(scorer.classes)]
-    )
-    return sums.select(*keep, "cell", F.array(*[f"units{k}" for k in range(scorer.classes)]).alias("units"))
+    entries = matched.select(*keep, "tf", F.inline("cells"))
+    sums = entries.groupBy(*keep, "cell").agg(*[F.sum(F.col(u) * F.col("tf")).alias(u) for u in names])
+    return sums.select(*keep, "cell", F.array(*names).alias("units"))
+
 
+def flat(weights: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Weights in their smallest form for a join: token, cells array<struct<cell, units0, ...>>."""
+    entry = lambda c: F.struct(c["cell"].alias("cell"), *[c["weight"][k].alias(u) for k, u in enumerate(names)])
+    return weights.select("token", F.transform("cells", entry).alias("cells"))
 
-def hot_tokens(scorer: TokenScorer, k: int = HOT_TOKENS) -> DataFrame:
+
+def hot_tokens(scorer: TokenScorer, k: int | None = None) -> DataFrame:
     """The k most frequent tokens of a scorer, the prior always among them."""
     in_cell = F.transform("cells", lambda c: F.aggregate(c["n"], F.lit(0).cast("bigint"), lambda acc, x: acc + x))
     frequency = F.aggregate(in_cell, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     order = [(F.col("token") == PRIOR_TOKEN).desc(), frequency.desc(), F.col("token")]
-    return scorer.weights.orderBy(*order).limit(k).select("token", "cells")
+    return scorer.weights.orderBy(*order).limit(k or HOT_TOKENS)
 
 
 def decide(units: Column) -> tuple[Column, Column]:
@@ -185,8 +221,7 @@ def load_scorer(spark: SparkSession, path: str) -> TokenScorer:
     prior = weights.filter(F.col("token") == PRIOR_TOKEN).select(F.size(F.col("cells")[0]["n"]).alias("classes"))
     classes = prior.first()["classes"]
     totals = cell_totals(weights, classes)
-    cells = 1 + max([r["cell"] for r in totals], default=0)
-    return TokenScorer(classes, cells, weights, sum(r["nbytes"] for r in totals))
+    return TokenScorer(classes, weights, {r["cell"]: r["nbytes"] for r in totals})
 
 
 def append_predictions(corpus: DataFrame, predictions: DataFrame, key: Sequence[str], column: str = "senti_pre") -> DataFrame:

@@ -84,30 +84,23 @@ def sweep(
 ) -> DataFrame:
     """n, seed, split and the binary metrics: all runs learn, predict and are judged together.
 
-    The runs are lanes of one scorer. Seeds are split into groups whose weights fit the broadcast
-    limit, so the held-out texts are read once per group, not once per run.
+    The runs are cells of one scorer. Every sampled text is tokenized once, whatever the number of
+    samples it is in, and the held-out texts are read once for all runs.
     """
     train_rows = examples.filter(F.col("split") == "train")
-    drawn = materialize(few_shot(train_rows.select("guid"), seeds, max(sizes)), "few_shot")
-    # At most len(seeds) * max(sizes) keys.
-    texts = materialize(
-        prompt_features(train_rows.join(F.broadcast(drawn), "guid")), "few_shot_texts"
+    drawn = few_shot(train_rows.select("guid"), seeds, max(sizes)).groupBy("guid").agg(
+        F.collect_list(F.struct("seed", "rank")).alias("draws")
     )
-    held_out = prompt_features(examples.filter(F.col("split") != "train"))
-
+    # At most len(seeds) * max(sizes) keys, with at most one draw per seed each.
+    texts = train_rows.join(F.broadcast(materialize(drawn, "few_shot")), "guid")
+    stored = materialize(prompt_features(texts).select("label", "tokens", "draws"), "few_shot_texts")
     grid = sweep_grid(examples.sparkSession, sizes, seeds)
-
-    def scored(group: Sequence[int]) -> DataFrame:
-        member = texts.filter(F.col("seed").isin(list(group))).withColumn(
-            "n", F.explode(sizes_holding(F.col("rank"), sizes))
-        )
-        rows = member.join(F.broadcast(grid), ["n", "seed"]).select("cell", F.col("label").alias("class"), "tokens")
-        scorer = train(rows, classes)
-        if scorer.nbytes > limit and len(group) > 1:
-            half = len(group) // 2
-            return scored(group[:half]).unionByName(scored(group[half:]))
-        cells = score_cells(held_out, scorer, ["guid", "split", "label"], limit)
-        return cells.select("cell", "split", "label", decide(F.col("units"))[0])
-
-    judged = binary_metrics(scored(list(seeds)), ["cell", "split"])
+    member = stored.select("label", "tokens", F.inline("draws")).withColumn(
+        "n", F.explode(sizes_holding(F.col("rank"), sizes))
+    )
+    rows = member.join(F.broadcast(grid), ["n", "seed"]).select("cell", F.col("label").alias("class"), "tokens")
+    scorer = train(rows, classes)
+    held_out = prompt_features(examples.filter(F.col("split") != "train"))
+    cells = score_cells(held_out, scorer, ["guid", "split", "label"], limit)
+    judged = binary_metrics(cells.select("cell", "split", "label", decide(F.col("units"))[0]), ["cell", "split"])
     return judged.join(F.broadcast(grid), "cell").drop("cell")

@@ -62,6 +62,12 @@ def test_repeated_tokens_within_a_row(spark):
     assert {r["guid"]: [tuple(x) for x in r["f"]] for r in got} == {1: [("", 1), ("a", 2), ("b", 3)], 2: [("x", 1)]}
 
 
+def test_shares_fit_the_limit():
+    model = scorer.TokenScorer(2, None, {0: 5, 1: 5, 2: 9, 3: 30, 4: 1})
+    assert scorer.shares(model, 10) == [[0, 1], [2], [3], [4]]
+    assert scorer.shares(model, 100) == [[0, 1, 2, 3, 4]]
+
+
 def test_cells_learn_apart(spark):
     rows = corpus_rows(90)
     cells = spark.createDataFrame(
@@ -92,7 +98,7 @@ def test_save_and_load(spark, tmp_path):
     model = scorer.train(scorer.one_model(rows, "label", 3), 3)
     scorer.save_scorer(model, str(tmp_path / "m"))
     again = scorer.load_scorer(spark, str(tmp_path / "m"))
-    assert (again.classes, again.cells, again.nbytes) == (model.classes, model.cells, model.nbytes)
+    assert (again.classes, again.cell_bytes) == (model.classes, model.cell_bytes)
     assert scored(rows, again) == scored(rows, model)
 
 
@@ -113,13 +119,13 @@ def test_evaluation_labels_do_not_reach_predictions(spark, sf):
     assert {r["guid"]: r["pred"] for r in stages.classify(flipped, 32, 9)[1].collect()} == want
 
 
-def test_sweep_in_seed_groups_equals_one_group(spark, sf):
+def test_sweep_in_shares_or_by_shuffle_equals_one_broadcast(spark, sf):
     rows = inputs.examples(spark, sf).withColumn("senti_pre", F.col("senti_gold"))
     whole = stages.sweep(rows, (16, 64), (9, 99, 11))
-    parts = stages.sweep(rows, (16, 64), (9, 99, 11), limit=1)
     key = ["n", "seed", "split"]
     order = lambda df: [r.asDict() for r in df.orderBy(*key).collect()]
-    assert order(whole) == order(parts)
+    for limit in (1, 2_000_000):
+        assert order(whole) == order(stages.sweep(rows, (16, 64), (9, 99, 11), limit=limit))
     single = stages.classify(rows, 64, 99)[1].filter("split = 'test'")
     right = single.filter("label = pred").count() / single.count()
     mine = whole.filter("n = 64 AND seed = 99 AND split = 'test'").first()
