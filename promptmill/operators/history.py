@@ -5,10 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptmill.operators.ordering import row_index, running_max_before, step_slice
+from promptmill.operators.ordering import linked, step_slice
+from promptmill.sources.storage import materialize
 
 # Fixed value: the score every first evaluation has to beat.
 START_SCORE = -1.0
@@ -20,9 +21,9 @@ def due(step: Column, every: int) -> Column:
 
 
 def best_so_far(history: DataFrame) -> DataFrame:
-    """Add `best_before`, the best earlier score, and `improved`, 1 when it is strictly beaten."""
+    """Add `eval_no`, `best_before`, the best earlier score, and `improved`, 1 when it is strictly beaten."""
     sliced = history.withColumn("slice", step_slice(F.col("step")))
-    best = running_max_before(sliced, "value", ["step"], "slice", ["run"], "best_before")
+    best = linked(sliced, ["step"], "slice", ["run"], index="eval_no", tops={"best_before": "value"})
     best_before = F.greatest(F.coalesce("best_before", F.lit(START_SCORE)), F.lit(START_SCORE))
     return best.withColumn("best_before", best_before).withColumn(
         "improved", (F.col("value") > F.col("best_before")).cast("int")
@@ -33,14 +34,13 @@ def early_stop(history: DataFrame, patience: int) -> DataFrame:
     """run, n_evals, stop_step: where `patience` evaluations in a row brought no improvement.
 
     The streak at an evaluation is its number minus the number of the last improving one, so it
-    needs a running maximum, not a loop. `stop_step` is null for runs that never stop early, and
-    for all runs when `patience` is 0 or less.
+    needs a running maximum, not a loop. The judged rows are stored between the two passes over
+    them. `stop_step` is null for runs that never stop early, and for all runs when `patience` is 0
+    or less.
     """
-    judged = best_so_far(row_index(
-        history.withColumn("slice", step_slice(F.col("step"))), ["step"], "slice", ["run"], "eval_no"
-    ).drop("slice"))
-    marked = judged.withColumn("improved_at", F.when(F.col("improved") == 1, F.col("eval_no")))
-    last = running_max_before(marked, "improved_at", ["step"], "slice", ["run"], "last_before")
+    improved_at = F.when(F.col("improved") == 1, F.col("eval_no")).alias("improved_at")
+    judged = materialize(best_so_far(history).select("run", "step", "slice", "eval_no", improved_at), "judged")
+    last = linked(judged, ["step"], "slice", ["run"], tops={"last_before": "improved_at"})
     streak = F.col("eval_no") - F.coalesce(F.greatest("improved_at", "last_before"), F.lit(0))
     stops = F.when((F.lit(patience) > 0) & (streak >= patience), F.col("step"))
     return last.groupBy("run").agg(F.count(F.lit(1)).alias("n_evals"), F.min(stops).alias("stop_step"))

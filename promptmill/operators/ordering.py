@@ -52,44 +52,49 @@ def _before(group: Sequence[str], slice_column: str):
     )
 
 
-def row_index(
-    df: DataFrame, order: Sequence[str], slice_column: str = "slice", group: Sequence[str] = (), out: str = "idx"
+def linked(
+    df: DataFrame,
+    order: Sequence[str],
+    slice_column: str,
+    group: Sequence[str],
+    index: str | None = None,
+    tops: dict[str, str] | None = None,
 ) -> DataFrame:
-    """1-based position of every row in its group, by order; slices must follow the order."""
-    group = list(group)
-    sizes = df.groupBy(*group, slice_column).agg(F.count(F.lit(1)).alias("rows_in_slice"))
+    """Add the 1-based position of every row in its group, as `index`, and running maxima.
+
+    `tops` names, for each added column, the column whose largest value over the earlier rows of
+    the group it holds; null on the first row. Slices must follow the order. The rows are shuffled
+    once, by group and slice; one row per slice is linked across the group.
+    """
+    group, tops = list(group), tops or {}
+    key = [*group, slice_column]
+    sizes = df.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("slice_rows"), *[F.max(value).alias(f"{out}_slice") for out, value in tops.items()]
+    )
+    before = _before(group, slice_column)
     starts = sizes.select(
-        *group,
-        slice_column,
-        F.coalesce(F.sum("rows_in_slice").over(_before(group, slice_column)), F.lit(0)).alias("rows_before"),
+        *key,
+        F.coalesce(F.sum("slice_rows").over(before), F.lit(0)).alias("rows_before"),
+        *[F.max(f"{out}_slice").over(before).alias(f"{out}_before") for out in tops],
     )
-    inside = Window.partitionBy(*group, slice_column).orderBy(*order)
-    return (
-        df.withColumn("row_in_slice", F.row_number().over(inside))
-        .join(starts, [*group, slice_column])
-        .withColumn(out, F.col("rows_before") + F.col("row_in_slice"))
-        .drop("rows_before", "row_in_slice")
+    inside = Window.partitionBy(*key).orderBy(*order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.select(
+        "*",
+        F.row_number().over(inside).alias("row_in_slice"),
+        *[F.max(value).over(earlier).alias(f"{out}_inside") for out, value in tops.items()],
     )
+    added = [F.greatest(f"{out}_before", f"{out}_inside").alias(out) for out in tops]
+    if index:
+        added.append((F.col("rows_before") + F.col("row_in_slice")).alias(index))
+    return placed.join(starts, key).select(*[F.col(c) for c in df.columns], *added)
 
 
-def running_max_before(
-    df: DataFrame, value: str, order: Sequence[str], slice_column: str, group: Sequence[str], out: str
+def row_index(
+    df: DataFrame, order: Sequence[str], slice_column: str = "slice", group: Sequence[str] = (), out: str = "idx"
 ) -> DataFrame:
-    """Largest value over the earlier rows of the group; null on the first."""
-    group = list(group)
-    tops = df.groupBy(*group, slice_column).agg(F.max(value).alias("slice_top"))
-    starts = tops.select(
-        *group, slice_column, F.max("slice_top").over(_before(group, slice_column)).alias("top_before")
-    )
-    inside = (
-        Window.partitionBy(*group, slice_column).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        df.withColumn("top_in_slice", F.max(value).over(inside))
-        .join(starts, [*group, slice_column])
-        .withColumn(out, F.greatest("top_before", "top_in_slice"))
-        .drop("top_before", "top_in_slice")
-    )
+    """1-based position of every row in its group."""
+    return linked(df, order, slice_column, group, index=out)
 
 
 def smallest_per_group(

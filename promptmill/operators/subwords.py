@@ -12,6 +12,8 @@ from promptmill.operators.vocabulary import SPECIAL_TOKENS, most_frequent, token
 
 INNER = "##"
 LONGEST_PIECE = 8
+# Longer runs of letters are no words; they become one unknown mark, as word-piece models do.
+LONGEST_WORD = 100
 
 
 def subword_vocab(docs: DataFrame, size: int, longest: int = LONGEST_PIECE) -> DataFrame:
@@ -19,26 +21,23 @@ def subword_vocab(docs: DataFrame, size: int, longest: int = LONGEST_PIECE) -> D
 
     Words are counted before they are cut into pieces, so a frequent word is cut once.
     """
-    words = token_counts(docs)
-    lengths = F.sequence(F.lit(1), F.lit(longest))
-    starts = F.sequence(F.lit(1), F.length("token"))
-    pieces = F.flatten(
-        F.transform(
-            starts,
-            lambda s: F.transform(
-                F.filter(lengths, lambda n: s + n - 1 <= F.length("token")),
-                lambda n: F.concat(F.when(s > 1, INNER).otherwise(""), F.substring(F.col("token"), s, n)),
-            ),
-        )
-    )
-    counted = (
-        words.select(F.explode(pieces).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
+    words = token_counts(docs).filter(F.length("token") <= LONGEST_WORD)
+    letters = F.sequence(F.lit(1), F.length("token"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("token") - F.col("start") + 1))
+    lead = F.when(F.col("start") > 1, INNER).otherwise("")
+    pieces = (
+        words.select("token", "n", F.explode(letters).alias("start"))
+        .select("token", "n", "start", F.explode(sizes).alias("size"))
+        .select(F.concat(lead, F.substring("token", F.col("start"), F.col("size"))).alias("token"), "n")
     )
+    counted = pieces.groupBy("token").agg(F.sum("n").alias("n"))
     return most_frequent(counted, size).withColumnRenamed("token", "piece")
 
 
 def split_word(word: str, pieces: frozenset, longest: int, unknown: str) -> list[str]:
     """The longest known piece at each position; one unknown mark when a position has none."""
+    if len(word) > LONGEST_WORD:
+        return [unknown]
     out, at = [], 0
     while at < len(word):
         lead = INNER if at else ""
