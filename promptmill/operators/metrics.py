@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptmill.functions.arrays import cross_entropy, gather
+from promptmill.functions.arrays import cross_entropy, gather, softmax
 from promptmill.operators.ordering import slice_splits, with_slice
+from promptmill.operators.sampling import assign_batches
 from promptmill.sources.storage import materialize
 
 
@@ -144,3 +146,20 @@ def metric_log(metrics: DataFrame, keys: Sequence[str], names: Sequence[str]) ->
     """One row per metric: the keys, `metric`, `value`."""
     doubles = metrics.select(*keys, *[F.col(n).cast("double").alias(n) for n in names])
     return doubles.unpivot(list(keys), list(names), "metric", "value")
+
+
+def evaluate(scored: DataFrame, task_type: str, classes: Sequence[int], batch_size: int, split: str) -> DataFrame:
+    """split, metric, value: all metrics of a task type, and the loss, from stored predictions.
+
+    `scored` holds guid, label, pred and logits. It is read once per family of metrics, so it should
+    be a stored table. An unknown task type is treated as binary, as everything but `multiclass` is.
+    """
+    if task_type == "multiclass":
+        ranked = auroc_ovo(scored.select("label", softmax(F.col("logits")).alias("probs")), classes)
+        families = [(macro_metrics(scored), ["accuracy", "f1_score"]), (ranked, ["AUROC_score"])]
+    else:
+        families = [(binary_metrics(scored), ["precision", "accuracy", "f1_score"])]
+    batches = assign_batches(with_cross_entropy(scored, "label"), batch_size)
+    families.append((reported_loss(batch_losses(batches)), ["loss"]))
+    logs = [metric_log(df.withColumn("split", F.lit(split)), ["split"], names) for df, names in families]
+    return reduce(DataFrame.unionByName, logs)

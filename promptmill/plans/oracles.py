@@ -85,6 +85,13 @@ SOFTMAX = """shifted AS (
     SELECT guid, label, class, exp(logit - max(logit) OVER (PARTITION BY guid)) AS e FROM logits10),
     probs AS (SELECT guid, label, class, e / sum(e) OVER (PARTITION BY guid) AS prob FROM shifted)"""
 
+AUROC_PAIRS = """pairs AS (
+    SELECT p.class, o.label AS other,
+           sum(CASE WHEN round(p.prob, 12) > round(o.prob, 12) THEN 1.0::DOUBLE
+                    WHEN round(p.prob, 12) = round(o.prob, 12) THEN 0.5::DOUBLE ELSE 0::DOUBLE END) / count(*) AS auc
+    FROM probs p JOIN probs o ON o.class = p.class AND o.label <> p.class
+    WHERE p.label = p.class GROUP BY ALL)"""
+
 HISTORY = """history AS (
     SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value,
            json_extract_string(props, '$.k')::DOUBLE / 100 AS test_value FROM events)"""
@@ -244,6 +251,15 @@ def scored(name: str, model: str, rows: str, key: str = "guid") -> str:
         QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY units DESC, class) = 1)"""
 
 
+def unit_losses(name: str, units: str, rows: str) -> str:
+    """Cross-entropy of every row from its logits in whole units."""
+    return f"""{name} AS (
+        SELECT u.guid, e.label, max(units) / 1e9 + ln(sum(exp((units - top) / 1e9)))
+               - max(units) FILTER (class = e.label) / 1e9 AS ce
+        FROM (SELECT *, max(units) OVER (PARTITION BY guid) AS top FROM {units}) u
+        JOIN {rows} e ON e.guid = u.guid GROUP BY u.guid, e.label)"""
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",\n    ".join(parts) + "\n"
 
@@ -391,11 +407,7 @@ def statements() -> dict[str, str]:
             scored("ex", "toxic", "ex"),
             "preds AS (SELECT e.guid, split, label, pred FROM ex e JOIN ex_pred USING (guid) WHERE split <> 'train')",
             f"judged AS ({binary('preds', 'split')})",
-            """ces AS (
-                SELECT u.guid, e.label, max(units) / 1e9 + ln(sum(exp((units - top) / 1e9)))
-                       - max(units) FILTER (class = e.label) / 1e9 AS ce
-                FROM (SELECT *, max(units) OVER (PARTITION BY guid) AS top FROM ex_units) u
-                JOIN train_rows e ON e.guid = u.guid GROUP BY u.guid, e.label)""",
+            unit_losses("ces", "ex_units", "train_rows"),
             batches("batched", "ces", q.TRAIN_BATCH),
             BATCH_LOSS,
         )
@@ -527,15 +539,38 @@ def statements() -> dict[str, str]:
         with_(
             VECTOR_LOGITS,
             SOFTMAX,
-            """pairs AS (
-                SELECT p.class, o.label AS other,
-                       sum(CASE WHEN round(p.prob, 12) > round(o.prob, 12) THEN 1.0::DOUBLE
-                                WHEN round(p.prob, 12) = round(o.prob, 12) THEN 0.5::DOUBLE ELSE 0::DOUBLE END) / count(*) AS auc
-                FROM probs p JOIN probs o ON o.class = p.class AND o.label <> p.class
-                WHERE p.label = p.class GROUP BY ALL)""",
+            AUROC_PAIRS,
         )
         + f"SELECT {rnd('avg(auc)')} AS AUROC_score, (90 - count(*))::BIGINT AS undefined_pairs FROM pairs"
     )
+    found, body = macro("preds")
+    out["evaluate_task_types"] = (
+        with_(
+            VECTOR_LOGITS,
+            VECTOR_PREDICTIONS,
+            found,
+            f"many AS ({body})",
+            SOFTMAX,
+            AUROC_PAIRS,
+            CE_FULL,
+            batches("vector_batches", "ce_full", q.BATCH),
+            "vector_loss AS (SELECT sum(loss) AS loss FROM (SELECT avg(ce) AS loss FROM vector_batches GROUP BY batch_id))",
+            *TOXIC,
+            "test_rows AS (SELECT * FROM ex WHERE split = 'test')",
+            scored("test", "toxic", "test_rows"),
+            "test_preds AS (SELECT t.*, pred FROM test_rows t JOIN test_pred USING (guid))",
+            f"two AS ({binary('test_preds')})",
+            unit_losses("test_ce", "test_units", "test_rows"),
+            batches("test_batches", "test_ce", q.TRAIN_BATCH),
+            "test_loss AS (SELECT sum(loss) AS loss FROM (SELECT avg(ce) AS loss FROM test_batches GROUP BY batch_id))",
+        )
+        + f"""SELECT 'all' AS split, metric, value FROM (UNPIVOT many ON accuracy, f1_score INTO NAME metric VALUE value)
+          UNION ALL SELECT 'all', 'AUROC_score', {rnd("avg(auc)")} FROM pairs
+          UNION ALL SELECT 'all', 'loss', {rnd("loss")} FROM vector_loss
+          UNION ALL SELECT 'test', metric, value
+          FROM (UNPIVOT two ON precision, accuracy, f1_score INTO NAME metric VALUE value)
+          UNION ALL SELECT 'test', 'loss', {rnd("loss")} FROM test_loss"""
+    )
     out["sweep_steps"] = (
         with_(EXAMPLES, SAMPLE, CELLS)
         + f"""SELECT n, seed, (ceil(n_rows / {q.TRAIN_BATCH}) * {q.EPOCHS})::BIGINT AS steps,

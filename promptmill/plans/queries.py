@@ -471,6 +471,15 @@ def auroc_ovo(spark, sf):
     return result.select(r6("AUROC_score").alias("AUROC_score"), "undefined_pairs")
 
 
+@query
+def evaluate_task_types(spark, sf):
+    vectors = inputs.vector_logits(spark, sf).withColumn("pred", argmax(F.col("logits")))
+    several = metrics.evaluate(materialize(vectors, "scores"), "multiclass", inputs.VECTOR_CLASSES, BATCH, "all")
+    toxic = materialize(_toxic_scores(spark, sf, ("test",)), "scores")
+    two = metrics.evaluate(toxic, "binary", (0, 1), TRAIN_BATCH, "test")
+    return several.unionByName(two).select("split", "metric", r6("value").alias("value"))
+
+
 @query
 def sweep_steps(spark, sf):
     steps, warmup = sampling.step_counts(F.col("n_rows"), TRAIN_BATCH, EPOCHS, WARMUP)
