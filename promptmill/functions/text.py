@@ -24,7 +24,7 @@ def shuffle_key(*parts) -> Column:
     return F.md5(F.concat_ws("-", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
-def key_range(key: Column, digits: int = 3) -> Column:
+def key_range(key: Column, digits: int = 4) -> Column:
     """The leading hex digits of a shuffle key as a number: equal slices of the key order."""
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
 

@@ -181,7 +181,8 @@ def score_cells(
         first = counted.join(F.broadcast(flat(hot_tokens(scorer), names)), "token", "left")
         rare = first.filter(F.col("cells").isNull()).drop("cells").join(flat(scorer.weights, names), "token")
         matched = first.filter(F.col("cells").isNotNull()).unionByName(rare)
-    entries = matched.select(*keep, "tf", F.inline("cells"))
+    # The outer form keeps Catalyst from adding a size check, which would work out all weights twice.
+    entries = matched.select(*keep, "tf", F.inline_outer("cells")).filter(F.col("cell").isNotNull())
     sums = entries.groupBy(*keep, "cell").agg(*[F.sum(F.col(u) * F.col("tf")).alias(u) for u in names])
     return sums.select(*keep, "cell", F.array(*names).alias("units"))
 

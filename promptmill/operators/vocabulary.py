@@ -153,6 +153,14 @@ def remap_columns(reserved: DataFrame) -> DataFrame:
     )
 
 
+def checked_pairs(remap: DataFrame) -> list:
+    """The id pairs; more of them than there are reserved ids is an error."""
+    pairs = remap.select("old_id", "new_id").limit(RESERVED_IDS + 1).collect()
+    if len(pairs) > RESERVED_IDS:
+        raise ValueError(f"more than {RESERVED_IDS} id pairs")
+    return pairs
+
+
 def copy_rows(vectors: DataFrame, remap: DataFrame, id_column="vec_id", value="embedding") -> DataFrame:
     """Give every `new_id` row the vector of its `old_id` row.
 
@@ -160,9 +168,7 @@ def copy_rows(vectors: DataFrame, remap: DataFrame, id_column="vec_id", value="e
     is scanned, never shuffled. A pair whose new id is another pair's old id would make the result
     depend on the order of copying, so it is refused.
     """
-    pairs = remap.select("old_id", "new_id").limit(RESERVED_IDS + 1).collect()
-    if len(pairs) > RESERVED_IDS:
-        raise ValueError(f"more than {RESERVED_IDS} id pairs")
+    pairs = checked_pairs(remap)
     if {p["old_id"] for p in pairs} & {p["new_id"] for p in pairs}:
         raise ValueError("an old id is also a new id")
     copies = vectors.join(F.broadcast(remap), F.col(id_column) == F.col("old_id")).select(
@@ -175,8 +181,12 @@ def copy_rows(vectors: DataFrame, remap: DataFrame, id_column="vec_id", value="e
 def randomize_rows(
     vectors: DataFrame, remap: DataFrame, seed: int, id_column="vec_id", value="embedding"
 ) -> DataFrame:
-    """Give every `new_id` row uniform values within its own largest absolute value."""
-    chosen = remap.select(F.col("new_id").alias(id_column), F.lit(True).alias("chosen")).limit(RESERVED_IDS)
+    """Give every `new_id` row uniform values within its own largest absolute value.
+
+    Few rows are drawn anew, so the hashes cost little; all others pass through.
+    """
+    checked_pairs(remap)
+    chosen = remap.select(F.col("new_id").alias(id_column), F.lit(True).alias("chosen"))
 
     def drawn(bound):
         return F.transform(
