@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from promptmill.llm.license_scan import TEMPLATES, THRESHOLD, template_words
+
 EXACT_DEDUP = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -15,4 +17,73 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": EXACT_DEDUP}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATION = f"""
+WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {ALNUM_WORDS} AS w FROM benchmark),
+piece AS (
+  SELECT item_id, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS gram, least(13, len(w)) AS size
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM item WHERE len(w) > 0) t),
+doc AS (SELECT doc_id, {ALNUM_WORDS} AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM piece),
+place AS (
+  SELECT doc_id, size, s, array_to_string(w[s:s + size - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM doc, sizes WHERE len(w) >= size) t),
+hit AS (SELECT p.doc_id, p.s, p.size, i.item_id FROM place p JOIN piece i ON p.gram = i.gram AND p.size = i.size),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) t GROUP BY doc_id),
+words AS (
+  SELECT doc_id, count(*) AS n_hit FROM (
+    SELECT DISTINCT doc_id, unnest(range(s, s + size)) AS at FROM (SELECT DISTINCT doc_id, s, size FROM hit) u) t
+  GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(x.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256,
+       coalesce(x.n_hit, 0) > 0 AND 20 * coalesce(x.n_hit, 0) >= len(d.w) AS contaminated
+FROM doc d LEFT JOIN words x ON d.doc_id = x.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
+"""
+
+
+def license_sql() -> str:
+    rows = [
+        f"({k}, '{label}', ARRAY[{', '.join(repr(w) for w in words)}])" for k, label, words in template_words(TEMPLATES)
+    ]
+    return f"""
+WITH t(template, label, words) AS (VALUES {', '.join(rows)}),
+doc AS (SELECT doc_id, {ALNUM_WORDS} AS w FROM documents),
+place AS (
+  SELECT doc_id, s - 1 AS start,
+         CASE WHEN w[s] = 'cc' AND w[s + 1] = 'by' THEN 'cc-by'
+              WHEN w[s] = 'general' AND w[s + 1] = 'public' AND w[s + 2] = 'license' THEN 'gpl'
+              WHEN w[s] = 'all' AND w[s + 1] = 'rights' AND w[s + 2] = 'reserved' THEN 'reserved' END AS label
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM doc) u WHERE w[s] IN ('cc', 'general', 'all')),
+line AS (
+  SELECT doc_id, list_distinct({ALNUM_WORDS}) AS words
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents) u),
+found AS (
+  SELECT doc_id, label, shared / size AS containment FROM (
+    SELECT l.doc_id, t.label, len(list_intersect(t.words, l.words)) AS shared, len(t.words) AS size FROM line l, t WHERE len(l.words) > 0) u
+  WHERE shared >= ceil({THRESHOLD} * size - 1e-9)),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM place WHERE label IS NOT NULL GROUP BY doc_id),
+base_label AS (
+  SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels
+  FROM (SELECT DISTINCT doc_id, label FROM place WHERE label IS NOT NULL) u GROUP BY doc_id),
+every_label AS (
+  SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM place WHERE label IS NOT NULL UNION SELECT doc_id, label FROM found) u GROUP BY doc_id),
+best AS (SELECT doc_id, max(containment) AS best FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(b.n_base, 0) AS n_base, b.first_word, b.last_word,
+       coalesce(bl.labels, '') AS base_labels, coalesce(el.labels, '') AS labels,
+       CAST(CASE WHEN b.n_base > 0 THEN 1.0 ELSE coalesce(x.best, 0.0) END AS DOUBLE) AS score
+FROM doc d LEFT JOIN base b ON d.doc_id = b.doc_id LEFT JOIN base_label bl ON d.doc_id = bl.doc_id
+LEFT JOIN every_label el ON d.doc_id = el.doc_id LEFT JOIN best x ON d.doc_id = x.doc_id
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op4_license_scan": license_sql(),
+    "op5_exact_dedup": EXACT_DEDUP,
+    "op6_decontamination": DECONTAMINATION,
+}
