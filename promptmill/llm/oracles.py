@@ -17,6 +17,24 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+SUBSTRING_DEDUP = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+place AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM doc WHERE len(w) >= 13) t),
+earliest AS (SELECT gram, min(doc_id) AS first_id FROM place GROUP BY gram),
+covered AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS at
+  FROM (SELECT p.doc_id, p.s FROM place p JOIN earliest e ON p.gram = e.gram WHERE e.first_id < p.doc_id) t),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM doc),
+kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.at) AS kept, count(*) AS n_kept
+  FROM word w LEFT JOIN covered c ON w.doc_id = c.doc_id AND w.at = c.at WHERE c.at IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, len(d.w) - coalesce(k.n_kept, 0) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM doc d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -83,6 +101,7 @@ LEFT JOIN every_label el ON d.doc_id = el.doc_id LEFT JOIN best x ON d.doc_id =
 
 
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": SUBSTRING_DEDUP,
     "op4_license_scan": license_sql(),
     "op5_exact_dedup": EXACT_DEDUP,
     "op6_decontamination": DECONTAMINATION,
