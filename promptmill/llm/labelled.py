@@ -50,9 +50,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: i
 def fit(
     rows: DataFrame,
     features: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
-    learn: Callable[[list[np.ndarray], np.ndarray], Any],
-) -> Any:
-    """Learn in one task: `features` gives values and row offsets of a chunk of texts, `learn` gets a list per row."""
+    learn: Callable[[list[bytes], np.ndarray], Any],
+) -> dict[str, Any] | None:
+    """Learn in one task: `features` gives values and row offsets of a chunk of texts, `learn` gets the bytes of each row's values.
+
+    Returns the fields of the learned model, or None without any row.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +69,7 @@ def fit(
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc", "features"], kind="stable")
-        return pd.DataFrame({"model": [pickle.dumps(learn(list(frame["features"]), frame["label"].to_numpy()))]})
+        return pd.DataFrame({"model": [pickle.dumps(vars(learn(list(frame["features"]), frame["label"].to_numpy())))]})
 
     made = rows.mapInArrow(extract, "doc long, label int, features binary")
     models = made.groupBy(F.lit(0).alias("all")).applyInPandas(run, "model binary").collect()

@@ -137,18 +137,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, most_rows: int = labelled.
     class alone every text gets its score, with none score 0. Rows that repeat a doc_id are scored each;
     a null doc_id is not held out. Other columns are not read. An empty table gives no rows.
     """
-    model = labelled.fit(labelled.sample(docs, labels, "quality", MODULUS, REST, most_rows), indicators, learn)
-    if model is None:
-        model = Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, -40.0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
+    fields = labelled.fit(labelled.sample(docs, labels, "quality", MODULUS, REST, most_rows), indicators, learn)
+    if fields is None:
+        fields = vars(Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, -40.0))
+    shared = docs.sparkSession.sparkContext.broadcast(fields)  # 2**BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(**shared.value)
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch):
-                found = margins(shared.value.weights, shared.value.offset, *indicators(data, offsets))
+                found = margins(model.weights, model.offset, *indicators(data, offsets))
                 own = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("doc"), own.column("held_out"), pa.array(shared.value.score(found))], ["doc", "held_out", "score"]
+                    [own.column("doc"), own.column("held_out"), pa.array(model.score(found))], ["doc", "held_out", "score"]
                 )
 
     texts = docs.select(doc_key().alias("doc"), labelled.held_out(MODULUS, REST).alias("held_out"), "text")
