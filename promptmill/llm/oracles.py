@@ -63,6 +63,28 @@ FROM doc d LEFT JOIN words x ON d.doc_id = x.doc_id LEFT JOIN items i ON d.doc_i
 """
 
 
+NEAR_DEDUP = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM doc WHERE len(w) > 0) t),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+both_ AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM shingle a JOIN shingle b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (
+  SELECT a, b FROM both_ JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+  WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM doc
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN link l ON r.other = l.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM doc d LEFT JOIN size s ON d.doc_id = s.doc_id
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
+"""
+
+
 def license_sql() -> str:
     rows = [
         f"({k}, '{label}', ARRAY[{', '.join(repr(w) for w in words)}])" for k, label, words in template_words(TEMPLATES)
@@ -105,4 +127,5 @@ ORACLES: dict[str, str] = {
     "op4_license_scan": license_sql(),
     "op5_exact_dedup": EXACT_DEDUP,
     "op6_decontamination": DECONTAMINATION,
+    "op7_near_dedup": NEAR_DEDUP,
 }
