@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptmill.llm.common import NO_ID, WORD, as_doc_id, doc_key
+from promptmill.llm.common import WORD, as_doc_id, doc_key
 from promptmill.sources.storage import materialize
 
 WEIGHTS = (5, 2, 1)
