@@ -56,7 +56,7 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, most: i
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take, so that their words come nearest below a budget.
+    """How many documents of each size to take, so that their words come nearest to a budget.
 
     counts bounds each size. A proportional share comes first, then sizes from the longest down while
     more than PROGRAM_WORDS are open, then the best subset sum of what is open.
@@ -79,34 +79,36 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def subset_sum(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack: counts of each size whose sum is the largest one within the budget.
+    """Bounded knapsack: counts of each size whose sum is nearest to the budget, the lower of two.
 
-    Sums are the bits of one integer. Counts are split into powers of two; for every sum, the first
-    part that reached it is remembered.
+    Sums are the bits of one integer, up to twice the budget, beyond which nothing is nearer than no
+    document at all. Counts are split into powers of two; for every sum, the first part that reached it
+    is remembered.
     """
     take = np.zeros(len(sizes), np.int64)
-    usable = [i for i in range(len(sizes)) if 0 < sizes[i] <= budget and counts[i] > 0]
+    top = 2 * max(budget, 0)
+    usable = [i for i in range(len(sizes)) if 0 < sizes[i] <= top and counts[i] > 0]
     if not usable:
         return take
     parts: list[tuple[int, int]] = []
     for i in usable:
-        open_count, n = min(int(counts[i]), budget // int(sizes[i])), 1
+        open_count, n = min(int(counts[i]), top // int(sizes[i])), 1
         while open_count > 0:
             n_taken = min(n, open_count)
             parts.append((i, n_taken))
             open_count -= n_taken
             n *= 2
-    mask = (1 << (budget + 1)) - 1
-    reached, first = 1, np.full(budget + 1, -1, np.int32)
+    mask = (1 << (top + 1)) - 1
+    reached, first = 1, np.full(top + 1, -1, np.int32)
     for k, (i, n) in enumerate(parts):
         new = (reached << (int(sizes[i]) * n)) & mask & ~reached
         if new:
-            bits = np.unpackbits(np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8), bitorder="little")
-            first[np.flatnonzero(bits)] = k
+            first[_bits(new, top)] = k
             reached |= new
         if reached >> budget & 1:
             break
-    at = reached.bit_length() - 1
+    sums = _bits(reached, top)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         i, n = parts[first[at]]
         take[i] += n
@@ -114,6 +116,10 @@ def subset_sum(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return take
 
 
+def _bits(number: int, top: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(number.to_bytes(top // 8 + 1, "little"), np.uint8), bitorder="little"))
+
+
 def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     """One source: its lengths (never more than the square root of twice its words) and its target."""
     sizes, counts = rows["size"].to_numpy(np.int64), rows["docs"].to_numpy(np.int64)
