@@ -88,39 +88,38 @@ def with_cross_entropy(rows: DataFrame, target: str, logits: str = "logits", pos
     return rows.withColumn(out, cross_entropy(values, F.col(target)))
 
 
-def auroc_ovo(rows: DataFrame, classes: Sequence[int], digits: int = 12, slices: int | None = None) -> DataFrame:
-    """One-vs-one macro AUROC from `label` and `probs`; ties count one half.
+def auroc_ovo(rows: DataFrame, classes: Sequence[int], slices: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """One-vs-one macro AUROC from `label` and `probs`, for each group of `by`; equal scores count one half.
 
-    Rows are first counted per class and distinct score. Each class's scores are then cut into
+    Rows are first counted per class and distinct score, as stored. Each class's scores are then cut into
     even slices; ranks are summed inside the slices and linked by one row per slice, so the work
     spreads over the cluster even when nearly all scores differ. A pair with an empty side gives
     a null score and `undefined_pairs` above 0.
     """
-    k = len(classes)
+    k, by = len(classes), list(by)
     scored = rows.select(
-        "label",
-        F.posexplode(F.array(*[F.round(F.col("probs")[i], digits) for i in range(k)])).alias("class", "score"),
+        *by, "label", F.posexplode(F.array(*[F.col("probs")[i] for i in range(k)])).alias("class", "score")
     )
     counts = materialize(
-        scored.groupBy("class", "score").agg(
+        scored.groupBy(*by, "class", "score").agg(
             *[F.count_if(F.col("label") == c).alias(f"n{i}") for i, c in enumerate(classes)]
         ),
         "score_counts",
     )
     cut = with_slice(counts, "score", slice_splits(counts, "score", slices))
-    names = [f"n{i}" for i in range(k)]
-    per_slice = cut.groupBy("class", "slice").agg(*[F.sum(n).alias(n) for n in names])
-    link = Window.partitionBy("class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    names, key = [f"n{i}" for i in range(k)], [*by, "class"]
+    per_slice = cut.groupBy(*key, "slice").agg(*[F.sum(n).alias(n) for n in names])
+    link = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_slice.select(
-        "class", "slice", *[F.coalesce(F.sum(n).over(link), F.lit(0)).alias(f"{n}_start") for n in names]
+        *key, "slice", *[F.coalesce(F.sum(n).over(link), F.lit(0)).alias(f"{n}_start") for n in names]
     )
-    inside = Window.partitionBy("class", "slice").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key, "slice").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     below = cut.select(
-        "class", "slice", *names, *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"{n}_inside") for n in names]
-    ).join(starts, ["class", "slice"])
+        *key, "slice", *names, *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"{n}_inside") for n in names]
+    ).join(starts, [*key, "slice"])
 
     own = F.element_at(F.array(*names), F.col("class") + 1)
-    wins = below.groupBy("class").agg(
+    wins = below.groupBy(*key).agg(
         F.sum(own).alias("positives"),
         *[F.sum(n).alias(n) for n in names],
         *[
@@ -129,14 +128,14 @@ def auroc_ovo(rows: DataFrame, classes: Sequence[int], digits: int = 12, slices:
         ],
     )
     pairs = wins.select(
-        "class",
+        *key,
         F.posexplode(
             F.array(
                 *[(F.col(f"{n}_wins") / F.nullif(F.col("positives") * F.col(n), F.lit(0))).alias(n) for n in names]
             )
         ).alias("other", "auc"),
     ).filter(F.col("class") != F.col("other"))
-    return pairs.agg(
+    return pairs.groupBy(*by).agg(
         F.when(F.count("auc") == k * (k - 1), F.avg("auc")).alias("AUROC_score"),
         F.count_if(F.col("auc").isNull()).alias("undefined_pairs"),
     )

@@ -14,17 +14,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptmill.functions.text import key_range
+from promptmill.sources.storage import materialize
 
-# Rows of one run that share a slice, at most, when the order is a unique integer.
+# Rows that share a slice, at most.
 SLICE_ROWS = 1 << 17
 
 
+def slice_count(df: DataFrame) -> int:
+    """Slices for a stored table: as many as the shuffle has, more when they would exceed SLICE_ROWS rows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SLICE_ROWS))
+
+
+def range_slices(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows, stored, with the `slice` of the whole order that each is in.
+
+    The input is read once. Cuts fall anywhere in the order, so rows that share a value of its first column are
+    spread too; they are stored with the rows, since a cut found again could fall elsewhere.
+    """
+    stored = materialize(df, "unsliced")
+    ranged = stored.repartitionByRange(slice_count(stored), *order)
+    return materialize(ranged.withColumn("slice", F.spark_partition_id()), "sliced")
+
+
 def slice_splits(df: DataFrame, column: str, slices: int | None = None) -> list[float]:
     """Cut points that split a numeric column evenly: a bounded list, whatever the row count.
 
     The cuts only balance the work. Results do not depend on where they fall.
     """
-    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices or slice_count(df)
     shares = [i / slices for i in range(1, slices)]
     found = df.agg(F.percentile_approx(F.col(column).cast("double"), shares).alias("cuts")).first()["cuts"]
     return [float("-inf"), *sorted(set(found or [])), float("inf")]

@@ -10,8 +10,8 @@ from promptmill.functions.text import tokens
 from promptmill.operators.vocabulary import (
     VOCAB_SIZE,
     Specials,
+    ids_in_place,
     sentiment_reserved_ids,
-    token_ids,
 )
 from promptmill.tasks import (
     FLAG_MASK,
@@ -25,7 +25,6 @@ from promptmill.tasks import (
     SENTIMENTS,
     TEXT_A,
     TEXT_B,
-    task_specs,
 )
 
 # Positions the budget sets aside besides one more for a second text.
@@ -182,22 +181,48 @@ def pad(df: DataFrame, max_len: int, sp: Specials = Specials()) -> DataFrame:
     )
 
 
+def fitted(
+    examples: DataFrame, slots: DataFrame, lookup: DataFrame, max_len: int, sp: Specials = Specials(), whole: bool = False
+) -> DataFrame:
+    """Accepted examples, which carry their task columns, with the ids of all parts and the lengths that fit.
+
+    Text ids are looked up in each row; nothing is shuffled. Tokens past `max_len` can never survive the cut,
+    so they are dropped before the lookup unless the `whole` lengths are wanted. Second texts are
+    encoded like first ones.
+    """
+    carried = ["guid", "task", "pattern", "label_id", "senti_pre"]
+    ids = ids_in_place(lookup, sp.unk)
+
+    def text_ids(column):
+        words = tokens(F.col(column))
+        return ids(words if whole else F.slice(words, 1, max_len))
+
+    second = "text_b" in examples.columns
+    rows = examples.select(
+        *carried,
+        text_ids("text_a").alias("text_ids"),
+        (F.when(F.col("text_b").isNotNull(), text_ids("text_b")) if second else F.lit(None).cast("array<int>")).alias("text_b_ids"),
+    )
+    return with_parts(rows.join(F.broadcast(slots), "task"), max_len, sp)
+
+
 def encode(
     examples: DataFrame, slots: DataFrame, lookup: DataFrame, max_len: int, sp: Specials = Specials()
 ) -> DataFrame:
-    """Encode accepted examples that carry their task columns.
+    """Encode accepted examples that carry their task columns; any task whose phrases are in `slots`.
 
-    Tokens past `max_len` can never survive the cut, so they are dropped before the lookup; only
-    guid, a few ints and at most `max_len` ids per text are shuffled.
+    Rows whose fixed prompt parts leave no room are in `encode_rejects`.
     """
-    carried = ["guid", "task", "label_id", "senti_pre"]
-    texts = examples.select(*carried, F.slice(tokens(F.col("text_a")), 1, max_len).alias("tokens"))
-    ids = token_ids(texts, lookup, carried, sp.unk).withColumnRenamed("ids", "text_ids")
-    patterns = task_specs(examples.sparkSession).select("task", "pattern")
-    specs = slots.join(F.broadcast(patterns), "task")
-    rows = ids.withColumn("text_b_ids", F.lit(None).cast("array<int>")).join(F.broadcast(specs), "task")
-    fitted = with_parts(rows, max_len, sp).filter(~too_tight(max_len))
-    return assemble(fitted, sp).withColumn("pet_label", F.get("verbalizer_ids", F.col("label_id")))
+    rows = fitted(examples, slots, lookup, max_len, sp).filter(~too_tight(max_len))
+    return assemble(rows, sp).withColumn("pet_label", F.get("verbalizer_ids", F.col("label_id")))
+
+
+def encode_rejects(
+    examples: DataFrame, slots: DataFrame, lookup: DataFrame, max_len: int, sp: Specials = Specials()
+) -> DataFrame:
+    """guid, task, reason of the accepted examples that cannot be encoded in `max_len` ids."""
+    rows = fitted(examples, slots, lookup, max_len, sp).filter(too_tight(max_len))
+    return rows.select("guid", "task", F.lit("prompt does not fit").alias("reason"))
 
 
 def mask_position(flags: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptmill.functions.text import key_range, shuffle_key
-from promptmill.operators.ordering import row_index, slice_splits, smallest_per_group, with_slice
+from promptmill.operators.ordering import range_slices, row_index, smallest_per_group
 from promptmill.sources.storage import fixed_table
 from promptmill.tasks import SEEDS, SIZES
 
@@ -25,8 +25,7 @@ def seeded_shuffle(df: DataFrame, seed: int, epochs: int = 1, key: str = "guid")
 
 def assign_batches(df: DataFrame, batch_size: int, key: str = "guid") -> DataFrame:
     """Add `batch_id` and `pos`: consecutive runs of rows in key order, the last one short."""
-    sliced = with_slice(df, key, slice_splits(df, key))
-    indexed = row_index(sliced, [key], "slice", [], "idx")
+    indexed = row_index(range_slices(df, [key]), [key], "slice", [], "idx")
     zero = F.col("idx") - 1
     return (
         indexed.withColumn("batch_id", F.floor(zero / batch_size).cast("bigint"))

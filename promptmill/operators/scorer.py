@@ -10,20 +10,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.serializers import CPickleSerializer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptmill.functions.arrays import argmax, let
-from promptmill.sources.storage import BROADCAST_BYTES, broadcast_if_small, materialize
+from promptmill.operators.examples import require_unique
+from promptmill.sources.storage import BROADCAST_BYTES, materialize
 
 UNIT = 1_000_000_000
-# Tokens kept at hand when a scorer is too large to broadcast whole.
-HOT_TOKENS = 20_000
-# Times a sweep may read the documents so that each share of its scorer can be broadcast.
-PASSES = 8
+# Weights that a task adds up at once, over all cells and classes.
+ADDED_AT_ONCE = 1 << 22
 # Every document carries it once and its weights are the priors; no text can produce it.
 PRIOR_TOKEN = ""
 
@@ -43,12 +45,6 @@ class TokenScorer:
     def nbytes(self) -> int:
         return sum(self.cell_bytes.values())
 
-    def restricted(self, cells: Sequence[int]) -> TokenScorer:
-        """The same weights for some of the cells."""
-        kept = F.filter("cells", lambda c: c["cell"].isin(list(cells)))
-        weights = self.weights.withColumn("cells", kept)
-        return TokenScorer(self.classes, weights, {c: self.cell_bytes[c] for c in cells})
-
 
 def train(docs: DataFrame, classes: int) -> TokenScorer:
     """Learn from rows of `cell` (a number from 0), `class` and `tokens`, in one pass over them.
@@ -111,9 +107,11 @@ def cell_totals(stored: DataFrame, classes: int) -> list:
 
 
 def one_model(docs: DataFrame, label: str, classes: int) -> DataFrame:
-    """Training rows of a single model."""
-    rows = docs.filter(F.col(label).between(0, classes - 1))
-    return rows.select(F.lit(0).alias("cell"), F.col(label).alias("class"), "tokens")
+    """Training rows of a single model. A label outside the classes fails the job: turn such rows away before."""
+    known = F.when(F.col(label).between(0, classes - 1), F.col(label)).otherwise(
+        F.raise_error("a training row has an unknown label").cast("int")
+    )
+    return docs.select(F.lit(0).alias("cell"), known.alias("class"), "tokens")
 
 
 def token_frequencies(tokens: Column) -> Column:
@@ -139,16 +137,58 @@ def token_frequencies(tokens: Column) -> Column:
     return let(F.sort_array(tokens), from_sorted)
 
 
-def shares(scorer: TokenScorer, limit: int) -> list[list[int]]:
-    """Cells in groups whose weights fit the limit together; a cell over the limit stands alone."""
-    groups, filled = [], limit + 1
-    for cell in sorted(scorer.cell_bytes):
-        if filled + scorer.cell_bytes[cell] > limit:
-            groups.append([])
-            filled = 0
-        groups[-1].append(cell)
-        filled += scorer.cell_bytes[cell]
-    return groups
+def weight_table(scorer: TokenScorer) -> tuple[pa.Array, np.ndarray]:
+    """All tokens, and a row of weights for each: the classes of the first cell, then of the next.
+
+    For a scorer whose bytes were found to fit a broadcast. One more row, of zeros, is for unknown tokens.
+    """
+    cells = {cell: i for i, cell in enumerate(sorted(scorer.cell_bytes))}
+    found = scorer.weights.select("token", F.inline("cells")).select("token", "cell", "weight").toArrow()
+    coded = found.column("token").combine_chunks().dictionary_encode()
+    table = np.zeros((len(coded.dictionary) + 1, len(cells) * scorer.classes), np.int64)
+    if len(coded):
+        weights = found.column("weight").combine_chunks().flatten().to_numpy().reshape(-1, scorer.classes)
+        at = np.array([cells[c] for c in found.column("cell").to_pylist()]) * scorer.classes
+        rows = coded.indices.to_numpy()
+        for k in range(scorer.classes):
+            table[rows, at + k] = weights[:, k]
+    return coded.dictionary, table
+
+
+def units_in_place(scorer: TokenScorer) -> Callable[[Column], Column]:
+    """A function of a token column: prior plus weights of all tokens, for every cell and class in one array.
+
+    The scorer is broadcast and each row is summed where it is read: nothing is shuffled, and rows that
+    share a key stay apart. For scorers whose bytes were found to fit.
+    """
+    shared = scorer.weights.sparkSession.sparkContext.broadcast(weight_table(scorer))
+
+    @F.arrow_udf("array<bigint>")
+    def units(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, table = shared.value
+        prior_at = pc.index_in(pa.array([PRIOR_TOKEN]), value_set=words)[0].as_py()
+        prior = table[-1] if prior_at is None else table[prior_at]
+        width = table.shape[1]
+        for batch in batches:
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(batch), 0))
+            codes = np.asarray(pc.fill_null(pc.index_in(batch.flatten(), value_set=words), len(words)))
+            # a text cannot hold the prior's token
+            codes = np.where(codes == prior_at, len(words), codes) if prior_at is not None else codes
+            ends = np.cumsum(lengths)
+            sums = np.tile(prior, (len(batch), 1))
+            lo = 0
+            while lo < len(batch):
+                start = ends[lo] - lengths[lo]
+                hi = max(lo + 1, int(np.searchsorted(ends, start + max(1, ADDED_AT_ONCE // width), "right")))
+                filled = lo + np.flatnonzero(lengths[lo:hi])
+                if len(filled):
+                    firsts = ends[filled] - lengths[filled] - start
+                    sums[filled] += np.add.reduceat(table[codes[start : ends[hi - 1]]], firsts, axis=0)
+                lo = hi
+            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width)
+            yield pa.ListArray.from_arrays(offsets, pa.array(sums.reshape(-1)))
+
+    return units
 
 
 def score_cells(
@@ -156,31 +196,24 @@ def score_cells(
 ) -> DataFrame:
     """keep, cell, units array<bigint>: prior plus the weights of all tokens; unknown ones add nothing.
 
-    `keep` must identify a document. Its tokens meet the broadcast scorer where they are read, and
-    what is shuffled is one row per document and cell; not even that when the documents are already
-    partitioned by `keep`. A sweep over the limit is broadcast in a few shares. Beyond that the
-    scorer is joined by shuffle, except for its most frequent tokens, which are still broadcast, so
-    that no stop word gathers in one task.
+    A scorer that fits the limit is broadcast and rows are scored where they are read. A larger one is
+    joined by shuffle, with its most frequent tokens broadcast up to the limit, so that no stop word gathers in
+    one task; `keep` must then be unique, which is checked.
     """
     keep = list(keep)
-    groups = shares(scorer, limit)
-    if len(groups) > 1 and len(groups) <= PASSES and max(scorer.cell_bytes.values()) <= limit:
-        parts = [score_cells(docs, scorer.restricted(g), keep, limit) for g in groups]
-        return reduce(DataFrame.unionByName, parts)
+    cells = sorted(scorer.cell_bytes)
+    if scorer.nbytes <= limit:
+        entry = "transform(array({}), (c, i) -> struct(c as cell, slice(all_units, i * {} + 1, {}) as units))"
+        entries = F.expr(entry.format(", ".join(map(str, cells)), scorer.classes, scorer.classes))
+        whole = docs.select(*keep, units_in_place(scorer)(F.col("tokens")).alias("all_units"))
+        return whole.select(*keep, F.inline_outer(entries))
+    require_unique(docs, keep)
     with_prior = F.concat(F.array(F.lit(PRIOR_TOKEN)), F.col("tokens"))
     names = [f"units{k}" for k in range(scorer.classes)]
-    if scorer.nbytes <= limit:
-        if len(scorer.cell_bytes) == 1:
-            counted = docs.select(*keep, F.explode(with_prior).alias("token"), F.lit(1).alias("tf"))
-        else:
-            # Many cells share each match, so a repeated token is worth counting within its row.
-            counted = docs.select(*keep, F.inline(token_frequencies(with_prior)))
-        matched = counted.join(broadcast_if_small(flat(scorer.weights, names), scorer.nbytes, limit), "token")
-    else:
-        counted = docs.select(*keep, F.inline(token_frequencies(with_prior)))
-        first = counted.join(F.broadcast(flat(hot_tokens(scorer), names)), "token", "left")
-        rare = first.filter(F.col("cells").isNull()).drop("cells").join(flat(scorer.weights, names), "token")
-        matched = first.filter(F.col("cells").isNotNull()).unionByName(rare)
+    counted = docs.select(*keep, F.inline(token_frequencies(with_prior)))
+    first = counted.join(F.broadcast(flat(hot_tokens(scorer, limit), names)), "token", "left")
+    rare = first.filter(F.col("cells").isNull()).drop("cells").join(flat(scorer.weights, names), "token")
+    matched = first.filter(F.col("cells").isNotNull()).unionByName(rare)
     # The outer form keeps Catalyst from adding a size check, which would work out all weights twice.
     entries = matched.select(*keep, "tf", F.inline_outer("cells")).filter(F.col("cell").isNotNull())
     sums = entries.groupBy(*keep, "cell").agg(*[F.sum(F.col(u) * F.col("tf")).alias(u) for u in names])
@@ -193,12 +226,13 @@ def flat(weights: DataFrame, names: Sequence[str]) -> DataFrame:
     return weights.select("token", F.transform("cells", entry).alias("cells"))
 
 
-def hot_tokens(scorer: TokenScorer, k: int | None = None) -> DataFrame:
-    """The k most frequent tokens of a scorer, the prior always among them."""
+def hot_tokens(scorer: TokenScorer, limit: int) -> DataFrame:
+    """The most frequent tokens of a scorer, as many as fit the limit if every cell knew them; the prior always."""
+    k = 1 + limit // (48 + len(scorer.cell_bytes) * (16 + 16 * scorer.classes))
     in_cell = F.transform("cells", lambda c: F.aggregate(c["n"], F.lit(0).cast("bigint"), lambda acc, x: acc + x))
     frequency = F.aggregate(in_cell, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     order = [(F.col("token") == PRIOR_TOKEN).desc(), frequency.desc(), F.col("token")]
-    return scorer.weights.orderBy(*order).limit(k or HOT_TOKENS)
+    return scorer.weights.orderBy(*order).limit(k)
 
 
 def decide(units: Column) -> tuple[Column, Column]:
@@ -212,6 +246,12 @@ def score(docs: DataFrame, scorer: TokenScorer, keep: Sequence[str] = ("guid",),
     return score_cells(docs, scorer, keep, limit).select(*keep, *decide(F.col("units")))
 
 
+def class_in_place(scorer: TokenScorer) -> Callable[[Column], Column]:
+    """The predicted class as a function of a token column, for a single model that fits a broadcast."""
+    units = units_in_place(scorer)
+    return lambda tokens: argmax(units(tokens))
+
+
 def save_scorer(scorer: TokenScorer, path: str) -> None:
     """Write the scorer as one table, replacing an earlier one."""
     scorer.weights.write.mode("overwrite").parquet(path)
@@ -226,34 +266,44 @@ def load_scorer(spark: SparkSession, path: str) -> TokenScorer:
 
 
 def append_predictions(corpus: DataFrame, predictions: DataFrame, key: Sequence[str], column: str = "senti_pre") -> DataFrame:
-    """Add the predicted class to the corpus by key; a row without a prediction fails the job.
+    """Add the predicted class to the corpus by key, for predictions that were made elsewhere.
 
-    The corpus side carries the texts, so the join hashes the narrow prediction side per partition
-    and spares the texts a sort.
+    Keys must be unique on both sides, which is checked; a row without a prediction fails the job.
     """
-    narrow = predictions.select(*key, F.col("pred").alias(column)).hint("shuffle_hash")
-    joined = corpus.join(narrow, list(key), "left")
+    require_unique(corpus.select(*key), key)
+    require_unique(predictions.select(*key), key)
+    joined = corpus.drop(column).join(predictions.select(*key, F.col("pred").alias(column)), list(key), "left")
     present = F.when(F.col(column).isNotNull(), F.col(column)).otherwise(
         F.raise_error("a corpus row has no prediction").cast("int")
     )
     return joined.withColumn(column, present)
 
 
+# Models of this Python worker, by the pickled factory that made them.
+_models: dict[bytes, Callable[[pd.DataFrame], list]] = {}
+
+
 def score_batches(
-    encoded: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame], list]]
+    encoded: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame], list]], keep: Sequence[str] = ("guid",)
 ) -> DataFrame:
-    """guid, logits: apply an external model to Arrow batches of encoded rows.
+    """keep, logits: apply an external model to Arrow batches of encoded rows.
 
-    `make_scorer` is called once per Python worker task, so a model loads once there; what it
-    returns gets guid, input_ids, attention_mask, token_type_ids, mask_pos and gives one list of
-    logits per row, at the mask position only. `spark.sql.execution.arrow.maxRecordsPerBatch`
+    `make_scorer` is called once per Python worker, which serves many tasks, so a model loads once there;
+    what it returns gets the `keep` columns, input_ids, attention_mask, token_type_ids, mask_pos and gives
+    one list of logits per row, at the mask position only. `spark.sql.execution.arrow.maxRecordsPerBatch`
     sets the batch size.
     """
-    columns = ["guid", "input_ids", "attention_mask", "token_type_ids", "mask_pos"]
+    keep = list(keep)
+    columns = [*keep, "input_ids", "attention_mask", "token_type_ids", "mask_pos"]
+    made_by = CPickleSerializer().dumps(make_scorer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make_scorer()
+        if made_by not in _models:
+            _models[made_by] = CPickleSerializer().loads(made_by)()
+        model = _models[made_by]
         for batch in batches:
-            yield pd.DataFrame({"guid": batch["guid"], "logits": list(model(batch))})
+            yield batch[keep].assign(logits=list(model(batch)))
 
-    return encoded.select(*columns).mapInPandas(run, "guid bigint, logits array<double>")
+    kinds = dict(encoded.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keep], "logits array<double>"])
+    return encoded.select(*columns).mapInPandas(run, schema)

@@ -12,8 +12,6 @@ from promptmill.operators.vocabulary import SPECIAL_TOKENS, most_frequent, token
 
 INNER = "##"
 LONGEST_PIECE = 8
-# Longer runs of letters are no words; they become one unknown mark, as word-piece models do.
-LONGEST_WORD = 100
 
 
 def subword_vocab(docs: DataFrame, size: int, longest: int = LONGEST_PIECE) -> DataFrame:
@@ -21,7 +19,7 @@ def subword_vocab(docs: DataFrame, size: int, longest: int = LONGEST_PIECE) -> D
 
     Words are counted before they are cut into pieces, so a frequent word is cut once.
     """
-    words = token_counts(docs).filter(F.length("token") <= LONGEST_WORD)
+    words = token_counts(docs)
     letters = F.sequence(F.lit(1), F.length("token"))
     sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("token") - F.col("start") + 1))
     lead = F.when(F.col("start") > 1, INNER).otherwise("")
@@ -35,9 +33,7 @@ def subword_vocab(docs: DataFrame, size: int, longest: int = LONGEST_PIECE) -> D
 
 
 def split_word(word: str, pieces: frozenset, longest: int, unknown: str) -> list[str]:
-    """The longest known piece at each position; one unknown mark when a position has none."""
-    if len(word) > LONGEST_WORD:
-        return [unknown]
+    """The longest known piece at each position; one unknown mark when a position has none. Any length of word."""
     out, at = [], 0
     while at < len(word):
         lead = INNER if at else ""

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptmill.functions.arrays import let, max_abs
 from promptmill.functions.text import shuffle_key, tokens, unit_interval
-from promptmill.sources.storage import BROADCAST_BYTES, broadcast_if_small, fixed_table
-from promptmill.tasks import IT_WAS, SENTIMENTS, TASKS
+from promptmill.operators.examples import require_unique
+from promptmill.sources.storage import BROADCAST_BYTES, broadcast_if_small, fixed_table, materialize
+from promptmill.tasks import IT_WAS, SENTIMENTS, TASKS, Task
 
 # Fixed value: ids of a vocabulary, virtual ones included.
 VOCAB_SIZE = 30522
@@ -20,7 +25,6 @@ RESERVED_IDS = 64
 SENTIMENT_IDS = 6
 
 SPECIAL_TOKENS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
-SHARDS = 32
 
 
 class Specials(NamedTuple):
@@ -31,10 +35,10 @@ class Specials(NamedTuple):
     mask: int = 4
 
 
-def prompt_phrases(spark: SparkSession) -> DataFrame:
-    """Every word sequence the prompts use: task, section, position, phrase."""
+def prompt_phrases(spark: SparkSession, tasks: Sequence[Task] = TASKS) -> DataFrame:
+    """Every word sequence the prompts of some tasks use: task, section, position, phrase."""
     rows = []
-    for t in TASKS:
+    for t in tasks:
         rows += [(t.task, 0, i, p) for i, p in enumerate(t.pattern) if not p.startswith("[")]
         rows += [(t.task, 1, i, v) for i, v in enumerate(t.verbalizers)]
         rows += [(t.task, 2, i, p) for i, p in enumerate((IT_WAS, "."))]
@@ -52,11 +56,24 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, k: int) -> DataFrame:
-    """The k most frequent tokens. Shards each keep their own k first, so the last step is small."""
-    shard = F.pmod(F.xxhash64("token"), F.lit(SHARDS))
-    order = [F.desc("n"), F.asc("token")]
-    head = counts.withColumn("place", F.row_number().over(Window.partitionBy(shard).orderBy(*order)))
-    return head.filter(F.col("place") <= k).drop("place").orderBy(*order).limit(k)
+    """The k most frequent tokens, equal counts in token order.
+
+    A histogram of the counts tells where the k-th place falls. Fewer than k tokens are above it; of those
+    at that count, the first ones in token order fill up. No task sees all tokens.
+    """
+    stored = materialize(counts, "token_totals")
+    # no more than k rows: every count belongs to a token
+    tops = stored.groupBy("n").agg(F.count(F.lit(1)).alias("tokens")).orderBy(F.desc("n")).limit(k).collect()
+    above, cut = 0, None
+    for row in tops:
+        if above + row["tokens"] >= k:
+            cut = row["n"]
+            break
+        above += row["tokens"]
+    if cut is None:
+        return stored
+    ties = stored.filter(F.col("n") == cut).orderBy("token").limit(k - above)
+    return stored.filter(F.col("n") > cut).unionByName(ties)
 
 
 def build_vocab(docs: DataFrame, size: int = VOCAB_SIZE, reserved: int = RESERVED_IDS) -> DataFrame:
@@ -89,19 +106,57 @@ def build_vocab(docs: DataFrame, size: int = VOCAB_SIZE, reserved: int = RESERVE
     )
 
 
+def lookup_bytes(lookup: DataFrame) -> int:
+    return lookup.agg(F.sum(F.octet_length("token") + 16).alias("nbytes")).first()["nbytes"] or 0
+
+
 def lookup_ready(vocab: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A stored vocabulary as a lookup table, broadcast when its measured bytes allow it."""
-    measured = vocab.agg(F.sum(F.octet_length("token") + 16).alias("nbytes")).first()["nbytes"] or 0
-    return broadcast_if_small(vocab.select("token", "id"), measured, limit)
+    return broadcast_if_small(vocab.select("token", "id"), lookup_bytes(vocab), limit)
+
+
+def ids_in_place(lookup: DataFrame, unk: int = Specials().unk) -> Callable[[Column], Column]:
+    """Ids of a token column as a function of it, looked up where each row is read.
+
+    For a vocabulary whose bytes were found to fit a broadcast.
+    """
+    found = lookup.select("token", "id").toArrow()
+    table = (found.column("token").combine_chunks(), found.column("id").combine_chunks())
+    shared = lookup.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, numbers = shared.value
+        for batch in batches:
+            at = pc.index_in(batch.flatten(), value_set=words)
+            known = pc.fill_null(numbers.take(at), unk).cast(pa.int32())
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(batch), 0))
+            offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), known)
 
+    return ids
 
-def token_ids(docs: DataFrame, lookup: DataFrame, keep: list[str], unk: int = Specials().unk) -> DataFrame:
-    """Ids of a `tokens` column in reading order. The text itself never enters the shuffle.
 
-    The rows that meet again are those of one document, and `keep` must identify it.
+# Slices of the occurrences of one token when a vocabulary is too large to broadcast.
+SALTS = 16
+
+
+def token_ids(
+    docs: DataFrame, lookup: DataFrame, keep: list[str], unk: int = Specials().unk, column: str = "tokens", limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Ids of a token column in reading order, as `ids`, beside the `keep` columns.
+
+    A vocabulary that fits the limit is looked up in each row. Beyond it, tokens are joined by shuffle, dealt
+    into SALTS slices so that no stop word gathers in one task; `keep` must be unique then, which is checked.
     """
-    occurrences = docs.select(*keep, F.posexplode_outer("tokens").alias("pos", "token"))
-    found = occurrences.join(lookup, "token", "left")
+    if lookup_bytes(lookup) <= limit:
+        return docs.select(*keep, ids_in_place(lookup, unk)(F.col(column)).alias("ids"))
+    require_unique(docs, keep)
+    occurrences = docs.select(*keep, F.posexplode_outer(column).alias("pos", "token")).withColumn(
+        "salt", F.pmod(F.xxhash64(*keep, "pos"), F.lit(SALTS))
+    )
+    salted = lookup.select("token", "id", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+    found = occurrences.join(salted, ["token", "salt"], "left")
     placed = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unk)).alias("id")))
     return (
         found.groupBy(*keep)
@@ -110,28 +165,37 @@ def token_ids(docs: DataFrame, lookup: DataFrame, keep: list[str], unk: int = Sp
     )
 
 
-def prompt_tokens(spark: SparkSession, lookup: DataFrame, unk: int = Specials().unk) -> DataFrame:
-    """Tokens and ids of the prompt phrases: a table of the 17 tasks, whatever the corpus."""
-    words = prompt_phrases(spark).select(
+def prompt_tokens(
+    spark: SparkSession, lookup: DataFrame, unk: int = Specials().unk, tasks: Sequence[Task] = TASKS
+) -> DataFrame:
+    """Tokens and ids of the prompt phrases: a small table of the tasks, whatever the corpus."""
+    words = prompt_phrases(spark, tasks).select(
         "task", "section", "pos", F.posexplode(tokens(F.col("phrase"))).alias("tok_pos", "token")
     )
     return words.join(lookup, "token", "left").withColumn("id", F.coalesce("id", F.lit(unk)))
 
 
-def reserved_ids(prompt: DataFrame, vocab_size: int = VOCAB_SIZE, first: int = 0) -> DataFrame:
+def reserved_ids(
+    prompt: DataFrame, vocab_size: int = VOCAB_SIZE, first: int = 0, reserved: int = RESERVED_IDS
+) -> DataFrame:
     """New ids, counted down from the end of the vocabulary, for pattern words then label words.
 
-    `first` ids at the very end are left to the sentiment prompt.
+    `first` ids at the very end are left to the sentiment prompt. `reserved` is what the vocabulary was built with:
+    a task that needs more ids fails the job, since they would meet ids of corpus tokens.
     """
     own = prompt.filter((F.col("section") == 0) | ((F.col("section") == 1) & (F.col("tok_pos") == 0)))
     order = Window.partitionBy("task").orderBy("section", "pos", "tok_pos")
+    ordinal = F.row_number().over(order)
+    taken = F.when(ordinal + first <= reserved, ordinal).otherwise(
+        F.raise_error(f"a task needs more than the {reserved} reserved ids").cast("int")
+    )
     return own.select(
         "task",
         F.when(F.col("section") == 0, "pattern").otherwise("label").alias("kind"),
         "token",
         F.col("id").alias("old_id"),
-        F.row_number().over(order).alias("ord"),
-        (F.lit(vocab_size) - first - F.row_number().over(order)).cast("int").alias("new_id"),
+        taken.alias("ord"),
+        (F.lit(vocab_size) - first - taken).cast("int").alias("new_id"),
     )
 
 
@@ -153,22 +217,24 @@ def remap_columns(reserved: DataFrame) -> DataFrame:
     )
 
 
-def checked_pairs(remap: DataFrame) -> list:
+def checked_pairs(remap: DataFrame, reserved: int) -> list:
     """The id pairs; more of them than there are reserved ids is an error."""
-    pairs = remap.select("old_id", "new_id").limit(RESERVED_IDS + 1).collect()
-    if len(pairs) > RESERVED_IDS:
-        raise ValueError(f"more than {RESERVED_IDS} id pairs")
+    pairs = remap.select("old_id", "new_id").limit(reserved + 1).collect()
+    if len(pairs) > reserved:
+        raise ValueError(f"more than {reserved} id pairs")
     return pairs
 
 
-def copy_rows(vectors: DataFrame, remap: DataFrame, id_column="vec_id", value="embedding") -> DataFrame:
+def copy_rows(
+    vectors: DataFrame, remap: DataFrame, id_column="vec_id", value="embedding", reserved: int = RESERVED_IDS
+) -> DataFrame:
     """Give every `new_id` row the vector of its `old_id` row.
 
-    `remap` holds at most RESERVED_IDS pairs, so both broadcasts are bounded and the vector table
+    `remap` holds at most `reserved` pairs, so both broadcasts are bounded and the vector table
     is scanned, never shuffled. A pair whose new id is another pair's old id would make the result
     depend on the order of copying, so it is refused.
     """
-    pairs = checked_pairs(remap)
+    pairs = checked_pairs(remap, reserved)
     if {p["old_id"] for p in pairs} & {p["new_id"] for p in pairs}:
         raise ValueError("an old id is also a new id")
     copies = vectors.join(F.broadcast(remap), F.col(id_column) == F.col("old_id")).select(
@@ -179,13 +245,13 @@ def copy_rows(vectors: DataFrame, remap: DataFrame, id_column="vec_id", value="e
 
 
 def randomize_rows(
-    vectors: DataFrame, remap: DataFrame, seed: int, id_column="vec_id", value="embedding"
+    vectors: DataFrame, remap: DataFrame, seed: int, id_column="vec_id", value="embedding", reserved: int = RESERVED_IDS
 ) -> DataFrame:
     """Give every `new_id` row uniform values within its own largest absolute value.
 
     Few rows are drawn anew, so the hashes cost little; all others pass through.
     """
-    checked_pairs(remap)
+    checked_pairs(remap, reserved)
     chosen = remap.select(F.col("new_id").alias(id_column), F.lit(True).alias("chosen"))
 
     def drawn(bound):

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from promptmill.functions.arrays import dot
 from promptmill.functions.text import tokens
-from promptmill.operators.ordering import row_index, slice_splits, with_slice
-from promptmill.sources.storage import spread
+from promptmill.operators.ordering import range_slices, row_index
 from promptmill.tasks import TASKS
 
+# Session setting: partitions among which a corpus is dealt out when it is read.
+SCAN_PARTITIONS = "promptmill.scan.partitions"
+
 # Classes of the vector labels.
 VECTOR_CLASSES = tuple(range(10))
 
@@ -20,8 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus, with its row id as `guid`."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("doc_id", "guid")
+    """The corpus, with its row id as `guid`.
+
+    A corpus stored as one row group is read by one task. A session may set SCAN_PARTITIONS to deal
+    such a corpus out by key; nothing does so unasked.
+    """
+    rows = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "guid")
+    asked = spark.conf.get(SCAN_PARTITIONS, None)
+    return rows.repartition(int(asked), "guid") if asked else rows
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,11 +48,6 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def example_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As `examples`, with tokens in place of the text."""
-    return examples(spark, sf_dir).withColumn("tokens", tokens(F.col("text_a"))).drop("text_a")
-
-
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("guid", tokens(F.col("text")).alias("tokens"))
 
@@ -97,6 +100,6 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         (F.get_json_object("props", "$.k").cast("double") / 100).alias("test_value"),
     )
-    sliced = with_slice(events, "at", slice_splits(events, "at"))
-    steps = row_index(sliced, ["at", "event_id"], "slice", ["run"], "step")
+    order = ["at", "event_id"]
+    steps = row_index(range_slices(events, order), order, "slice", ["run"], "step")
     return steps.select("run", F.col("step").cast("bigint").alias("step"), "value", "test_value")

@@ -6,15 +6,47 @@ definitions of the operators, not their plans.
 
 from __future__ import annotations
 
-from promptmill.operators.history import START_SCORE
-from promptmill.operators.vocabulary import (
-    RESERVED_IDS,
-    SENTIMENT_IDS,
-    SPECIAL_TOKENS,
-    VOCAB_SIZE,
-)
-from promptmill.plans import queries as q
-from promptmill.tasks import IT_WAS, SEEDS, SENTIMENTS, SIZES, TASKS
+# Fixed values, written out here so that a wrong one in the package is seen: tasks, sizes, seeds, ids.
+NO_YES, LEVELS, SENTIMENTS = ("No", "Yes"), ("normal", "offensive", "hatespeech"), ("negative", "neutral", "positive")
+GROUP, ABUSE, HATE, IT_WAS = "offensive towards a group ?", "Verbal abuse directed at a group ?", "Hate speech?", "It was"
+TASKS = [
+    # task, text column, question, sentiment prompt, label words
+    ("sbic", "post", GROUP, False, NO_YES),
+    ("sbic_v2", "post", GROUP, True, NO_YES),
+    ("sbic_v2_prompt_v2", "post", ABUSE, True, NO_YES),
+    ("sbic_v2_prompt_v3", "post", HATE, True, NO_YES),
+    ("hatexplain_two", "text_joined", GROUP, True, NO_YES),
+    ("hatexplain_thr", "text_joined", GROUP, False, LEVELS),
+    ("hatexplain_thr_v2", "text_joined", GROUP, True, LEVELS),
+    ("hs18", "text", GROUP, True, NO_YES),
+    ("ethos", "comment", GROUP, True, NO_YES),
+    ("toxigen", "text", GROUP, True, NO_YES),
+    ("t4sa", "text", IT_WAS, False, SENTIMENTS),
+    ("t4sa_sbic", "post", IT_WAS, False, SENTIMENTS),
+    ("t4sa_hatexplaintwo", "text_joined", IT_WAS, False, SENTIMENTS),
+    ("t4sa_hatexplainthr", "text_joined", IT_WAS, False, SENTIMENTS),
+    ("t4sa_hs18", "text", IT_WAS, False, SENTIMENTS),
+    ("t4sa_ethos", "comment", IT_WAS, False, SENTIMENTS),
+    ("t4sa_toxigen", "text", IT_WAS, False, SENTIMENTS),
+]
+SIZES = [16, 32, 64, 128, 256, 512, 1024]
+SEEDS = [9, 99, 999, 9999, 11, 264, 8758, 5437, 4676, 2364]
+START_SCORE = -1.0
+VOCAB_SIZE, RESERVED_IDS, SENTIMENT_IDS = 30522, 64, 6
+SPECIAL_TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
+MAX_LEN, SHORT_LEN, BATCH, TRAIN_BATCH, EPOCHS, WARMUP, PATIENCE, EVAL_EVERY = 512, 16, 32, 16, 10, 0.05, 5, 10
+SHOTS, SEED = 128, 9
+LABEL_WORDS = (3, 5, 7)
+
+
+def pattern(question: str, sentiment: bool) -> list[str]:
+    return ["[text_a]", *(["[sentiment_prompt]"] if sentiment else []), question, "[mask]", "."]
+
+
+PATTERNS = []
+for _task in TASKS:
+    if pattern(_task[2], _task[3]) not in PATTERNS:
+        PATTERNS.append(pattern(_task[2], _task[3]))
 
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')"
 
@@ -56,14 +88,14 @@ TASK_ROWS = "tasks AS (SELECT * FROM (VALUES " + values(
     [
         (
             str(i),
-            text(t.task),
-            text(t.text_column),
-            str(t.reads_sentiment).lower(),
-            texts(t.pattern),
-            "[" + ", ".join(map(str, t.labels)) + "]",
-            texts(t.verbalizers),
+            text(task),
+            text(column),
+            str(sentiment).lower(),
+            texts(pattern(question, sentiment)),
+            "[" + ", ".join(map(str, range(len(verbalizers)))) + "]",
+            texts(verbalizers),
         )
-        for i, t in enumerate(TASKS)
+        for i, (task, column, question, sentiment, verbalizers) in enumerate(TASKS)
     ]
 ) + ") t(task_no, task, text_column, reads_sentiment, pattern, labels, verbalizers))"
 
@@ -77,6 +109,8 @@ VECTOR_LOGITS = """xs AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v,
     logits10 AS (SELECT xs.vec_id AS guid, xs.label, means.class, sum(xs.v * means.m) AS logit
                  FROM xs JOIN means ON xs.i = means.i GROUP BY ALL)"""
 
+EVEN_LOGITS = VECTOR_LOGITS.replace("sum(xs.v * means.m) AS logit", "round(sum(xs.v * means.m), 6) AS logit")
+
 VECTOR_PREDICTIONS = """preds AS (
     SELECT guid, label, class AS pred FROM logits10
     QUALIFY row_number() OVER (PARTITION BY guid ORDER BY logit DESC, class) = 1)"""
@@ -87,8 +121,8 @@ SOFTMAX = """shifted AS (
 
 AUROC_PAIRS = """pairs AS (
     SELECT p.class, o.label AS other,
-           sum(CASE WHEN round(p.prob, 12) > round(o.prob, 12) THEN 1.0::DOUBLE
-                    WHEN round(p.prob, 12) = round(o.prob, 12) THEN 0.5::DOUBLE ELSE 0::DOUBLE END) / count(*) AS auc
+           sum(CASE WHEN p.prob > o.prob THEN 1.0::DOUBLE WHEN p.prob = o.prob THEN 0.5::DOUBLE ELSE 0::DOUBLE END)
+           / count(*) AS auc
     FROM probs p JOIN probs o ON o.class = p.class AND o.label <> p.class
     WHERE p.label = p.class GROUP BY ALL)"""
 
@@ -114,12 +148,12 @@ CELLS = f"""sizes AS (SELECT unnest([{", ".join(map(str, SIZES))}]) AS n),
 PROMPT_PHRASES = "phrases AS (SELECT * FROM (VALUES " + values(
     [
         row
-        for t in TASKS
+        for task, _, question, sentiment, verbalizers in TASKS
         for row in (
-            [(text(t.task), "0", str(i), text(p)) for i, p in enumerate(t.pattern) if p[0] != "["]
-            + [(text(t.task), "1", str(i), text(v)) for i, v in enumerate(t.verbalizers)]
-            + [(text(t.task), "2", str(i), text(p)) for i, p in enumerate((IT_WAS, "."))]
-            + [(text(t.task), "3", str(i), text(s)) for i, s in enumerate(SENTIMENTS)]
+            [(text(task), "0", str(i), text(p)) for i, p in enumerate(pattern(question, sentiment)) if p[0] != "["]
+            + [(text(task), "1", str(i), text(v)) for i, v in enumerate(verbalizers)]
+            + [(text(task), "2", str(i), text(p)) for i, p in enumerate((IT_WAS, "."))]
+            + [(text(task), "3", str(i), text(s)) for i, s in enumerate(SENTIMENTS)]
         )
     ]
 ) + ") p(task, section, pos, phrase))"
@@ -284,7 +318,7 @@ STAGE3 = [
     *SENTI_EXAMPLES,
     SAMPLE,
     f"""shots AS (SELECT a.* FROM annotated a JOIN sample s ON s.guid = a.guid
-                  WHERE s.seed = {q.SEED} AND s.rank <= {q.SHOTS})""",
+                  WHERE s.seed = {SEED} AND s.rank <= {SHOTS})""",
     trained("few", "shots", "label", 2),
     "held_out AS (SELECT * FROM annotated WHERE split <> 'train')",
     scored("held", "few", "held_out"),
@@ -338,7 +372,7 @@ BATCH_LOSS = """batch_loss AS (SELECT batch_id, avg(ce) AS loss, count(*) AS n_r
 
 VECTOR_REMAP = [PROMPT_PHRASES, VOCAB, reserved("remap", "(SELECT count(*) FROM embeddings)", 0)]
 
-WORDS_3 = ", ".join(map(str, q.LABEL_WORDS))
+WORDS_3 = ", ".join(map(str, LABEL_WORDS))
 
 
 def corpus_family(reads_sentiment: bool) -> str:
@@ -360,7 +394,7 @@ def remapped(first: int, sentiment: bool) -> str:
     return (
         with_(
             *ENCODE_BASE,
-            encoded(q.MAX_LEN),
+            encoded(MAX_LEN),
             reserved("reserved", str(VOCAB_SIZE), first),
             f"""placed AS (
                 SELECT *, row_number() OVER (PARTITION BY guid, flag ORDER BY p) AS nth FROM (
@@ -376,6 +410,104 @@ def remapped(first: int, sentiment: bool) -> str:
     )
 
 
+KEYS = "keys AS (SELECT DISTINCT k, n, seed, split FROM preds)"
+
+
+def sweep_units(classes: int) -> list[str]:
+    """units (k, n, seed, split, guid, label, class, units) and preds of all runs; k names a run and split."""
+    return [
+        SAMPLE,
+        f"sizes AS (SELECT unnest([{', '.join(map(str, SIZES))}]) AS n)",
+        """members AS (SELECT n, seed, a.guid, a.label AS class, a.tokens
+            FROM sample s JOIN sizes ON s.rank <= n JOIN annotated a ON a.guid = s.guid)""",
+        """counts AS (SELECT n, seed, class, token, count(*) AS c
+            FROM (SELECT n, seed, class, unnest(tokens) AS token FROM members) GROUP BY ALL)""",
+        "voc AS (SELECT DISTINCT n, seed, token FROM counts)",
+        "voc_size AS (SELECT n, seed, count(*) AS v FROM voc GROUP BY ALL)",
+        f"classes AS (SELECT unnest(range({classes})) AS class)",
+        """totals AS (SELECT v.n, v.seed, k.class, v.v, coalesce(sum(c), 0) AS total FROM voc_size v CROSS JOIN classes k
+            LEFT JOIN counts c ON c.n = v.n AND c.seed = v.seed AND c.class = k.class GROUP BY ALL)""",
+        """weights AS (SELECT v.n, v.seed, v.token, t.class,
+            round(ln((coalesce(c.c, 0) + 1)::DOUBLE / (t.total + t.v)) * 1e9)::BIGINT AS w
+            FROM voc v JOIN totals t ON t.n = v.n AND t.seed = v.seed
+            LEFT JOIN counts c ON c.n = v.n AND c.seed = v.seed AND c.class = t.class AND c.token = v.token)""",
+        "run_docs AS (SELECT n, seed, count(*) AS docs FROM members GROUP BY ALL)",
+        "class_docs AS (SELECT n, seed, class, count(*) AS own FROM members GROUP BY ALL)",
+        f"""priors AS (SELECT r.n, r.seed, k.class,
+            round(ln((coalesce(o.own, 0) + 1)::DOUBLE / (r.docs + {classes})) * 1e9)::BIGINT AS p
+            FROM run_docs r CROSS JOIN classes k LEFT JOIN class_docs o ON o.n = r.n AND o.seed = r.seed AND o.class = k.class)""",
+        "held_out AS (SELECT * FROM annotated WHERE split <> 'train')",
+        """tf AS (SELECT guid, token, count(*) AS tf
+            FROM (SELECT guid, unnest(tokens) AS token FROM held_out) GROUP BY ALL)""",
+        "sums AS (SELECT guid, n, seed, class, sum(tf * w) AS s FROM tf JOIN weights USING (token) GROUP BY ALL)",
+        """units AS (SELECT h.guid, h.split, h.label, p.n, p.seed, p.class, p.p + coalesce(s.s, 0) AS units,
+                p.n || '-' || p.seed || '-' || h.split AS k
+            FROM held_out h CROSS JOIN priors p
+            LEFT JOIN sums s ON s.guid = h.guid AND s.n = p.n AND s.seed = p.seed AND s.class = p.class)""",
+        """preds AS (SELECT k, n, seed, split, guid, label, class AS pred FROM units
+            QUALIFY row_number() OVER (PARTITION BY k, guid ORDER BY units DESC, class) = 1)""",
+    ]
+
+
+def judged_by_key(classes: int, multiclass: bool = True) -> list[str]:
+    """loss_by, and for several classes macro_by and auroc_by: one row for each k of units and preds."""
+    parts = [
+        """ces AS (SELECT k, guid, split, max(units) / 1e9 + ln(sum(exp((units - top) / 1e9)))
+               - max(units) FILTER (class = label) / 1e9 AS ce
+            FROM (SELECT *, max(units) OVER (PARTITION BY k, guid) AS top FROM units) u GROUP BY k, guid, split)""",
+        f"""ce_batches AS (SELECT k, guid, ce, (row_number() OVER (PARTITION BY k ORDER BY guid) - 1) // {TRAIN_BATCH} AS batch_id
+            FROM ces)""",
+        f"""loss_by AS (SELECT k, {rnd("sum(loss)")} AS loss
+            FROM (SELECT k, batch_id, avg(ce) AS loss FROM ce_batches GROUP BY k, batch_id) GROUP BY k)""",
+    ]
+    if not multiclass:
+        return parts
+    found, body = macro("preds", "k")
+    return parts + [
+        found,
+        f"macro_by AS ({body})",
+        """run_probs AS (SELECT k, guid, label, class, e / sum(e) OVER (PARTITION BY k, guid) AS prob FROM (
+            SELECT k, guid, label, class, exp((units - max(units) OVER (PARTITION BY k, guid)) / 1e9) AS e FROM units))""",
+        """run_pairs AS (SELECT p.k, p.class, o.label AS other,
+               sum(CASE WHEN p.prob > o.prob THEN 1.0::DOUBLE WHEN p.prob = o.prob THEN 0.5::DOUBLE ELSE 0::DOUBLE END)
+               / count(*) AS auc
+            FROM run_probs p JOIN run_probs o ON o.k = p.k AND o.class = p.class AND o.label <> p.class
+            WHERE p.label = p.class GROUP BY ALL)""",
+        f"""auroc_by AS (SELECT x.k, CASE WHEN count(auc) = {classes * (classes - 1)} THEN {rnd("avg(auc)")} END AS AUROC_score,
+               ({classes * (classes - 1)} - count(auc))::BIGINT AS undefined_pairs
+            FROM (SELECT DISTINCT k FROM preds) x LEFT JOIN run_pairs r ON r.k = x.k GROUP BY x.k)""",
+    ]
+
+
+def own_task() -> str:
+    """A task with two texts: ids of both, cut from the longer part down, as one list per row."""
+    phrase = f"""own_words AS (SELECT list(coalesce(v.id, 1) ORDER BY i) AS ids FROM (
+            SELECT unnest({tokens("'Same tone ?'")}) AS token, generate_subscripts({tokens("'Same tone ?'")}, 1) AS i) t
+            LEFT JOIN vocab v ON v.token = t.token),
+    stop AS (SELECT list(coalesce(v.id, 1)) AS ids FROM (SELECT '.' AS token) t LEFT JOIN vocab v ON v.token = t.token)"""
+    rows = f"""word_rows AS (
+        SELECT guid, 0 AS part, unnest({tokens("text_a")}) AS token, generate_subscripts({tokens("text_a")}, 1) AS i FROM examples
+        UNION ALL
+        SELECT guid, 1, unnest({tokens("second")}), generate_subscripts({tokens("second")}, 1)
+        FROM (SELECT guid, 'split ' || split AS second FROM examples)),
+    ids_of AS (SELECT guid, part, list(coalesce(v.id, 1) ORDER BY i) AS ids
+        FROM word_rows w LEFT JOIN vocab v ON v.token = w.token GROUP BY guid, part),
+    both_ids AS (
+        SELECT e.guid, e.label, coalesce(a.ids, []::INTEGER[]) AS a, b.ids AS b, o.ids AS o, s.ids AS s,
+               {MAX_LEN - 5} - len(b.ids) - len(o.ids) - 1 - len(s.ids) AS room
+        FROM examples e LEFT JOIN ids_of a ON a.guid = e.guid AND a.part = 0 JOIN ids_of b ON b.guid = e.guid AND b.part = 1,
+             own_words o, stop s)"""
+    return (
+        with_(EXAMPLES, PROMPT_PHRASES, VOCAB, phrase, rows)
+        + f"""SELECT guid, {words("[2] || a[1:room] || [3] || b || o || [4] || s || [3]")} AS input_ids,
+              {words("[1] || list_transform(a[1:room], lambda x: 0) || [1] || list_transform(b, lambda x: 0)"
+                     " || list_transform(o, lambda x: 2) || [-1] || list_transform(s, lambda x: 2) || [1]")} AS pet_flags,
+              (2 + least(len(a), room))::INTEGER AS first_segment,
+              (SELECT coalesce(max(id), 1) FROM vocab WHERE token = CASE label WHEN 0 THEN 'no' ELSE 'yes' END) AS pet_label
+              FROM both_ids"""
+    )
+
+
 def statements() -> dict[str, str]:
     out: dict[str, str] = {}
     senti_docs = with_(*SENTI_DOCUMENTS)
@@ -398,7 +530,7 @@ def statements() -> dict[str, str]:
     )
     out["sink_if_absent"] = (
         with_(EXAMPLES)
-        + "SELECT guid, split, senti_gold AS senti_pre, false AS wrote_again FROM examples WHERE split <> 'train'"
+        + "SELECT guid, split, senti_gold AS senti_pre, true AS wrote, false AS wrote_again FROM examples WHERE split <> 'train'"
     )
     out["predictions_sink"] = with_(VECTOR_LOGITS, VECTOR_PREDICTIONS) + "SELECT guid, pred FROM preds"
     out["metric_log_long"] = (
@@ -408,7 +540,7 @@ def statements() -> dict[str, str]:
             "preds AS (SELECT e.guid, split, label, pred FROM ex e JOIN ex_pred USING (guid) WHERE split <> 'train')",
             f"judged AS ({binary('preds', 'split')})",
             unit_losses("ces", "ex_units", "train_rows"),
-            batches("batched", "ces", q.TRAIN_BATCH),
+            batches("batched", "ces", TRAIN_BATCH),
             BATCH_LOSS,
         )
         + f"""SELECT 'toxic' AS run, 0::BIGINT AS step, split, metric, value
@@ -422,7 +554,7 @@ def statements() -> dict[str, str]:
              0 AS n_meta, true AS no_logits FROM examples"""
     )
     senti_words = "['negative', 'neutral', 'positive'][senti_gold + 1]"
-    patterns = values([(str(i), texts(p)) for i, p in enumerate(q.PATTERNS)])
+    patterns = values([(str(i), texts(p)) for i, p in enumerate(PATTERNS)])
     out["prompt_text"] = (
         with_(EXAMPLES)
         + f"""SELECT guid, pattern_no, array_to_string(list_transform(pattern, lambda p:
@@ -453,7 +585,7 @@ def statements() -> dict[str, str]:
              FROM task_examples e JOIN prompt_ids p
              ON p.task = e.task AND p.section = 1 AND p.pos = e.label AND p.tok_pos = 1"""
     )
-    encode = with_(*ENCODE_BASE, encoded(q.MAX_LEN))
+    encode = with_(*ENCODE_BASE, encoded(MAX_LEN))
     out["mask_position"] = encode + (
         "SELECT guid, task, (list_position(flags, -1) - 1)::INTEGER AS mask_pos,"
         " len(list_filter(flags, lambda f: f = -1))::INTEGER AS n_masks FROM encoded"
@@ -465,7 +597,7 @@ def statements() -> dict[str, str]:
              FROM (SELECT guid, task, list_filter(pattern, lambda p: p[1] <> '[') AS literals FROM task_examples))
              GROUP BY ALL"""
     )
-    out["eval_steps"] = with_(HISTORY) + f"SELECT run, step, value FROM history WHERE step % {q.EVAL_EVERY} = 0"
+    out["eval_steps"] = with_(HISTORY) + f"SELECT run, step, value FROM history WHERE step % {EVAL_EVERY} = 0"
     out["has_sentiment_prompt"] = (
         with_(EXAMPLES, TASK_ROWS, TASK_EXAMPLES)
         + "SELECT task, reads_sentiment AS has_sentiment, count(*) AS n_rows FROM task_examples GROUP BY ALL"
@@ -489,7 +621,7 @@ def statements() -> dict[str, str]:
     out["verbalizer_logits"] = (
         with_(VECTOR_LOGITS)
         + f"""SELECT guid, (list_position([{WORDS_3}], class) - 1)::INTEGER AS pos, {rnd("logit")} AS logit
-              FROM logits10 WHERE label IN ({WORDS_3}) AND class IN ({WORDS_3})"""
+              FROM logits10 WHERE class IN ({WORDS_3})"""
     )
     out["target_ids"] = (
         with_(*ENCODE_BASE, reserved("reserved", str(VOCAB_SIZE), 0))
@@ -516,11 +648,11 @@ def statements() -> dict[str, str]:
         + f"SELECT ({size_no} * {len(SEEDS)} + {seed_no})::INTEGER AS cell, n, seed, n_rows FROM cells"
     )
     out["batch_collate"] = (
-        with_(EXAMPLES, batches("batched", "examples", q.TRAIN_BATCH))
+        with_(EXAMPLES, batches("batched", "examples", TRAIN_BATCH))
         + f"""SELECT batch_id, {words("list(guid ORDER BY pos)")} AS guids, {words("list(label ORDER BY pos)")} AS labels,
               {words("list(senti_gold ORDER BY pos)")} AS sentis FROM batched GROUP BY batch_id"""
     )
-    losses = with_(VECTOR_LOGITS, CE_FULL, batches("batched", "ce_full", q.BATCH), BATCH_LOSS)
+    losses = with_(VECTOR_LOGITS, CE_FULL, batches("batched", "ce_full", BATCH), BATCH_LOSS)
     out["batch_loss"] = losses + f"SELECT batch_id, {rnd('loss')} AS loss, n_rows FROM batch_loss"
     out["eval_loss"] = losses + (
         f"SELECT {rnd('sum(loss)')} AS loss, {rnd('sum(loss * n_rows) / sum(n_rows)')} AS mean_loss FROM batch_loss"
@@ -532,12 +664,12 @@ def statements() -> dict[str, str]:
     found, body = macro("preds")
     out["metrics_multi"] = with_(VECTOR_LOGITS, VECTOR_PREDICTIONS, found) + body
     out["batch_precision"] = (
-        with_(*TOXIC_HELD, batches("batched", "preds", q.TRAIN_BATCH, "guid, label, pred"), f"m AS ({binary('batched', 'batch_id')})")
+        with_(*TOXIC_HELD, batches("batched", "preds", TRAIN_BATCH, "guid, label, pred"), f"m AS ({binary('batched', 'batch_id')})")
         + "SELECT batch_id, n_rows, precision, accuracy AS micro_precision FROM m"
     )
     out["auroc_ovo"] = (
         with_(
-            VECTOR_LOGITS,
+            EVEN_LOGITS,
             SOFTMAX,
             AUROC_PAIRS,
         )
@@ -546,14 +678,14 @@ def statements() -> dict[str, str]:
     found, body = macro("preds")
     out["evaluate_task_types"] = (
         with_(
-            VECTOR_LOGITS,
+            EVEN_LOGITS,
             VECTOR_PREDICTIONS,
             found,
             f"many AS ({body})",
             SOFTMAX,
             AUROC_PAIRS,
             CE_FULL,
-            batches("vector_batches", "ce_full", q.BATCH),
+            batches("vector_batches", "ce_full", BATCH),
             "vector_loss AS (SELECT sum(loss) AS loss FROM (SELECT avg(ce) AS loss FROM vector_batches GROUP BY batch_id))",
             *TOXIC,
             "test_rows AS (SELECT * FROM ex WHERE split = 'test')",
@@ -561,7 +693,7 @@ def statements() -> dict[str, str]:
             "test_preds AS (SELECT t.*, pred FROM test_rows t JOIN test_pred USING (guid))",
             f"two AS ({binary('test_preds')})",
             unit_losses("test_ce", "test_units", "test_rows"),
-            batches("test_batches", "test_ce", q.TRAIN_BATCH),
+            batches("test_batches", "test_ce", TRAIN_BATCH),
             "test_loss AS (SELECT sum(loss) AS loss FROM (SELECT avg(ce) AS loss FROM test_batches GROUP BY batch_id))",
         )
         + f"""SELECT 'all' AS split, metric, value FROM (UNPIVOT many ON accuracy, f1_score INTO NAME metric VALUE value)
@@ -573,8 +705,8 @@ def statements() -> dict[str, str]:
     )
     out["sweep_steps"] = (
         with_(EXAMPLES, SAMPLE, CELLS)
-        + f"""SELECT n, seed, (ceil(n_rows / {q.TRAIN_BATCH}) * {q.EPOCHS})::BIGINT AS steps,
-              floor(ceil(n_rows / {q.TRAIN_BATCH}) * {q.EPOCHS} * {q.WARMUP}::DOUBLE)::BIGINT AS warmup FROM cells"""
+        + f"""SELECT n, seed, (ceil(n_rows / {TRAIN_BATCH}) * {EPOCHS})::BIGINT AS steps,
+              floor(ceil(n_rows / {TRAIN_BATCH}) * {EPOCHS} * {WARMUP}::DOUBLE)::BIGINT AS warmup FROM cells"""
     )
     out["part_lengths"] = encode + "SELECT DISTINCT guid, task, list_sum(ls)::INTEGER AS total_length FROM cut"
     out["vector_max_abs"] = (
@@ -585,7 +717,7 @@ def statements() -> dict[str, str]:
         with_(*TOXIC) + f"SELECT class::INTEGER AS class, token, n, {rnd('w / 1e9', 4)} AS weight FROM toxic_weight"
     )
     out["batch_assign"] = (
-        with_(EXAMPLES, batches("batched", "examples", q.BATCH, "guid")) + "SELECT guid, batch_id, pos FROM batched"
+        with_(EXAMPLES, batches("batched", "examples", BATCH, "guid")) + "SELECT guid, batch_id, pos FROM batched"
     )
     out["reserved_ids"] = (
         with_(
@@ -606,7 +738,7 @@ def statements() -> dict[str, str]:
             """streaks AS (SELECT *, sum(1 - improved) OVER (PARTITION BY run, island ORDER BY step) AS streak
                FROM islands)""",
         )
-        + f"""SELECT run, count(*) AS n_evals, min(step) FILTER (streak >= {q.PATIENCE}) AS stop_step
+        + f"""SELECT run, count(*) AS n_evals, min(step) FILTER (streak >= {PATIENCE}) AS stop_step
               FROM streaks GROUP BY run"""
     )
     out["test_on_improve"] = with_(HISTORY, IMPROVED) + "SELECT run, step, test_value FROM judged WHERE improved = 1"
@@ -614,12 +746,12 @@ def statements() -> dict[str, str]:
     out["seeded_shuffle"] = (
         with_(EXAMPLES)
         + f"""SELECT guid, epoch, row_number() OVER (PARTITION BY epoch ORDER BY
-              md5(concat_ws('-', {q.SEED}, epoch, guid)), guid) AS shuffle_pos
+              md5(concat_ws('-', {SEED}, epoch, guid)), guid) AS shuffle_pos
               FROM examples, (VALUES (1), (2)) e(epoch) WHERE split = 'train'"""
     )
     best = "best AS (SELECT run, step, value FROM history QUALIFY row_number() OVER (PARTITION BY run ORDER BY value DESC, step) = 1)"
     out["best_checkpoint"] = with_(HISTORY, best) + "SELECT run, step AS best_step, value AS best_value FROM best"
-    short = with_(*ENCODE_BASE, encoded(q.SHORT_LEN))
+    short = with_(*ENCODE_BASE, encoded(SHORT_LEN))
     out["truncate_parts"] = short + (
         f"SELECT guid, task, {words('list(kept::INTEGER ORDER BY slot_no)')} AS kept FROM cut GROUP BY guid, task"
     )
@@ -634,7 +766,7 @@ def statements() -> dict[str, str]:
         f"SELECT doc_id AS guid, len({tokens('text')})::INTEGER AS n_tokens, {words(tokens('text'))} AS tokens FROM documents"
     )
     out["encode_padded"] = (
-        with_(*ENCODE_BASE, encoded(q.MAX_LEN), padded(q.MAX_LEN))
+        with_(*ENCODE_BASE, encoded(MAX_LEN), padded(MAX_LEN))
         + f"""SELECT guid, task, label AS label_id, senti_pre, {words("ids")} AS input_ids, {words("mask")} AS attention_mask,
               {words("types")} AS token_type_ids, {words("flags")} AS pet_flags FROM padded"""
     )
@@ -650,7 +782,7 @@ def statements() -> dict[str, str]:
     out["checkpoint_name"] = (
         with_(HISTORY, best) + "SELECT run, 'output/' || round(value, 2)::DOUBLE || '/' AS name FROM best"
     )
-    unit = f"(('0x' || substr(md5(concat_ws('-', {q.SEED}, vec_id, i)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+    unit = f"(('0x' || substr(md5(concat_ws('-', {SEED}, vec_id, i)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
     out["embedding_random_init"] = (
         with_(
             *VECTOR_REMAP,
@@ -664,8 +796,8 @@ def statements() -> dict[str, str]:
     out["batch_scorer"] = (
         with_(
             *ENCODE_BASE,
-            encoded(q.MAX_LEN),
-            padded(q.MAX_LEN),
+            encoded(MAX_LEN),
+            padded(MAX_LEN),
             """bases AS (SELECT guid, list_sum(ids)::BIGINT + 3 * list_sum(types)::BIGINT
                          + 7 * (list_position(flags, -1) - 1)::BIGINT AS base FROM padded)""",
         )
@@ -707,38 +839,57 @@ def statements() -> dict[str, str]:
         + f"SELECT guid, split, label, senti_pre, pred, {rnd('prob', 4)} AS prob_yes FROM preds JOIN yes USING (guid)"
     )
     out["stage3_metrics"] = with_(*STAGE3) + binary("preds", "split")
-    out["sweep_metrics"] = (
+    out["stage2_rejects"] = senti_docs + (
+        "SELECT doc_id AS guid, CASE WHEN doc_id % 13 <> 0 THEN pred END AS senti_pre,"
+        " CASE WHEN doc_id % 13 = 0 THEN 'null text' END AS reason FROM documents JOIN doc_pred ON guid = doc_id"
+    )
+    out["stage3_rejects"] = (
+        with_(EXAMPLES)
+        + """SELECT guid, split, CASE WHEN guid % 13 = 0 THEN 'null text' WHEN guid % 11 IN (0, 1) THEN 'unknown label'
+             WHEN guid % 7 = 0 THEN 'sentiment out of range' END AS reason FROM examples"""
+    )
+    out["encode_rejects"] = short + (
+        "SELECT guid, task, 'prompt does not fit' AS reason FROM parts GROUP BY guid, task"
+        f" HAVING sum(len(ids)) FILTER (slot <> '[text_a]') > {SHORT_LEN - 4}"
+    )
+    out["encode_own_task"] = own_task()
+    out["evaluate_saved"] = (
         with_(
-            *SENTI_EXAMPLES,
+            *STAGE3[:-3],
+            "held_out AS (SELECT * FROM annotated WHERE split = 'test')",
+            *STAGE3[-2:],
+            f"judged AS ({binary('preds')})",
+            unit_losses("ces", "held_units", "held_out"),
+            batches("batched", "ces", TRAIN_BATCH),
+            BATCH_LOSS,
+        )
+        + f"""SELECT 'test' AS split, metric, value
+          FROM (UNPIVOT judged ON precision, accuracy, f1_score INTO NAME metric VALUE value)
+          UNION ALL SELECT 'test', 'loss', {rnd("sum(loss)")} FROM batch_loss"""
+    )
+    three = [part.replace("label, split, pred AS senti_pre", "senti_gold AS label, split, pred AS senti_pre") for part in SENTI_EXAMPLES]
+    out["stage3_multiclass"] = (
+        with_(
+            *three,
             SAMPLE,
-            f"sizes AS (SELECT unnest([{', '.join(map(str, SIZES))}]) AS n)",
-            """members AS (SELECT n, seed, a.guid, a.label AS class, a.tokens
-                FROM sample s JOIN sizes ON s.rank <= n JOIN annotated a ON a.guid = s.guid)""",
-            """counts AS (SELECT n, seed, class, token, count(*) AS c
-                FROM (SELECT n, seed, class, unnest(tokens) AS token FROM members) GROUP BY ALL)""",
-            "voc AS (SELECT DISTINCT n, seed, token FROM counts)",
-            "voc_size AS (SELECT n, seed, count(*) AS v FROM voc GROUP BY ALL)",
-            "classes AS (SELECT unnest([0, 1]) AS class)",
-            """totals AS (SELECT v.n, v.seed, k.class, v.v, coalesce(sum(c), 0) AS total FROM voc_size v CROSS JOIN classes k
-                LEFT JOIN counts c ON c.n = v.n AND c.seed = v.seed AND c.class = k.class GROUP BY ALL)""",
-            """weights AS (SELECT v.n, v.seed, v.token, t.class,
-                round(ln((coalesce(c.c, 0) + 1)::DOUBLE / (t.total + t.v)) * 1e9)::BIGINT AS w
-                FROM voc v JOIN totals t ON t.n = v.n AND t.seed = v.seed
-                LEFT JOIN counts c ON c.n = v.n AND c.seed = v.seed AND c.class = t.class AND c.token = v.token)""",
-            """prior_counts AS (SELECT n, seed, count(*) AS docs, count(*) FILTER (class = 0) AS d0,
-                count(*) FILTER (class = 1) AS d1 FROM members GROUP BY ALL)""",
-            """priors AS (SELECT n, seed, class,
-                round(ln((CASE class WHEN 0 THEN d0 ELSE d1 END + 1)::DOUBLE / (docs + 2)) * 1e9)::BIGINT AS p
-                FROM prior_counts CROSS JOIN classes)""",
+            STAGE3[-5],
+            trained("few", "shots", "label", 3),
             "held_out AS (SELECT * FROM annotated WHERE split <> 'train')",
-            """tf AS (SELECT guid, token, count(*) AS tf
-                FROM (SELECT guid, unnest(tokens) AS token FROM held_out) GROUP BY ALL)""",
-            "sums AS (SELECT guid, n, seed, class, sum(tf * w) AS s FROM tf JOIN weights USING (token) GROUP BY ALL)",
-            """units AS (SELECT h.guid, p.n, p.seed, p.class, p.p + coalesce(s.s, 0) AS units FROM held_out h CROSS JOIN priors p
-                LEFT JOIN sums s ON s.guid = h.guid AND s.n = p.n AND s.seed = p.seed AND s.class = p.class)""",
-            """preds AS (SELECT u.guid, h.split, h.label, u.n, u.seed, u.class AS pred FROM units u JOIN held_out h USING (guid)
-                QUALIFY row_number() OVER (PARTITION BY u.guid, u.n, u.seed ORDER BY units DESC, u.class) = 1)""",
+            scored("held", "few", "held_out"),
+            "preds AS (SELECT h.guid, h.split, h.label, pred, h.split AS k FROM held_out h JOIN held_pred USING (guid))",
+            "units AS (SELECT u.guid, h.split, h.label, h.split AS k, u.class, u.units FROM held_units u JOIN held_out h USING (guid))",
+            *judged_by_key(3),
         )
-        + binary("preds", "n, seed, split")
+        + "SELECT split, n_rows, accuracy, f1_score, AUROC_score, undefined_pairs, loss FROM"
+        " (SELECT DISTINCT k, split FROM preds) s JOIN macro_by USING (k) JOIN auroc_by USING (k) JOIN loss_by USING (k)"
+    )
+    out["sweep_metrics"] = (
+        with_(*SENTI_EXAMPLES, *sweep_units(2), *judged_by_key(2, multiclass=False), f"found AS ({binary('preds', 'k')})", KEYS)
+        + f"SELECT n, seed, split, n_rows, precision, accuracy, f1_score, loss FROM keys JOIN found USING (k) JOIN loss_by USING (k)"
+    )
+    out["sweep_multiclass"] = (
+        with_(*three, *sweep_units(3), *judged_by_key(3), KEYS)
+        + "SELECT n, seed, split, n_rows, accuracy, f1_score, AUROC_score, undefined_pairs, loss"
+        " FROM keys JOIN macro_by USING (k) JOIN auroc_by USING (k) JOIN loss_by USING (k)"
     )
     return out

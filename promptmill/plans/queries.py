@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptmill.functions.arrays import argmax, gather, max_abs, softmax, total_int
-from promptmill.functions.text import tokens
 from promptmill.operators import history as runs
 from promptmill.operators import metrics, prompts, sampling, scorer, vocabulary
 from promptmill.operators.classifier import predict_logreg, train_logreg
@@ -16,16 +15,20 @@ from promptmill.operators.examples import accepted, canonical, rejected
 from promptmill.operators.subwords import subword_vocab, subwords
 from promptmill.plans import inputs, stages
 from promptmill.sources import corpus, sinks
-from promptmill.sources.storage import materialize, new_path
+from promptmill.sources.storage import materialize, new_path, remove
 from promptmill.tasks import (
+    MASK,
     TASKS,
+    TEXT_A,
+    TEXT_B,
+    Task,
     has_sentiment,
     literal_parts,
     resolve_tasks,
 )
 
 # Parameters of the registered queries.
-MAX_LEN = 64
+MAX_LEN = 512
 SHORT_LEN = 16
 BATCH = 32
 TRAIN_BATCH = 16
@@ -158,9 +161,13 @@ def sink_if_absent(spark, sf):
             for s in ("dev", "test")
         }
 
-    sinks.write_if_absent(targets(F.col("senti_gold")), "parquet")
+    # A target that was cut off before its end is not taken for a result.
+    sinks.write_annotated(rows.select("guid", "split", F.lit(-2).alias("senti_pre")), f"{folder}/dev", "parquet")
+    remove(spark, f"{folder}/dev/_SUCCESS")
+    wrote = sinks.write_if_absent(targets(F.col("senti_gold")), "parquet")
     again = sinks.write_if_absent(targets(F.lit(-1)), "parquet")
-    return spark.read.parquet(f"{folder}/dev", f"{folder}/test").withColumn("wrote_again", F.lit(again))
+    read = spark.read.parquet(f"{folder}/dev", f"{folder}/test")
+    return read.withColumn("wrote", F.lit(wrote)).withColumn("wrote_again", F.lit(again))
 
 
 @query
@@ -349,7 +356,7 @@ def id_remap_second(spark, sf):
 
 @query
 def verbalizer_logits(spark, sf):
-    rows = inputs.vector_logits(spark, sf).filter(F.col("label").isin(*LABEL_WORDS))
+    rows = inputs.vector_logits(spark, sf)
     chosen = gather(F.col("logits"), F.array(*[F.lit(c) for c in LABEL_WORDS]))
     return rows.select("guid", F.posexplode(chosen).alias("pos", "logit")).withColumn("logit", r6("logit"))
 
@@ -380,6 +387,30 @@ def embedding_row_copy(spark, sf):
     return _long_vectors(vocabulary.copy_rows(vectors, remap))
 
 
+@query
+def encode_rejects(spark, sf):
+    lookup = _lookup(spark, sf)
+    slots = prompts.task_slots(vocabulary.prompt_tokens(spark, lookup))
+    return prompts.encode_rejects(_task_rows(spark, sf), slots, lookup, SHORT_LEN)
+
+
+# A task of the caller's own: a second text in the prompt.
+PAIR_TASK = Task("pair", "text", False, (TEXT_A, TEXT_B, "Same tone ?", MASK, "."), ("No", "Yes"))
+
+
+@query
+def encode_own_task(spark, sf):
+    """A pattern with two texts that is none of the 17; the second text is the document's language."""
+    lookup = _lookup(spark, sf)
+    slots = prompts.task_slots(vocabulary.prompt_tokens(spark, lookup, tasks=[PAIR_TASK]))
+    rows = inputs.examples(spark, sf).select(
+        "guid", "text_a", F.concat_ws(" ", F.lit("split"), "split").alias("text_b"), "label", F.lit(None).cast("int").alias("senti_pre"),
+        F.lit("pair").alias("task"),
+    )
+    encoded = prompts.encode(accepted(resolve_tasks(rows, [PAIR_TASK])), slots, lookup, MAX_LEN)
+    return encoded.select("guid", joined("input_ids").alias("input_ids"), joined("pet_flags").alias("pet_flags"), "first_segment", "pet_label")
+
+
 @query
 def encode_prompt(spark, sf):
     rows, _ = _encoded(spark, sf)
@@ -464,16 +495,21 @@ def batch_precision(spark, sf):
     return by_batch.select("batch_id", "n_rows", r6("precision").alias("precision"), r6("accuracy").alias("micro_precision"))
 
 
+def _even_logits(spark, sf):
+    """Logits in whole millionths, so that equal scores are equal in any engine."""
+    return inputs.vector_logits(spark, sf).withColumn("logits", F.transform("logits", r6))
+
+
 @query
 def auroc_ovo(spark, sf):
-    rows = inputs.vector_logits(spark, sf).select("label", softmax(F.col("logits")).alias("probs"))
+    rows = _even_logits(spark, sf).select("label", softmax(F.col("logits")).alias("probs"))
     result = metrics.auroc_ovo(rows, inputs.VECTOR_CLASSES)
     return result.select(r6("AUROC_score").alias("AUROC_score"), "undefined_pairs")
 
 
 @query
 def evaluate_task_types(spark, sf):
-    vectors = inputs.vector_logits(spark, sf).withColumn("pred", argmax(F.col("logits")))
+    vectors = _even_logits(spark, sf).withColumn("pred", argmax(F.col("logits")))
     several = metrics.evaluate(materialize(vectors, "scores"), "multiclass", inputs.VECTOR_CLASSES, BATCH, "all")
     toxic = materialize(_toxic_scores(spark, sf, ("test",)), "scores")
     two = metrics.evaluate(toxic, "binary", (0, 1), TRAIN_BATCH, "test")
@@ -489,12 +525,7 @@ def sweep_steps(spark, sf):
 def _parts(spark, sf, max_len):
     lookup = _lookup(spark, sf)
     slots = prompts.task_slots(vocabulary.prompt_tokens(spark, lookup))
-    rows = _task_rows(spark, sf)
-    texts = rows.select("guid", "task", "label_id", "senti_pre", tokens(F.col("text_a")).alias("tokens"))
-    ids = vocabulary.token_ids(texts, lookup, ["guid", "task", "label_id", "senti_pre"])
-    patterns = rows.select("guid", "pattern")
-    whole = ids.withColumnRenamed("ids", "text_ids").withColumn("text_b_ids", F.lit(None).cast("array<int>"))
-    return prompts.with_parts(whole.join(patterns, "guid").join(F.broadcast(slots), "task"), max_len)
+    return prompts.fitted(_task_rows(spark, sf), slots, lookup, max_len, whole=True)
 
 
 @query
@@ -716,20 +747,21 @@ def score_tokens(spark, sf):
 # --- whole jobs ----------------------------------------------------------------------------
 
 
+def _stored_examples(spark, sf):
+    """The labelled rows, so that a whole job reads the corpus once."""
+    return materialize(inputs.examples(spark, sf), "examples")
+
+
 @query
 def stage1_sentiment(spark, sf):
-    rows = inputs.examples(spark, sf)
-    model = stages.learn_sentiment(rows)
-    held_out = stages.tokenized(rows.filter(F.col("split") != "train"))
-    return scorer.score(held_out, model, ["guid", "split", "senti_gold"]).select("guid", "split", "senti_gold", "pred")
+    rows = _stored_examples(spark, sf)
+    return stages.judge_sentiment(rows, stages.learn_sentiment(rows))
 
 
 @query
 def stage1_metrics(spark, sf):
-    rows = inputs.examples(spark, sf)
-    model = stages.learn_sentiment(rows)
-    held_out = stages.tokenized(rows.filter(F.col("split") != "train"))
-    scored = scorer.score(held_out, model, ["guid", "split", "senti_gold"]).withColumnRenamed("senti_gold", "label")
+    rows = _stored_examples(spark, sf)
+    scored = stages.judge_sentiment(rows, stages.learn_sentiment(rows)).withColumnRenamed("senti_gold", "label")
     return _rounded(metrics.macro_metrics(scored, ["split"]), ["accuracy", "f1_score"])
 
 
@@ -746,9 +778,42 @@ def stage2_annotate(spark, sf):
     )
 
 
+@query
+def stage2_rejects(spark, sf):
+    """All documents, some without text: annotated or turned away."""
+    model = stages.learn_sentiment(inputs.examples(spark, sf))
+    text = F.when(F.col("guid") % 13 != 0, F.col("text"))
+    corpus_rows = inputs.documents(spark, sf).select("guid", text.alias("text"))
+    kept = stages.annotate(corpus_rows, model, ["guid"], "text").select("guid", "senti_pre", F.lit(None).cast("string").alias("reason"))
+    away = stages.annotate_rejects(corpus_rows, "text").select("guid", F.lit(None).cast("int").alias("senti_pre"), "reason")
+    return kept.unionByName(away)
+
+
 def _with_predicted_sentiment(spark, sf):
-    rows = inputs.examples(spark, sf)
-    return stages.annotate(rows, stages.learn_sentiment(rows))
+    rows = _stored_examples(spark, sf)
+    return materialize(stages.annotate(rows, stages.learn_sentiment(rows)), "annotated")
+
+
+def _dirty_annotated(spark, sf):
+    """Annotated examples in which some texts, labels and sentiments cannot be used."""
+    guid = F.col("guid")
+    rows = _with_predicted_sentiment(spark, sf)
+    return rows.select(
+        "guid", "split", F.when(guid % 13 != 0, F.col("text_a")).alias("text_a"),
+        F.when(guid % 11 == 0, 7).when(guid % 11 != 1, F.col("label")).alias("label"),
+        F.when(guid % 7 == 0, 3).otherwise(F.col("senti_pre")).alias("senti_pre"),
+    )
+
+
+@query
+def stage3_rejects(spark, sf):
+    """All examples of a dirty corpus: predicted, learned from, or turned away."""
+    rows = _dirty_annotated(spark, sf)
+    _, predicted = stages.classify(rows, SHOTS, SEED)
+    none = F.lit(None).cast("string").alias("reason")
+    learned = rows.filter(F.col("split") == "train").join(stages.classify_rejects(rows).select("guid"), "guid", "left_anti")
+    away = stages.classify_rejects(rows).select("guid", "split", "reason")
+    return predicted.select("guid", "split", none).unionByName(learned.select("guid", "split", none)).unionByName(away)
 
 
 @query
@@ -765,9 +830,35 @@ def stage3_metrics(spark, sf):
     return _rounded(metrics.binary_metrics(predicted, ["split"]), ["precision", "accuracy", "f1_score"])
 
 
+def _three_classes(spark, sf):
+    rows = _stored_examples(spark, sf)
+    annotated = stages.annotate(rows, stages.learn_sentiment(rows))
+    return materialize(annotated.withColumn("label", F.col("senti_gold")), "annotated")
+
+
+@query
+def stage3_multiclass(spark, sf):
+    _, predicted = stages.classify(_three_classes(spark, sf), SHOTS, SEED, 3)
+    judged = stages.judge(predicted.drop("probs"), ["split"], 3, "multiclass")
+    return _rounded(judged, ["accuracy", "f1_score", "AUROC_score", "loss"])
+
+
+@query
+def evaluate_saved(spark, sf):
+    path = new_path(spark, "scorer")
+    rows = _with_predicted_sentiment(spark, sf)
+    scorer.save_scorer(stages.learn_few_shot(rows, SHOTS, SEED), path)
+    _, log = stages.evaluate_saved(spark, path, rows, "test")
+    return log.select("split", "metric", r6("value").alias("value"))
+
+
 @query
 def sweep_metrics(spark, sf):
     rows = stages.sweep(_with_predicted_sentiment(spark, sf))
-    return _rounded(rows, ["precision", "accuracy", "f1_score"])
+    return _rounded(rows, ["precision", "accuracy", "f1_score", "loss"])
 
 
+@query
+def sweep_multiclass(spark, sf):
+    rows = stages.sweep(_three_classes(spark, sf), classes=3, task_type="multiclass")
+    return _rounded(rows, ["accuracy", "f1_score", "AUROC_score", "loss"])

@@ -1,20 +1,28 @@
-"""The three stages and the sweep, as whole jobs."""
+"""The three stages, evaluation and the sweep, as whole jobs.
+
+Rows that a stage cannot use are turned away with a reason: kept rows and rejects are all rows.
+`strict` makes a job fail on the first such row instead.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmill.functions.arrays import softmax
+from promptmill.functions.arrays import cross_entropy, softmax
 from promptmill.functions.text import sentiment_token, tokens
-from promptmill.operators.metrics import binary_metrics
+from promptmill.operators.examples import kept_rows, row_reason, turned_away
+from promptmill.operators.metrics import auroc_ovo, binary_metrics, evaluate, macro_metrics
+from promptmill.operators.ordering import range_slices, row_index
 from promptmill.operators.sampling import few_shot, sizes_holding, sweep_grid
 from promptmill.operators.scorer import (
     TokenScorer,
     append_predictions,
+    class_in_place,
     decide,
+    load_scorer,
     one_model,
     score,
     score_cells,
@@ -23,35 +31,64 @@ from promptmill.operators.scorer import (
 from promptmill.sources.storage import BROADCAST_BYTES, materialize
 from promptmill.tasks import SEEDS, SENTIMENTS, SIZES
 
+# Rows of an evaluation batch: the reported loss is the sum of batch means.
+EVAL_BATCH = 16
+
+# A sentiment model: a scorer learned here, or any function from a text column to a class column.
+SentimentModel = TokenScorer | Callable[[Column], Column]
+
 
 def tokenized(rows: DataFrame, text: str = "text_a") -> DataFrame:
     """The tokens in place of the text."""
     return rows.withColumn("tokens", tokens(F.col(text))).drop(text)
 
 
-def learn_sentiment(examples: DataFrame) -> TokenScorer:
+def learn_sentiment(examples: DataFrame, strict: bool = False) -> TokenScorer:
     """Stage 1: a three-class scorer from the training rows of `text_a` and `senti_gold`."""
-    rows = tokenized(examples.filter(F.col("split") == "train"))
-    return train(one_model(rows, "senti_gold", len(SENTIMENTS)), len(SENTIMENTS))
+    usable = kept_rows(examples.filter(F.col("split") == "train"), _sentiment_reason(), strict)
+    return train(one_model(tokenized(usable), "senti_gold", len(SENTIMENTS)), len(SENTIMENTS))
 
 
-def predict_sentiment(
-    corpus: DataFrame, scorer: TokenScorer, key: Sequence[str] = ("guid",), text: str = "text_a"
-) -> DataFrame:
-    """key, pred: the predicted sentiment of every row of any corpus."""
-    return score(tokenized(corpus, text), scorer, key).select(*key, "pred")
+def _sentiment_reason() -> Column:
+    return row_reason("senti_gold", len(SENTIMENTS))
+
+
+def sentiment_rejects(examples: DataFrame) -> DataFrame:
+    """Rows that stage 1 neither learns from nor judges, with the reason."""
+    return turned_away(examples, _sentiment_reason())
+
+
+def judge_sentiment(examples: DataFrame, scorer: TokenScorer, strict: bool = False) -> DataFrame:
+    """guid, split, senti_gold, pred of the dev and test rows."""
+    held_out = kept_rows(examples.filter(F.col("split") != "train"), _sentiment_reason(), strict)
+    return score(tokenized(held_out), scorer, ["guid", "split", "senti_gold"]).drop("logits")
 
 
 def annotate(
-    corpus: DataFrame, scorer: TokenScorer, key: Sequence[str] = ("guid",), text: str = "text_a"
+    corpus: DataFrame,
+    model: SentimentModel,
+    key: Sequence[str] = ("guid",),
+    text: str = "text_a",
+    limit: int = BROADCAST_BYTES,
+    strict: bool = False,
 ) -> DataFrame:
-    """Stage 2: the corpus with its predicted sentiment in `senti_pre`, joined by key.
+    """Stage 2: the corpus with its predicted sentiment in `senti_pre`.
 
-    Only keys and classes are stored between the two steps; the texts are shuffled once, as they
-    are, and never copied.
+    With a scorer that fits a broadcast, or an external model, every row is scored where it is read. With a
+    larger scorer the narrow predictions are stored and joined by key, which must be unique then.
     """
-    predicted = materialize(predict_sentiment(corpus.select(*key, text), scorer, key, text), "sentiments")
-    return append_predictions(corpus, predicted, key)
+    rows = kept_rows(corpus, row_reason(text=text), strict)
+    if callable(model):
+        return rows.withColumn("senti_pre", model(F.col(text)))
+    if model.nbytes <= limit:
+        return rows.withColumn("senti_pre", class_in_place(model)(tokens(F.col(text))))
+    scored = score(tokenized(rows.select(*key, text), text), model, key, limit)
+    return append_predictions(rows, materialize(scored.select(*key, "pred"), "sentiments"), key)
+
+
+def annotate_rejects(corpus: DataFrame, text: str = "text_a") -> DataFrame:
+    """Rows of a corpus that stage 2 turns away, with the reason."""
+    return turned_away(corpus, row_reason(text=text))
 
 
 def prompt_features(rows: DataFrame) -> DataFrame:
@@ -60,34 +97,74 @@ def prompt_features(rows: DataFrame) -> DataFrame:
     return with_tokens.withColumn("tokens", F.concat("tokens", F.array(sentiment_token(F.col("senti_pre")))))
 
 
-def classify(examples: DataFrame, n: int, seed: int, classes: int = 2) -> tuple[TokenScorer, DataFrame]:
+def _stage3_reason(classes: int) -> Column:
+    return row_reason("label", classes, "senti_pre")
+
+
+def classify_rejects(examples: DataFrame, classes: int = 2) -> DataFrame:
+    """Rows that stage 3 turns away, with the reason."""
+    return turned_away(examples, _stage3_reason(classes))
+
+
+def learn_few_shot(examples: DataFrame, n: int, seed: int, classes: int = 2, strict: bool = False) -> TokenScorer:
+    """A scorer from n sampled training rows."""
+    usable = kept_rows(examples.filter(F.col("split") == "train"), _stage3_reason(classes), strict)
+    sample = few_shot(usable.select("guid", "label"), [seed], n).select("guid")
+    # At most n keys, so the texts of the sample are picked without a shuffle.
+    rows = prompt_features(usable.join(F.broadcast(sample), "guid", "left_semi"))
+    return train(one_model(rows, "label", classes), classes)
+
+
+def classify(
+    examples: DataFrame,
+    n: int,
+    seed: int,
+    classes: int = 2,
+    strict: bool = False,
+    model: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[TokenScorer | None, DataFrame]:
     """Stage 3: learn from n sampled training rows, predict the dev and test rows.
 
     `examples` holds guid, text_a, label, senti_pre, split. Labels of the evaluated rows are
-    carried beside their predictions and used nowhere else.
+    carried beside their predictions and used nowhere else. `model`, if given, takes the place of the scorer:
+    it gets the usable held-out rows and returns them with `pred` and `logits`.
     """
-    sample = few_shot(examples.filter(F.col("split") == "train").select("guid", "label"), [seed], n).select("guid")
-    # At most n keys, so the texts of the sample are picked without a shuffle.
-    rows = prompt_features(examples.join(F.broadcast(sample), "guid", "left_semi"))
-    scorer = train(one_model(rows, "label", classes), classes)
-    held_out = prompt_features(examples.filter(F.col("split") != "train"))
-    predicted = score(held_out, scorer, ["guid", "split", "label", "senti_pre"])
+    held_out = kept_rows(examples.filter(F.col("split") != "train"), _stage3_reason(classes), strict)
+    keep = ["guid", "split", "label", "senti_pre"]
+    if model is not None:
+        scorer, predicted = None, model(held_out).select(*keep, "pred", "logits")
+    else:
+        scorer = learn_few_shot(examples, n, seed, classes, strict)
+        predicted = score(prompt_features(held_out), scorer, keep)
     return scorer, predicted.withColumn("probs", softmax(F.col("logits")))
 
 
+def evaluate_saved(
+    spark: SparkSession, path: str, examples: DataFrame, split: str, task_type: str = "binary", batch_size: int = EVAL_BATCH
+) -> tuple[DataFrame, DataFrame]:
+    """A saved scorer on one split: its predictions (guid, label, pred, logits), and its metrics and loss as rows."""
+    scorer = load_scorer(spark, path)
+    rows = kept_rows(examples.filter(F.col("split") == split), _stage3_reason(scorer.classes))
+    predicted = materialize(score(prompt_features(rows), scorer, ["guid", "label"]), "evaluated")
+    return predicted, evaluate(predicted, task_type, tuple(range(scorer.classes)), batch_size, split)
+
+
 def sweep(
     examples: DataFrame,
     sizes: Sequence[int] = SIZES,
     seeds: Sequence[int] = SEEDS,
     classes: int = 2,
     limit: int = BROADCAST_BYTES,
+    task_type: str = "binary",
+    batch_size: int = EVAL_BATCH,
 ) -> DataFrame:
-    """n, seed, split and the binary metrics: all runs learn, predict and are judged together.
+    """n, seed, split, the metrics of the task type and the loss: all runs learn, predict and are judged together.
 
     The runs are cells of one scorer. Every sampled text is tokenized once, whatever the number of
     samples it is in, and the held-out texts are read once for all runs.
     """
-    train_rows = examples.filter(F.col("split") == "train")
+    usable = kept_rows(examples, _stage3_reason(classes))
+    train_rows = usable.filter(F.col("split") == "train")
     drawn = few_shot(train_rows.select("guid"), seeds, max(sizes)).groupBy("guid").agg(
         F.collect_list(F.struct("seed", "rank")).alias("draws")
     )
@@ -100,7 +177,35 @@ def sweep(
     )
     rows = member.join(F.broadcast(grid), ["n", "seed"]).select("cell", F.col("label").alias("class"), "tokens")
     scorer = train(rows, classes)
-    held_out = prompt_features(examples.filter(F.col("split") != "train"))
-    cells = score_cells(held_out, scorer, ["guid", "split", "label"], limit)
-    judged = binary_metrics(cells.select("cell", "split", "label", decide(F.col("units"))[0]), ["cell", "split"])
-    return judged.join(F.broadcast(grid), "cell").drop("cell")
+    held_out = usable.filter(F.col("split") != "train")
+    cells = score_cells(prompt_features(held_out), scorer, ["guid", "split", "label"], limit)
+    judged = cells.select("cell", "guid", "split", "label", *decide(F.col("units")))
+    found = judge(judged, ["cell", "split"], classes, task_type, batch_size)
+    return found.join(F.broadcast(grid), "cell").drop("cell")
+
+
+def judge(
+    predicted: DataFrame, by: Sequence[str], classes: int = 2, task_type: str = "binary", batch_size: int = EVAL_BATCH
+) -> DataFrame:
+    """One row for each group of `by`, which includes split: the metrics of the task type, and the loss.
+
+    `predicted` holds guid, split, label, pred, logits and the `by` columns; it is narrow and stored once. The loss is
+    the sum over batches of guids in order of their mean cross-entropy. Anything but `multiclass` is binary.
+    """
+    by = list(by)
+    rows = materialize(predicted.withColumn("ce", cross_entropy(F.col("logits"), F.col("label"))), "judged")
+    batches = split_batches(rows.select("guid", "split").distinct(), batch_size)
+    means = rows.join(batches, ["guid", "split"]).groupBy(*by, "batch_id").agg(F.avg("ce").alias("mean"))
+    losses = means.groupBy(*by).agg(F.sum("mean").alias("loss"))
+    if task_type == "multiclass":
+        ranked = auroc_ovo(rows.select(*by, "label", softmax(F.col("logits")).alias("probs")), tuple(range(classes)), by=by)
+        found = macro_metrics(rows, by).join(ranked, by)
+    else:
+        found = binary_metrics(rows, by)
+    return found.join(losses, by)
+
+
+def split_batches(rows: DataFrame, batch_size: int) -> DataFrame:
+    """guid, split, batch_id: consecutive runs of guids within each split."""
+    placed = row_index(range_slices(rows, ["guid"]), ["guid"], "slice", ["split"])
+    return placed.select("guid", "split", F.floor((F.col("idx") - 1) / batch_size).cast("bigint").alias("batch_id"))

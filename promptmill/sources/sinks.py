@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptmill.sources.corpus import CSV_WRITE
-from promptmill.sources.storage import path_exists
+from promptmill.sources.storage import is_finished, move
 
 
 def write_csv(df: DataFrame, path: str, index: str = "guid") -> None:
@@ -24,15 +26,20 @@ def write_annotated(df: DataFrame, path: str, fmt: str = "csv", index: str = "gu
 
 
 def write_if_absent(targets: dict[str, DataFrame], fmt: str = "csv") -> bool:
-    """Compute and write all targets unless every one of them is there; returns whether it wrote.
+    """Compute and write all targets unless every one of them is finished; returns whether it wrote.
 
-    The check comes before any job is planned, so a complete set costs nothing. A target that is
-    already there is left as it is.
+    The check comes before any job is planned, so a complete set costs nothing. Otherwise the whole set
+    is written beside the targets and moved into place when all of it is there, so that old and
+    new results never mix. A half-written target does not count.
     """
-    missing = {p: df for p, df in targets.items() if not path_exists(df.sparkSession, p)}
-    for path, df in missing.items():
-        write_annotated(df, path, fmt)
-    return bool(missing)
+    if all(is_finished(df.sparkSession, path) for path, df in targets.items()):
+        return False
+    staged = {path: f"{path.rstrip('/')}.{uuid.uuid4().hex}" for path in targets}
+    for path, df in targets.items():
+        write_annotated(df, staged[path], fmt)
+    for path, df in targets.items():
+        move(df.sparkSession, staged[path], path)
+    return True
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,16 +17,22 @@ BROADCAST_BYTES = 128 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; a local session without one gets its own."""
+    """The shared folder of `spark.checkpoint.dir`.
+
+    A session that runs in one process (`local[n]`, as in tests) may leave it unset and gets a
+    folder that is removed when the process ends. Any other session must name one.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="promptmill-"))
+    folder = tempfile.mkdtemp(prefix="promptmill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -46,17 +55,6 @@ def broadcast_if_small(df: DataFrame, nbytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if nbytes <= limit else df
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Share out a scan that has fewer splits than the session has cores.
-
-    One large row group would otherwise keep all text work in one task. A corpus with enough
-    splits is left alone, so nothing is shuffled at scale.
-    """
-    if scan.rdd.getNumPartitions() >= scan.sparkSession.sparkContext.defaultParallelism:
-        return scan
-    return scan.repartition(F.col(key))
-
-
 def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A short list of fixed rows as a table that is planned, and broadcast, without a job."""
     names = [part.split()[0] for part in schema.split(", ")]
@@ -65,7 +63,26 @@ def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """True when the target is there, asked through the file system that owns the path."""
+def _path(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def is_finished(spark: SparkSession, path: str) -> bool:
+    """True when a whole result is there: Spark marks it last, so a folder without the mark is half written."""
+    target, files = _path(spark, f"{path}/_SUCCESS")
+    return files.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target, files = _path(spark, path)
+    files.delete(target, True)
+
+
+def move(spark: SparkSession, source: str, path: str) -> None:
+    """Put a finished folder in place of whatever is at `path`."""
+    target, files = _path(spark, path)
+    files.delete(target, True)
+    files.mkdirs(target.getParent())
+    if not files.rename(_path(spark, source)[0], target):
+        raise OSError(f"cannot move {source} to {path}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ SENTIMENTS = ("negative", "neutral", "positive")
 
 FLAG_TEXT, FLAG_SPECIAL, FLAG_PROMPT, FLAG_MASK, FLAG_SENTIMENT = 0, 1, 2, -1, 3
 
+# Sample sizes and seeds of a sweep.
 SIZES = (16, 32, 64, 128, 256, 512, 1024)
 SEEDS = (9, 99, 999, 9999, 11, 264, 8758, 5437, 4676, 2364)
 
@@ -80,11 +82,11 @@ def get_task(name: str) -> Task:
     raise NotImplementedError(f"unknown task: {name}")
 
 
-def task_specs(spark: SparkSession) -> DataFrame:
-    """The task table as a 17-row dimension, small enough to broadcast by construction."""
+def task_specs(spark: SparkSession, tasks: Sequence[Task] = TASKS) -> DataFrame:
+    """The task table as a small dimension, 17 rows unless the caller brings tasks of their own."""
     rows = [
         (t.task, t.text_column, t.reads_sentiment, list(t.pattern), list(t.labels), list(t.verbalizers))
-        for t in TASKS
+        for t in tasks
     ]
     schema = (
         "task string, text_column string, reads_sentiment boolean, "
@@ -93,9 +95,9 @@ def task_specs(spark: SparkSession) -> DataFrame:
     return fixed_table(spark, rows, schema)
 
 
-def resolve_tasks(df: DataFrame) -> DataFrame:
+def resolve_tasks(df: DataFrame, tasks: Sequence[Task] = TASKS) -> DataFrame:
     """Attach the task columns to rows that carry a `task` name; an unknown name fails the job."""
-    specs = task_specs(df.sparkSession)
+    specs = task_specs(df.sparkSession, tasks)
     known = df.withColumn("task", F.lower("task")).join(F.broadcast(specs), "task", "left")
     checked = F.when(F.col("pattern").isNotNull(), F.col("pattern")).otherwise(
         F.raise_error(F.concat(F.lit("unknown task: "), F.coalesce("task", F.lit("null")))).cast("array<string>")

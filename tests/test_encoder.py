@@ -106,7 +106,7 @@ def test_encoded_rows_are_well_formed(spark, sf):
     assert rows
     for r in rows:
         arrays = [ints(r[c]) for c in ("input_ids", "attention_mask", "token_type_ids", "pet_flags")]
-        assert {len(a) for a in arrays} == {64}
+        assert {len(a) for a in arrays} == {512}
         assert arrays[3].count(-1) == 1
         assert arrays[0][arrays[3].index(-1)] == Specials().mask
 

@@ -76,13 +76,25 @@ def test_rejects(spark):
         accepted(df.filter("guid = 3"), strict=True).collect()
 
 
-def test_write_if_absent_needs_only_one_missing(spark, tmp_path):
+def test_write_if_absent_writes_the_whole_set_or_nothing(spark, tmp_path):
     one = spark.range(1).withColumnRenamed("id", "guid")
     a, b = str(tmp_path / "a"), str(tmp_path / "b")
     assert sinks.write_if_absent({a: one}, "parquet")
     assert sinks.write_if_absent({a: one.limit(0), b: one}, "parquet")
+    assert spark.read.parquet(a).count() == 0
     assert not sinks.write_if_absent({a: one, b: one}, "parquet")
+    (tmp_path / "a" / "_SUCCESS").unlink()
+    (tmp_path / "a" / "_temporary").mkdir()
+    assert sinks.write_if_absent({a: one, b: one}, "parquet")
     assert spark.read.parquet(a).count() == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+
+
+def test_numbers_written_with_a_point(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text(",post,label,senti_pre\n7,a,1.0,2\n8,b,x,0.5\n9,c,0,\n")
+    rows = {r["guid"]: (r["label"], r["senti_pre"]) for r in corpus.read_examples(spark, str(path), "sbic_v2").collect()}
+    assert rows == {7: (1, 2), 8: (None, None), 9: (0, None)}
 
 
 def test_sweep_folders_are_pruned(spark, tmp_path):

@@ -54,6 +54,21 @@ def test_auroc_equals_brute_force(spark, slices):
     assert abs(got["AUROC_score"] - brute_auroc(rows, (0, 1, 2))) < 1e-12
 
 
+def test_auroc_tells_near_ties_apart(spark):
+    rows = [(0, [0.5 + 1e-14, 0.5 - 1e-14]), (1, [0.5, 0.5])]
+    got = metrics.auroc_ovo(spark.createDataFrame(rows, "label int, probs array<double>"), (0, 1)).first()
+    assert got["AUROC_score"] == 1.0
+
+
+def test_auroc_by_group(spark):
+    rng = random.Random(8)
+    rows = [(g, rng.randint(0, 2), [round(rng.random(), 1) for _ in range(3)]) for g in "ab" for _ in range(60)]
+    df = spark.createDataFrame(rows, "g string, label int, probs array<double>")
+    for r in metrics.auroc_ovo(df, (0, 1, 2), by=["g"]).collect():
+        mine = [(label, p) for g, label, p in rows if g == r["g"]]
+        assert abs(r["AUROC_score"] - brute_auroc(mine, (0, 1, 2))) < 1e-12
+
+
 def test_auroc_without_a_class_is_null(spark):
     df = spark.createDataFrame([(0, [0.7, 0.2, 0.1]), (1, [0.1, 0.8, 0.1])], "label int, probs array<double>")
     got = metrics.auroc_ovo(df, (0, 1, 2)).first()

@@ -103,3 +103,20 @@ def test_subwords_equal_brute_force(spark):
     assert got == {g: [p for w in ws for p in split_word(w, frozenset(pieces), 3, "[UNK]")] for g, ws in rows}
     assert split_word("abab", frozenset({"ab", "a", "##b", "##ab"}), 3, "[UNK]") == ["ab", "##ab"]
     assert split_word("abq", frozenset({"ab"}), 3, "[UNK]") == ["[UNK]"]
+
+
+def test_words_of_any_length_are_cut(spark):
+    word = "abc" * 100
+    df = spark.createDataFrame([(1, [word, "abc"])], "guid bigint, tokens array<string>")
+    vocab = subword_vocab(df, 40, 3)
+    got = df.select(subwords(F.col("tokens"), vocab, 3).alias("p")).first()["p"]
+    assert got == ["abc", *[INNER + "abc"] * 99, "abc"]
+
+
+def test_many_rows_with_one_timestamp_are_spread(spark):
+    df = spark.range(20000).selectExpr("1 AS at", "id AS event_id").repartition(3)
+    sliced = ordering.range_slices(df, ["at", "event_id"])
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert slices > 1 and sliced.select("slice").distinct().count() == slices
+    placed = ordering.row_index(sliced, ["at", "event_id"], "slice", [], "idx")
+    assert placed.filter("idx <> event_id + 1").count() == 0

@@ -50,8 +50,11 @@ def test_scores_equal_brute_force_on_both_join_paths(spark, monkeypatch):
     model = scorer.train(scorer.one_model(frame(spark, train), "label", 3), 3)
     want = brute_force(train, test, 3)
     assert scored(frame(spark, test), model) == want
-    monkeypatch.setattr(scorer, "HOT_TOKENS", 3)
     assert scored(frame(spark, test), model, limit=0) == want
+    assert scorer.hot_tokens(model, 500).count() == 5
+    assert scored(frame(spark, test), model, limit=500) == want
+    monkeypatch.setattr(scorer, "ADDED_AT_ONCE", 7)
+    assert scored(frame(spark, test), model) == want
     assert scored(frame(spark, test).repartition(13), model, limit=0) == want
     assert scored(frame(spark, test).coalesce(1), model) == want
 
@@ -62,10 +65,18 @@ def test_repeated_tokens_within_a_row(spark):
     assert {r["guid"]: [tuple(x) for x in r["f"]] for r in got} == {1: [("", 1), ("a", 2), ("b", 3)], 2: [("x", 1)]}
 
 
-def test_shares_fit_the_limit():
-    model = scorer.TokenScorer(2, None, {0: 5, 1: 5, 2: 9, 3: 30, 4: 1})
-    assert scorer.shares(model, 10) == [[0, 1], [2], [3], [4]]
-    assert scorer.shares(model, 100) == [[0, 1, 2, 3, 4]]
+def test_repeated_keys_stay_apart_in_place_and_fail_a_join(spark):
+    rows = frame(spark, [(1, 0, ["good", "good"]), (2, 1, ["bad"])])
+    model = scorer.train(scorer.one_model(rows, "label", 2), 2)
+    twice = frame(spark, [(7, 0, ["good"]), (7, 0, ["bad", "bad"])])
+    assert sorted(r["pred"] for r in scorer.score(twice, model).collect()) == [0, 1]
+    with pytest.raises(ValueError, match="share the key guid=7"):
+        scorer.score(twice, model, limit=0)
+
+
+def test_unknown_training_label_fails(spark):
+    with pytest.raises(Exception, match="unknown label"):
+        scorer.train(scorer.one_model(frame(spark, [(1, 0, ["a"]), (2, 5, ["b"])]), "label", 2), 2)
 
 
 def test_cells_learn_apart(spark):
@@ -110,6 +121,50 @@ def test_predictions_join_by_key_and_missing_ones_fail(spark):
         scorer.append_predictions(corpus, preds.filter("guid = 1"), ["guid"]).collect()
 
 
+def dirty(spark, sf):
+    rows = inputs.examples(spark, sf).withColumn("senti_pre", F.col("senti_gold"))
+    return rows.withColumns(
+        {
+            "text_a": F.when(F.col("guid") % 13 != 0, F.col("text_a")),
+            "label": F.when(F.col("guid") % 11 != 0, F.col("label")).otherwise(5),
+            "senti_pre": F.when(F.col("guid") % 7 != 0, F.col("senti_pre")),
+            "senti_gold": F.when(F.col("guid") % 5 != 0, F.col("senti_gold")).otherwise(9),
+        }
+    )
+
+
+def test_no_row_is_lost_in_any_stage(spark, sf):
+    rows = dirty(spark, sf)
+    every = {r["guid"] for r in rows.select("guid").collect()}
+    ids = lambda df: [r["guid"] for r in df.select("guid").collect()]
+    held = {r["guid"] for r in rows.filter("split <> 'train'").select("guid").collect()}
+    model = stages.learn_sentiment(rows)
+    away = ids(stages.sentiment_rejects(rows))
+    assert sorted(ids(stages.judge_sentiment(rows, model)) + [g for g in away if g in held]) == sorted(held)
+    assert sorted(ids(stages.annotate(rows, model)) + ids(stages.annotate_rejects(rows))) == sorted(every)
+    assert sorted(ids(stages.annotate(rows, model, limit=0))) == sorted(ids(stages.annotate(rows, model)))
+    away = ids(stages.classify_rejects(rows))
+    assert sorted(ids(stages.classify(rows, 16, 9)[1]) + [g for g in away if g in held]) == sorted(held)
+    for job in (lambda: stages.annotate(rows, model, strict=True), lambda: stages.classify(rows, 16, 9, strict=True)[1]):
+        with pytest.raises(Exception, match="null text|unknown label|sentiment out of range"):
+            job().collect()
+
+
+def test_models_from_outside(spark, sf):
+    rows = inputs.examples(spark, sf)
+    annotated = stages.annotate(rows, lambda text: (F.length(text) % 3).cast("int"))
+    assert annotated.filter("senti_pre <> length(text_a) % 3").count() == 0
+    constant = lambda df: df.withColumns({"pred": F.lit(1), "logits": F.array(F.lit(0.0), F.lit(1.0))})
+    _, predicted = stages.classify(annotated, 16, 9, model=constant)
+    assert predicted.filter("pred <> 1").count() == 0 and predicted.count() == rows.filter("split <> 'train'").count()
+
+
+def test_in_place_annotation_moves_no_text(spark, sf):
+    model = stages.learn_sentiment(inputs.examples(spark, sf))
+    plan = stages.annotate(inputs.documents(spark, sf), model, ["guid"], "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1
+
+
 def test_evaluation_labels_do_not_reach_predictions(spark, sf):
     rows = inputs.examples(spark, sf)
     annotated = stages.annotate(rows, stages.learn_sentiment(rows))
@@ -119,11 +174,11 @@ def test_evaluation_labels_do_not_reach_predictions(spark, sf):
     assert {r["guid"]: r["pred"] for r in stages.classify(flipped, 32, 9)[1].collect()} == want
 
 
-def test_sweep_in_shares_or_by_shuffle_equals_one_broadcast(spark, sf):
+def test_sweep_by_shuffle_equals_one_broadcast(spark, sf):
     rows = inputs.examples(spark, sf).withColumn("senti_pre", F.col("senti_gold"))
     whole = stages.sweep(rows, (16, 64), (9, 99, 11))
     key = ["n", "seed", "split"]
-    order = lambda df: [r.asDict() for r in df.orderBy(*key).collect()]
+    order = lambda df: [{k: round(v, 9) if k == "loss" else v for k, v in r.asDict().items()} for r in df.orderBy(*key).collect()]
     for limit in (1, 2_000_000):
         assert order(whole) == order(stages.sweep(rows, (16, 64), (9, 99, 11), limit=limit))
     single = stages.classify(rows, 64, 99)[1].filter("split = 'test'")
@@ -149,3 +204,15 @@ def test_logistic_trainer_separates_two_words(spark, tmp_path):
     model = train_logreg(rows)
     model.write().overwrite().save(str(tmp_path / "lr"))
     assert all(r["pred"] == r["label"] for r in predict_logreg(model, rows, ["guid", "label"]).collect())
+
+
+def test_batch_hook_keeps_any_key(spark):
+    rows = spark.range(9).selectExpr(
+        "id AS conv_id", "concat('t', id) AS turn", "array(int(id)) AS input_ids", "array(1) AS attention_mask", "array(0) AS token_type_ids", "0 AS mask_pos"
+    )
+
+    def factory():
+        return lambda batch: [[float(i[0])] for i in batch["input_ids"]]
+
+    got = scorer.score_batches(rows, factory, ["conv_id", "turn"]).collect()
+    assert {(r["conv_id"], r["turn"], r["logits"][0]) for r in got} == {(i, f"t{i}", float(i)) for i in range(9)}

@@ -21,8 +21,28 @@ def test_lookup_is_the_same_with_and_without_broadcast(spark):
     docs = spark.createDataFrame([(1, ["x", "a", "x"]), (2, []), (3, ["q"])], "guid bigint, tokens array<string>")
     vocab = spark.createDataFrame([("a", 7, 0), ("x", 8, 0)], "token string, id int, n bigint")
     for limit in (0, 1 << 20):
-        ids = vocabulary.token_ids(docs, vocabulary.lookup_ready(vocab, limit), ["guid"])
+        ids = vocabulary.token_ids(docs, vocab, ["guid"], limit=limit)
         assert {r["guid"]: r["ids"] for r in ids.collect()} == {1: [8, 7, 8], 2: [], 3: [1]}
+    plan = vocabulary.token_ids(docs, vocab, ["guid"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_most_frequent_breaks_ties_by_token(spark):
+    counts = spark.createDataFrame([(f"t{i:03d}", 5 if i < 3 else 2 if i < 60 else 1) for i in range(200)], "token string, n bigint")
+    for k in (1, 3, 10, 60, 61, 200, 500):
+        got = {r["token"] for r in vocabulary.most_frequent(counts, k).collect()}
+        assert got == {f"t{i:03d}" for i in range(min(k, 200))}
+
+
+def test_more_ids_than_reserved_fail(spark):
+    prompt = vocabulary.prompt_tokens(spark, spark.createDataFrame([], "token string, id int"))
+    with pytest.raises(Exception, match="more than the 4 reserved ids"):
+        vocabulary.reserved_ids(prompt, reserved=4).collect()
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(200)], "vec_id bigint, embedding array<float>")
+    remap = spark.createDataFrame([(i, 100 + i) for i in range(70)], "old_id int, new_id int")
+    with pytest.raises(ValueError):
+        vocabulary.copy_rows(vectors, remap)
+    assert vocabulary.copy_rows(vectors, remap, reserved=70).filter("vec_id = 169").first()["embedding"] == [69.0]
 
 
 def test_reserved_ids_are_disjoint_from_the_sentiment_ids(spark):
