@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from promptmill.llm.common import doc_key, text_chunks
 
 # Labelled rows that a fit sees at most.
-MOST_ROWS = 6000
+MOST_ROWS = 4000
 
 _STEPS = 1 << 20
 
