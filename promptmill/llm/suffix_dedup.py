@@ -27,8 +27,8 @@ WINDOW, GRAM = 100, 32
 GATHERED, GATHERED_BYTES = 1 << 22, 32 << 20
 # Bytes of pieces in one suffix array; the pieces of one gram stay together.
 ARRAY_BYTES = 1 << 20
-# A gram with more distinct pieces is dealt by whole strings instead, so that no task gets it all.
-MOST_PIECES = 4096
+# A gram with more places, in all or in one task, is dealt by whole strings instead, so that no task gets it all.
+MOST_PLACES, MOST_IN_TASK = 16384, 256
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,8 +45,11 @@ def _runs(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tupl
     return hashes[anchor[new]], first, np.diff(np.r_[new, len(starts)]), np.searchsorted(offsets, first, "right") - 1
 
 
-def _emit_grams(window: int, gram: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task: the grams of its texts. One that occurs twice here is settled here, and handed on once."""
+def _emit_grams(window: int, gram: int, slices: int, most_in_task: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task: the grams of its texts, with their documents and number of places.
+
+    Of a gram that is very frequent here, the documents are settled here (`known`), and one is handed on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
@@ -60,55 +63,77 @@ def _emit_grams(window: int, gram: int, slices: int) -> Callable[[Iterator[pa.Re
                 docs.append(ids[rows + lo])
                 held += len(found)
                 if held >= GATHERED:
-                    yield _dealt(hashes, docs, slices)
+                    yield _dealt(hashes, docs, slices, most_in_task)
                     hashes, docs, held = [], [], 0
         if held:
-            yield _dealt(hashes, docs, slices)
+            yield _dealt(hashes, docs, slices, most_in_task)
 
     return run
 
 
-_DEALT = "slice int, hashes binary, docs binary, known_hashes binary, known_docs binary"
+_DEALT = "slice int, hashes binary, docs binary, counts binary, known_hashes binary, known_docs binary"
 
 
-def _dealt(hashes: list[np.ndarray], docs: list[np.ndarray], slices: int) -> pa.RecordBatch:
+def _dealt(hashes: list[np.ndarray], docs: list[np.ndarray], slices: int, most_in_task: int) -> pa.RecordBatch:
     h, d = np.concatenate(hashes), np.concatenate(docs)
-    order = np.argsort(h, kind="stable")
+    order = np.lexsort((d, h))
     h, d = h[order], d[order]
-    first = np.r_[True, h[1:] != h[:-1]]
-    several = ~first | np.r_[~first[1:], False]
-    known_h, known_d = h[several], d[several]
-    h, d = h[first], d[first]
+    cuts = group_starts(h)
+    sizes = np.diff(cuts)
+    first = np.zeros(len(h), bool)
+    first[cuts[:-1]] = True
+    count = np.zeros(len(h), np.uint32)
+    count[cuts[:-1]] = sizes
+    frequent = np.repeat(sizes > most_in_task, sizes)
+    new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
+    known_h, known_d = h[new & frequent], d[new & frequent]
+    sent = first | new & ~frequent
+    h, d, count = h[sent], d[sent], count[sent]
     to = (h >> np.uint64(33)) % np.uint64(slices)
     order = np.argsort(to, kind="stable")
-    h, d, to = h[order], d[order], to[order]
+    h, d, count, to = h[order], d[order], count[order], to[order]
     cuts = group_starts(to)
     known = np.linspace(0, len(known_h), len(cuts)).astype(np.int64)
     columns = list(
         zip(
             *[
-                (int(to[a]), h[a:b].tobytes(), d[a:b].tobytes(), known_h[x:y].tobytes(), known_d[x:y].tobytes())
+                (int(to[a]), h[a:b].tobytes(), d[a:b].tobytes(), count[a:b].tobytes(), known_h[x:y].tobytes(), known_d[x:y].tobytes())
                 for a, b, x, y in zip(cuts[:-1], cuts[1:], known[:-1], known[1:])
             ]
         )
     )
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-        ["slice", "hashes", "docs", "known_hashes", "known_docs"],
+        ["slice", "hashes", "docs", "counts", "known_hashes", "known_docs"],
     )
 
 
-def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    """One slice: the documents of each gram that several tasks have, and those settled before."""
-    h = np.frombuffer(b"".join(rows["hashes"]), np.uint64)
-    d = np.frombuffer(b"".join(rows["docs"]), np.int64)
-    order = np.argsort(h, kind="stable")
-    h, d = h[order], d[order]
-    sizes = np.diff(group_starts(h))
-    several = np.repeat(sizes > 1, sizes)
-    known_h = np.frombuffer(b"".join(rows["known_hashes"]), np.uint64)
-    known_d = np.frombuffer(b"".join(rows["known_docs"]), np.int64)
-    return pd.DataFrame({"doc": np.r_[d[several], known_d], "mark": np.r_[h[several], known_h].astype(np.int64)})
+def _settle(most: int, most_in_task: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One slice: the documents of each gram that has several places, and whether it is very frequent."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        h = np.frombuffer(b"".join(rows["hashes"]), np.uint64)
+        d = np.frombuffer(b"".join(rows["docs"]), np.int64)
+        count = np.frombuffer(b"".join(rows["counts"]), np.uint32).astype(np.int64)
+        order = np.argsort(h, kind="stable")
+        h, d, count = h[order], d[order], count[order]
+        cuts = group_starts(h)
+        sizes = np.diff(cuts)
+        total = np.add.reduceat(count, cuts[:-1]) if len(h) else count
+        largest = np.maximum.reduceat(count, cuts[:-1]) if len(h) else count
+        several = np.repeat(total > 1, sizes)
+        frequent = np.repeat((total > most) | (largest > most_in_task), sizes)
+        known_h = np.frombuffer(b"".join(rows["known_hashes"]), np.uint64)
+        known_d = np.frombuffer(b"".join(rows["known_docs"]), np.int64)
+        return pd.DataFrame(
+            {
+                "doc": np.r_[d[several], known_d],
+                "mark": np.r_[h[several], known_h].astype(np.int64),
+                "frequent": np.r_[frequent[several], np.ones(len(known_h), bool)],
+            }
+        )
+
+    return run
 
 
 class _Pieces:
@@ -138,8 +163,20 @@ class _Pieces:
             self.best[key] = place
         self.covered.append((gram, later[0], later[2], later[1], len(piece) - self.window + 1, None))
 
+    def _merged(self) -> list[tuple[int, int, int, int, int, bytes | None]]:
+        """Covered places; those that follow each other in one text are one."""
+        merged: list[tuple[int, int, int, int, int, bytes | None]] = [c for c in self.covered if c[5] is not None]
+        last = None
+        for g, doc, key, start, strings, _ in sorted((c for c in self.covered if c[5] is None), key=lambda c: c[1:4]):
+            if last and last[1:3] == (doc, key) and start <= last[3] + last[4]:
+                last = (*last[:4], max(last[4], start + strings - last[3]), None)
+            else:
+                merged += [last] if last else []
+                last = (g, doc, key, start, strings, None)
+        return merged + ([last] if last else [])
+
     def flush(self) -> Iterator[pa.RecordBatch]:
-        rows = [(g, p[0], p[2], p[1], len(t) - self.window + 1, t) for (g, t), p in self.best.items()] + self.covered
+        rows = [(g, p[0], p[2], p[1], len(t) - self.window + 1, t) for (g, t), p in self.best.items()] + self._merged()
         if rows:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             names = ["gram", "doc", "row_key", "start", "strings", "piece"]
@@ -152,24 +189,31 @@ def _text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _emit_pieces(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task: the pieces around grams that occur more than once."""
+    """Task: the pieces around grams that occur more than once; of very frequent grams, single strings under their own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _Pieces(window)
         for batch in batches:
             ids = np.asarray(batch.column("doc"))
-            marks = batch.column("marks")
             for lo, hi, data, offsets in text_chunks(batch):
                 found, first, strings, rows = _runs(data, offsets, window, gram)
-                wanted = np.flatnonzero(np.isin(_paired(found, rows), _listed(marks, lo, hi)))
+                paired = _paired(found, rows)
+                wanted = np.flatnonzero(np.isin(paired, _listed(batch.column("marks"), lo, hi)))
                 if not len(wanted):
                     continue
+                frequent = np.isin(paired, _listed(batch.column("frequent"), lo, hi))
                 keys, raw = _text_keys(data, offsets), data.tobytes()
+                whole = byte_hash(data).windows(window).astype(np.int64) if frequent.any() else None
                 signed = found.astype(np.int64)
                 for i in wanted:
-                    a, row = int(first[i]), int(rows[i])
-                    piece = raw[a : a + int(strings[i]) - 1 + window]
-                    pieces.add(int(signed[i]), int(ids[row + lo]), int(keys[row]), a - int(offsets[row]), piece)
+                    a, n, row = int(first[i]), int(strings[i]), int(rows[i])
+                    place = int(ids[row + lo]), int(keys[row])
+                    base = int(offsets[row])
+                    if frequent[i]:
+                        for start in range(a, a + n):
+                            pieces.add(int(whole[start]), *place, start - base, raw[start : start + window])
+                    else:
+                        pieces.add(int(signed[i]), *place, a - base, raw[a : a + n - 1 + window])
                 if pieces.bytes > GATHERED_BYTES:
                     yield from pieces.flush()
         yield from pieces.flush()
@@ -187,23 +231,6 @@ def _listed(lists: pa.ListArray, lo: int, hi: int) -> np.ndarray:
     return _paired(np.asarray(own.flatten()).astype(np.uint64), np.repeat(np.arange(hi - lo), lengths))
 
 
-def _split_strings(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task: pieces of very frequent grams, cut into single strings, each under its own hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _Pieces(window)
-        for batch in batches:
-            for doc, row_key, start, piece in zip(*(batch.column(c).to_pylist() for c in ("doc", "row_key", "start", "piece"))):
-                hashes = byte_hash(np.frombuffer(piece, np.uint8)).windows(window).astype(np.int64)
-                for k, h in enumerate(hashes.tolist()):
-                    pieces.add(h, doc, row_key, start + k, piece[k : k + window])
-                if pieces.bytes > GATHERED_BYTES:
-                    yield from pieces.flush()
-        yield from pieces.flush()
-
-    return run
-
-
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes of uint8 `text`, ordered by their first `depth` bytes at least.
 
@@ -322,16 +349,12 @@ def _suffixes(window: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def covered_ranges(texts: DataFrame, slices: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """`doc, row_key, start, end`: byte ranges of `doc, text` covered by strings that also start earlier; ranges may overlap."""
-    settled = texts.mapInArrow(_emit_grams(window, gram, slices), _DEALT).groupBy("slice").applyInPandas(_settle, "doc long, mark long")
-    marks = settled.groupBy("doc").agg(F.collect_list("mark").alias("marks"))
-    marked = texts.join(marks.hint("merge"), "doc").mapInArrow(_emit_pieces(window, gram), _Pieces.schema)
-    pieces = materialize(marked, "pieces")
-    frequent = pieces.where("piece is not null").groupBy("gram").count().where(F.col("count") > MOST_PIECES).select("gram")
-    frequent = materialize(frequent, "frequent-grams")
-    if not frequent.isEmpty():
-        cut = pieces.where("piece is not null").join(frequent, "gram", "left_semi").mapInArrow(_split_strings(window), _Pieces.schema)
-        rest = pieces.where("piece is not null").join(frequent, "gram", "left_anti")
-        pieces = rest.unionByName(cut).unionByName(pieces.where("piece is null"))
+    dealt = texts.mapInArrow(_emit_grams(window, gram, slices, MOST_IN_TASK), _DEALT)
+    settled = dealt.groupBy("slice").applyInPandas(_settle(MOST_PLACES, MOST_IN_TASK), "doc long, mark long, frequent boolean")
+    marks = settled.groupBy("doc").agg(
+        F.collect_list("mark").alias("marks"), F.collect_list(F.when(F.col("frequent"), F.col("mark"))).alias("frequent")
+    )
+    pieces = texts.join(marks.hint("merge"), "doc").mapInArrow(_emit_pieces(window, gram), _Pieces.schema)
     # covered places need no meeting: they are spread by document
     key = F.when(F.col("piece").isNull(), F.xxhash64("doc", "start")).otherwise(F.xxhash64("gram"))
     dealt = pieces.withColumn("slice", F.pmod(key, F.lit(slices)))

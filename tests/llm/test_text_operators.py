@@ -157,8 +157,10 @@ def test_repeated_bytes(docs, rows, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_repeated_bytes_of_very_frequent_grams(docs, rows, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "MOST_PIECES", 1)
+@pytest.mark.parametrize("limit", [0, 2])
+def test_repeated_bytes_of_very_frequent_grams(docs, rows, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, "MOST_PLACES", limit)
+    monkeypatch.setattr(suffix_dedup, "MOST_IN_TASK", limit)
     assert _got(suffix_dedup.remove_repeats(docs), *BYTE_COLUMNS) == _brute_bytes(rows, 100)
 
 
