@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptmill.sources.storage import materialize
+
 # Fixed patterns of words. The first takes a text as it is, the second one with A-Z lower-cased.
 WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,7 +28,7 @@ CHUNK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_VALUES = np.random.RandomState(20).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64)
+_BYTE_VALUES = np.random.RandomState(20).randint(1, 2**63 - 1, (2, 256), dtype=np.int64).astype(np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -68,10 +70,13 @@ def as_doc_id(key: Column) -> Column:
 
 
 def first_copies(docs: DataFrame) -> DataFrame:
-    """`doc, text_key, first, copies` of every row; `first` is the smallest doc with the same text."""
-    keys = docs.select(doc_key().alias("doc"), text_key(F.col("text")).alias("text_key"))
+    """`doc, text_key, first, copies` of every row; `first` is the smallest doc with the same text.
+
+    Both sides of the join are stored: of plain tables Spark splits a large group of copies.
+    """
+    keys = materialize(docs.select(doc_key().alias("doc"), text_key(F.col("text")).alias("text_key")), "text-keys")
     groups = keys.groupBy("text_key").agg(F.min("doc").alias("first"), F.count("*").alias("copies"))
-    return keys.join(groups, "text_key")
+    return keys.join(materialize(groups, "text-groups"), "text_key")
 
 
 def distinct_texts(docs: DataFrame, copies: DataFrame) -> DataFrame:
@@ -128,8 +133,9 @@ class RollingHash:
         return mix((self.sums[size:] - self.sums[: n - size + 1]) * inverse + np.uint64(size))
 
 
-def byte_hash(data: np.ndarray) -> RollingHash:
-    return RollingHash(_BYTE_VALUES[data])
+def byte_hash(data: np.ndarray, which: int = 0) -> RollingHash:
+    """One of two hashes that have nothing in common but the base."""
+    return RollingHash(_BYTE_VALUES[which][data])
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -170,8 +176,8 @@ class Words:
         #: of each row, its first word; one more for the end
         self.first = np.searchsorted(self.starts, offsets)
 
-    def hashes(self, data: np.ndarray) -> np.ndarray:
-        return byte_hash(data).of(self.starts, self.ends)
+    def hashes(self, data: np.ndarray, which: int = 0) -> np.ndarray:
+        return byte_hash(data, which).of(self.starts, self.ends)
 
     def whole(self, size: int) -> np.ndarray:
         """For each window of so many words, whether it lies in one row."""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptmill.llm.common import _SPACE, NO_ID, as_doc_id, byte_hash, doc_key, group_starts, text_chunks
+from promptmill.llm.common import _SPACE, as_doc_id, byte_hash, doc_key, group_starts, text_chunks
 from promptmill.sources.storage import materialize
 
 # White space that normalisation deletes.
@@ -70,12 +70,10 @@ def chunk_table(texts: DataFrame) -> DataFrame:
     return pieces.groupBy("chunk_hash", "chunk").agg(F.count("*").alias("times"))
 
 
-def clashes(table: DataFrame) -> DataFrame:
+def clashes(table: DataFrame, shared: DataFrame) -> DataFrame:
     """`chunk_hash, chunk, variant` of different chunks under one hash, numbered from 0."""
-    shared = table.groupBy("chunk_hash").agg(F.count("*").alias("variants")).where("variants > 1")
-    return table.join(shared, "chunk_hash").select(
-        "chunk_hash", "chunk", (F.row_number().over(Window.partitionBy("chunk_hash").orderBy("chunk")) - 1).alias("variant")
-    )
+    variant = F.row_number().over(Window.partitionBy("chunk_hash").orderBy("chunk")) - 1
+    return table.join(shared, "chunk_hash", "left_semi").select("chunk_hash", "chunk", variant.alias("variant"))
 
 
 def recipes(texts: DataFrame) -> DataFrame:
@@ -84,11 +82,13 @@ def recipes(texts: DataFrame) -> DataFrame:
     A hash is an identifier when one chunk alone has it. Otherwise, which 64 bits make rare at any
     size, its documents are cut again and get the variant of each chunk as well.
     """
-    # the clashing chunks alone are stored: nearly always none
-    clashing = materialize(clashes(chunk_table(texts)), "chunk-clashes")
+    # only hashes of several chunks are stored: nearly always none
+    table = chunk_table(texts)
+    shared = materialize(table.groupBy("chunk_hash").agg(F.count("*").alias("variants")).where("variants > 1"), "chunk-clashes")
     lists = texts.mapInArrow(lambda it: _chunk_rows(it, False), "doc long, row_key long, recipe array<long>")
-    if clashing.isEmpty():
+    if shared.isEmpty():
         return lists.select("doc", "row_key", F.transform("recipe", lambda h: F.struct(h.alias("hash"), F.lit(0).alias("variant"))).alias("recipe"))
+    clashing = materialize(clashes(table, shared.select("chunk_hash")), "chunk-variants")
     chunks = texts.mapInArrow(_placed_chunks, "doc long, row_key long, place int, chunk_hash long, chunk binary")
     named = chunks.join(clashing, ["chunk_hash", "chunk"], "left")
     identifier = F.struct("place", F.struct(F.col("chunk_hash").alias("hash"), F.coalesce("variant", F.lit(0)).alias("variant")).alias("id"))
@@ -139,11 +139,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         F.sha2(F.translate(text, BLANK, ""), 256).alias("text_sha256"),
     )
     lists = recipes(docs.select(doc_key().alias("doc"), F.xxhash64(text).alias("row_key"), text.alias("text")))
-    known = rows.join(lists.dropDuplicates(["doc", "row_key"]), ["doc", "row_key"])
+    known = materialize(rows.join(lists.dropDuplicates(["doc", "row_key"]), ["doc", "row_key"]), "recipes")
     groups = known.groupBy("recipe").agg(
         F.count("*").alias("group_size"), F.min(F.struct((-F.col("points")).alias("points"), "doc")).alias("best")
     )
-    joined = known.join(groups, "recipe")
+    # stored, so that the join is one of two plain tables, in which Spark splits a large group of copies
+    joined = known.join(materialize(groups, "recipe-groups"), "recipe")
     return joined.select(
         as_doc_id(F.col("doc")).alias("doc_id"),
         as_doc_id(F.col("best.doc")).alias("keep_id"),
