@@ -2,7 +2,7 @@
 
 A window of `window` words can repeat only if the shorter windows in it do. So short windows are
 looked up first, and only where they repeat are windows of twice that length formed, up to the wanted
-one. Of the short windows inside one wanted window, the one with the smallest hash stands for all:
+one, which is compared by 128 bits. Of the short windows inside one wanted window, the one with the smallest hash stands for all:
 equal windows choose the same one, so nothing is lost and few are looked up.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from promptmill.llm.common import (
     RollingHash, Words, as_doc_id, distinct_texts, first_copies, group_starts, slices_for, smallest_in_window, text_chunks,
 )
+from promptmill.sources.storage import materialize
 
 WINDOW = 13
 
@@ -68,6 +69,7 @@ def _emit(length: int, before: int | None, window: int, slices: int) -> Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
+        checks: list[np.ndarray] = []
         docs: list[np.ndarray] = []
         held = 0
         for batch in batches:
@@ -81,44 +83,50 @@ def _emit(length: int, before: int | None, window: int, slices: int) -> Callable
                     open_ = open_ & _listed_mask(short[at], words.rows[: len(at)], batch.column("marks"), lo, hi)
                 chosen = np.unique(place[open_])
                 hashes.append(gram[chosen])
+                if length == window:
+                    checks.append(RollingHash(words.hashes(data, 1)).windows(length)[chosen])
                 docs.append(ids[words.rows[chosen] + lo])
                 held += len(chosen)
                 if held >= GATHERED:
-                    yield _dealt(hashes, docs, length == window, slices)
-                    hashes, docs, held = [], [], 0
+                    yield _dealt(hashes, checks, docs, slices)
+                    hashes, checks, docs, held = [], [], [], 0
         if held:
-            yield _dealt(hashes, docs, length == window, slices)
+            yield _dealt(hashes, checks, docs, slices)
 
     return run
 
 
-_DEALT = "slice int, hashes binary, docs binary, known_hashes binary, known_docs binary"
+_DEALT = "slice int, hashes binary, checks binary, docs binary, known_hashes binary, known_docs binary"
 
 
-def _dealt(hashes: list[np.ndarray], docs: list[np.ndarray], last: bool, slices: int) -> pa.RecordBatch:
+def _dealt(hashes: list[np.ndarray], checks: list[np.ndarray], docs: list[np.ndarray], slices: int) -> pa.RecordBatch:
+    """Entries by slice. Only the last level has checks, the second half of its hashes."""
+    last = bool(checks)
     h, d = np.concatenate(hashes), np.concatenate(docs)
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
-    h, d = h[new], d[new]
-    first = np.r_[True, h[1:] != h[:-1]]
+    c = np.concatenate(checks) if last else np.zeros(len(h), np.uint64)
+    order = np.lexsort((d, c, h))
+    h, c, d = h[order], c[order], d[order]
+    other = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    new = np.r_[True, other | (d[1:] != d[:-1])]
+    h, c, d = h[new], c[new], d[new]
+    first = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
     # at the last level only later documents are marked, before it all that share a window
     shared = ~first if last else ~first | np.r_[~first[1:], False]
     known_h, known_d = h[shared], d[shared]
-    h, d = h[first], d[first]
+    h, c, d = h[first], c[first], d[first]
     to = (h >> np.uint64(33)) % np.uint64(slices)
     order = np.argsort(to, kind="stable")
-    h, d, to = h[order], d[order], to[order]
+    h, c, d, to = h[order], c[order], d[order], to[order]
     cuts = group_starts(to)
     known_to = np.linspace(0, len(known_h), len(cuts)).astype(np.int64)
     pieces = [
-        (int(to[a]), h[a:b].tobytes(), d[a:b].tobytes(), known_h[x:y].tobytes(), known_d[x:y].tobytes())
+        (int(to[a]), h[a:b].tobytes(), c[a:b].tobytes() if last else b"", d[a:b].tobytes(), known_h[x:y].tobytes(), known_d[x:y].tobytes())
         for a, b, x, y in zip(cuts[:-1], cuts[1:], known_to[:-1], known_to[1:])
     ]
     columns = list(zip(*pieces))
     return pa.RecordBatch.from_arrays(
-        [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-        ["slice", "hashes", "docs", "known_hashes", "known_docs"],
+        [pa.array(columns[0], pa.int32()), *(pa.array(column, pa.binary()) for column in columns[1:])],
+        ["slice", "hashes", "checks", "docs", "known_hashes", "known_docs"],
     )
 
 
@@ -128,9 +136,10 @@ def _settle(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(rows["hashes"]), np.uint64)
         d = np.frombuffer(b"".join(rows["docs"]), np.int64)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        cuts = group_starts(h)
+        c = np.frombuffer(b"".join(rows["checks"]), np.uint64) if last else np.zeros(len(h), np.uint64)
+        order = np.lexsort((d, c, h))
+        h, c, d = h[order], c[order], d[order]
+        cuts = np.r_[0, np.flatnonzero((h[1:] != h[:-1]) | (c[1:] != c[:-1])) + 1, len(h)] if len(h) else np.zeros(1, np.int64)
         sizes = np.diff(cuts)
         smallest = np.repeat(d[cuts[:-1]], sizes)
         largest = np.repeat(d[cuts[1:] - 1], sizes)
@@ -190,12 +199,12 @@ def _kept(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_words(docs: DataFrame, copies: DataFrame, window: int = WINDOW) -> DataFrame:
     """Each distinct text without the words of windows that start in a document with a smaller doc_id.
 
     One row per distinct text, under its smallest doc: `doc, text_key, n_words, n_removed, kept_text, whole_sha256`.
     """
-    texts = distinct_texts(docs, first_copies(docs))
+    texts = distinct_texts(docs, copies)
     slices = slices_for(docs)
     marks, before = None, None
     for length in levels(window):
@@ -218,10 +227,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     smallest doc_id is earlier than the others, which lose every word if they have a window at all.
     Other columns are not read. An empty table gives no rows.
     """
-    unique = repeated_words(docs, window).select(
+    copies = first_copies(docs)
+    unique = repeated_words(docs, copies, window).select(
         F.col("doc").alias("first"), "text_key", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "whole_sha256"
     ).dropDuplicates(["first", "text_key"])
-    rows = first_copies(docs).select("doc", "first", "text_key").join(unique, ["first", "text_key"])
+    # stored, so that the join is one of two plain tables, in which Spark splits a large group of copies
+    rows = copies.select("doc", "first", "text_key").join(materialize(unique, "unique-texts"), ["first", "text_key"])
     own = F.col("doc") == F.col("first")
     nothing = F.sha2(F.lit(""), 256)
     covered = F.col("n_words") >= window
