@@ -27,8 +27,8 @@ PERCENT = 85
 # A pair at the threshold shares no band with a chance of (1 - 0.85**7)**32, or 4 in a million.
 BANDS, BAND_ROWS = 32, 7
 PLACES = BANDS * BAND_ROWS
-# Shingles that one side of a comparing task holds at most, but for one longer text.
-SIDE_SHINGLES = 1 << 19
+# Shingles that one side of a comparing task holds, about, but for one longer text.
+SIDE_SHINGLES = 1 << 16
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.arange(256, dtype=np.uint8)
