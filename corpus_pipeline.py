@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from promptmill.llm import decontaminate, exact_dedup, mixing, near_dedup, toxicity
 from promptmill.sources.storage import materialize
 
-
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -22,7 +21,7 @@ def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_representatives(docs)
+    return near_dedup.keep_representatives(docs, near_dedup.PERCENT)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ contraction between them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,11 +23,10 @@ from promptmill.llm.common import RollingHash, Words, as_doc_id, doc_key, group_
 from promptmill.sources.storage import materialize
 
 SHINGLE = 5
-# Documents are linked from this many hundredths of the union of their sets on.
-PERCENT = 85
-# A pair at the threshold shares no band with a chance of (1 - 0.85**7)**32, or 4 in a million.
-BANDS, BAND_ROWS = 32, 7
-PLACES = BANDS * BAND_ROWS
+# Documents are linked from this many hundredths of the union of their sets on; op7 asks for 85.
+PERCENT = 80
+# A pair at the threshold shares no band with this chance at most, or 4 in a million.
+MISS = 4.3e-6
 # Shingles that one side of a comparing task holds, about, but for one longer text.
 SIDE_SHINGLES = 1 << 16
 
@@ -59,7 +59,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, np.searchsorted(rows, np.arange(len(offsets)))
 
 
-def superminhash(hashes: np.ndarray, cuts: np.ndarray, places: int = PLACES) -> np.ndarray:
+def superminhash(hashes: np.ndarray, cuts: np.ndarray, places: int) -> np.ndarray:
     """A signature of each set: for each place the smallest (rank, random value) of any element.
 
     In round j every element gives its j-th place the value (j, random). A set that has a smaller value
@@ -86,38 +86,57 @@ def superminhash(hashes: np.ndarray, cuts: np.ndarray, places: int = PLACES) ->
     return signature
 
 
-def _bands(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Band keys of each set, a row of BANDS; sets are signed a few at a time."""
-    out = np.zeros((len(cuts) - 1, BANDS), np.uint64)
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and places of each for a threshold: (32, 7) at 85, (41, 6) at 80.
+
+    A band is equal by chance t**rows at the threshold t. Rows are as many as leave a quarter, 7 at most; bands
+    as many as (1 - t**rows)**bands needs to be no more than MISS.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be in 1 to 100, not {percent}")
+    t = percent / 100
+    rows = 7 if percent == 100 else max(1, min(7, math.floor(math.log(0.25) / math.log(t))))
+    return 1 if percent == 100 else math.ceil(math.log(MISS) / math.log(1 - t**rows)), rows
+
+
+def _bands(hashes: np.ndarray, cuts: np.ndarray, n_bands: int, n_rows: int) -> np.ndarray:
+    """Band keys of each set, a row of n_bands; sets are signed a few at a time."""
+    out = np.zeros((len(cuts) - 1, n_bands), np.uint64)
     lo = 0
     while lo < len(cuts) - 1:
         hi = int(np.searchsorted(cuts, cuts[lo] + (1 << 16), "right")) - 1
         hi = min(max(hi, lo + 1), len(cuts) - 1)
-        signature = superminhash(hashes[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo])
-        for band in range(BANDS):
+        signature = superminhash(hashes[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo], n_bands * n_rows)
+        for band in range(n_bands):
             key = np.full(hi - lo, band + 1, np.uint64)
-            for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+            for k in range(band * n_rows, (band + 1) * n_rows):
                 key = mix(key * _GOLDEN + signature[:, k])
             out[lo:hi, band] = key
         lo = hi
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, data, offsets in text_chunks(batch):
-            hashes, cuts = shingle_sets(data, offsets)
-            keys = _bands(hashes, cuts).astype(np.int64)
-            raw = hashes.tobytes()
-            digests = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:])]
-            flat = pa.array(keys.reshape(-1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc").slice(lo, hi - lo), pa.array(np.diff(cuts), pa.int64()), pa.array(digests, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), flat),
-                ],
-                ["doc", "n_shingles", "digest", "bands"],
-            )
+def _sign(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    n_bands, n_rows = banding(percent)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_chunks(batch):
+                hashes, cuts = shingle_sets(data, offsets)
+                keys = _bands(hashes, cuts, n_bands, n_rows).astype(np.int64)
+                raw = hashes.tobytes()
+                digests = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:])]
+                flat = pa.array(keys.reshape(-1))
+                own = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own.column("doc"), pa.array(np.diff(cuts), pa.int64()), pa.array(digests, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * n_bands), flat),
+                    ],
+                    ["doc", "n_shingles", "digest", "bands"],
+                )
+
+    return sign
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,7 +209,7 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> _Forest:
     return forest
 
 
-def _verify(rows: pd.DataFrame) -> pd.DataFrame:
+def _verify(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links of all comparing tasks of one slice, as edges to the smallest linked node."""
     found_a, found_b = [], []
     for _, own in rows.groupby("task", sort=False):
@@ -198,7 +217,7 @@ def _verify(rows: pd.DataFrame) -> pd.DataFrame:
         if len(own) < 2:
             continue
         nodes = own["node"].to_numpy()
-        forest = linked([np.frombuffer(s, np.uint64) for s in own["shingles"]])
+        forest = linked([np.frombuffer(s, np.uint64) for s in own["shingles"]], percent)
         roots = nodes[[forest.root(i) for i in range(len(nodes))]]
         far = roots != nodes
         found_a.append(nodes[far])
@@ -219,7 +238,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def comparing_tasks(candidates: DataFrame) -> DataFrame:
+def comparing_tasks(candidates: DataFrame, percent: int) -> DataFrame:
     """`node, tasks` from `node, n_shingles, group`: in which comparing tasks each node takes part.
 
     A group whose sets fit one task is one. A larger one is cut by size class, where only equal and
@@ -229,7 +248,7 @@ def comparing_tasks(candidates: DataFrame) -> DataFrame:
     sized = candidates.join(whole, "group").withColumn(
         "class",
         F.when(F.col("group_shingles") <= SIDE_SHINGLES, F.lit(0)).otherwise(
-            F.floor(F.log(F.col("n_shingles").cast("double")) / float(-np.log(PERCENT / 100))) + 1
+            F.floor(F.log(F.col("n_shingles").cast("double")) / float(-np.log(min(percent, 99) / 100))) + 1
         ).cast("int"),
     )
     classes = sized.groupBy("group", "class").agg(F.ceil(F.sum("n_shingles") / SIDE_SHINGLES).cast("int").alias("blocks"))
@@ -246,7 +265,7 @@ def comparing_tasks(candidates: DataFrame) -> DataFrame:
     return placed.select("node", tasks.alias("tasks"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Groups of documents linked by nearly equal shingle sets; reads `doc_id, text`.
 
     Returns one row per input row: `doc_id, n_shingles, component_id, kept`. Documents with equal sets are
@@ -256,7 +275,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with each other through it. Other columns are not read. An empty table gives no rows.
     """
     texts = docs.select(doc_key().alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = materialize(texts.mapInArrow(_sign, "doc long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    signed = materialize(texts.mapInArrow(_sign(percent), "doc long, n_shingles long, digest binary, bands array<long>"), "signatures")
     filled = signed.where("n_shingles > 0")
     nodes = filled.groupBy("digest").agg(F.min(F.struct("doc", "bands", "n_shingles")).alias("least"))
     nodes = materialize(nodes.select("digest", "least.doc", "least.bands", "least.n_shingles"), "nodes")
@@ -268,11 +287,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     sizes = nodes.groupBy(F.col("doc").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))
     candidates = groups.join(sizes, "node").select("node", "n_shingles", F.col("component").alias("group"))
-    tasks = materialize(comparing_tasks(candidates), "comparing-tasks").select(F.col("node").alias("doc"), "tasks")
+    tasks = materialize(comparing_tasks(candidates, percent), "comparing-tasks").select(F.col("node").alias("doc"), "tasks")
     sets = texts.join(tasks.hint("merge"), "doc").mapInArrow(_sets, "node long, tasks array<long>, shingles binary")
     dealt = sets.select("node", "shingles", F.explode("tasks").alias("task"))
     sliced = dealt.withColumn("slice", F.pmod("task", F.lit(slices_for(docs))))
-    links = sliced.groupBy("slice").applyInPandas(_verify, "a long, b long")
+    links = sliced.groupBy("slice").applyInPandas(lambda rows: _verify(rows, percent), "a long, b long")
     joined = components(links)
 
     named = signed.join(nodes.select("digest", F.col("doc").alias("node")), "digest", "left").select(
@@ -285,8 +304,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
+def keep_representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each component, with all its columns: the document with the smallest doc_id, once."""
-    kept = near_duplicates(docs).where("kept").select(doc_key().alias("_doc")).distinct()
+    kept = near_duplicates(docs, percent).where("kept").select(doc_key().alias("_doc")).distinct()
     named = docs.withColumn("_doc", doc_key())
     return named.join(kept, "_doc", "left_semi").dropDuplicates(["_doc"]).drop("_doc")

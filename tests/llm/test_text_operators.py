@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from promptmill.llm import decontaminate, exact_dedup, license_scan, mixing, near_dedup, substring_dedup, suffix_dedup
 from promptmill.llm.common import NO_ID
 
@@ -234,6 +235,29 @@ def test_near_duplicates_of_a_group_over_many_tasks(spark, monkeypatch):
     assert len({r[2] for r in got}) < len(rows)
 
 
+def _pair_at(shared, union, seed):
+    """Two texts of which `shared` of `union` shingles are common: the second one ends otherwise."""
+    n = shared + 4
+    head, more = _passage(seed, n), (union - shared) // 2
+    return " ".join(head + _passage(seed + 1, more)), " ".join(head + _passage(seed + 2, union - shared - more))
+
+
+def test_near_duplicates_at_another_threshold(spark):
+    rows = []
+    for i in range(20):
+        rows += [(2 * i, t) for t in [_pair_at(82, 100, 50 + 10 * i)[0]]] + [(2 * i + 1, t) for t in [_pair_at(82, 100, 50 + 10 * i)[1]]]
+    a, b = _shingles(rows[0][1]), _shingles(rows[1][1])
+    assert len(a & b) == 82 and len(a | b) == 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_dedup.keep_representatives(docs, 85).count() == 40
+    assert {r.doc_id for r in near_dedup.keep_representatives(docs, 80).collect()} == set(range(0, 40, 2))
+    assert {r.doc_id for r in corpus_pipeline.remove_near_copies(spark, docs, "").collect()} == set(range(0, 40, 2))
+    for percent in (80, 85):
+        bands, places = near_dedup.banding(percent)
+        assert (1 - (percent / 100) ** places) ** bands < 5e-6
+    assert near_dedup.banding(85) == (32, 7)
+
+
 def test_superminhash_estimates_similarity():
     r = np.random.RandomState(1)
     a = r.randint(0, 2**62, 1000).astype(np.uint64)
