@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptmill.llm.common import RollingHash, Words, as_doc_id, doc_key, group_starts, mix, slices_for, text_chunks
+from promptmill.llm.common import RollingHash, Words, as_doc_id, doc_key, group_starts, mix, slices_for, text_chunks, text_key
 from promptmill.sources.storage import materialize
 
 SHINGLE = 5
@@ -130,10 +130,10 @@ def _sign(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 own = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        own.column("doc"), pa.array(np.diff(cuts), pa.int64()), pa.array(digests, pa.binary()),
+                        own.column("doc"), own.column("text_key"), pa.array(np.diff(cuts), pa.int64()), pa.array(digests, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * n_bands), flat),
                     ],
-                    ["doc", "n_shingles", "digest", "bands"],
+                    ["doc", "text_key", "n_shingles", "digest", "bands"],
                 )
 
     return sign
@@ -233,7 +233,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = hashes.tobytes()
             own = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [own.column("doc"), own.column("tasks"), pa.array([raw[8 * a : 8 * b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
+                [own.column("node"), own.column("tasks"), pa.array([raw[8 * a : 8 * b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
                 ["node", "tasks", "shingles"],
             )
 
@@ -265,39 +265,60 @@ def comparing_tasks(candidates: DataFrame, percent: int) -> DataFrame:
     return placed.select("node", tasks.alias("tasks"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Groups of documents linked by nearly equal shingle sets; reads `doc_id, text`.
+def _linked_sets(docs: DataFrame, percent: int, through_doc: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signed rows, nodes and components of nodes of `doc_id, text`.
 
-    Returns one row per input row: `doc_id, n_shingles, component_id, kept`. Documents with equal sets are
-    one node, which stands for all of them. A null text, or one without words, has an empty set, is
-    linked with nothing, and is its own component. A null doc_id counts as the largest, and gives a null
-    component_id where it is the smallest of its component. Rows that repeat a doc_id are one document: they are linked
-    with each other through it. Other columns are not read. An empty table gives no rows.
+    Rows are `doc, text_key, n_shingles, digest, bands`. Rows with equal sets are one node, `digest, doc, text_key, bands, n_shingles, node`,
+    which stands for all of them under the smallest doc that has it; nodes are numbered in the order of (doc, digest). Components are
+    `node, component` of nodes with links, component the smallest node. With `through_doc`, rows of one doc are linked, too.
     """
-    texts = docs.select(doc_key().alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = materialize(texts.mapInArrow(_sign(percent), "doc long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    texts = docs.select(doc_key().alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", text_key(F.col("text")))
+    signed = texts.mapInArrow(_sign(percent), "doc long, text_key binary, n_shingles long, digest binary, bands array<long>")
+    signed = materialize(signed, "signatures")
     filled = signed.where("n_shingles > 0")
-    nodes = filled.groupBy("digest").agg(F.min(F.struct("doc", "bands", "n_shingles")).alias("least"))
-    nodes = materialize(nodes.select("digest", "least.doc", "least.bands", "least.n_shingles"), "nodes")
+    least = filled.groupBy("digest").agg(F.min(F.struct("doc", "text_key", "bands", "n_shingles")).alias("least"))
+    ordered = least.select("digest", "least.*").sort("doc", "digest")
+    nodes = materialize(ordered.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    keys = nodes.select(F.col("doc").alias("node"), F.explode("bands").alias("key"))
+    keys = nodes.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first != last")
     stars = keys.join(buckets, "key").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     groups = components(stars)
 
-    sizes = nodes.groupBy(F.col("doc").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))
-    candidates = groups.join(sizes, "node").select("node", "n_shingles", F.col("component").alias("group"))
-    tasks = materialize(comparing_tasks(candidates, percent), "comparing-tasks").select(F.col("node").alias("doc"), "tasks")
-    sets = texts.join(tasks.hint("merge"), "doc").mapInArrow(_sets, "node long, tasks array<long>, shingles binary")
+    candidates = groups.join(nodes.select("node", "n_shingles"), "node").select("node", "n_shingles", F.col("component").alias("group"))
+    tasks = comparing_tasks(candidates, percent).join(nodes.select("node", "doc", "text_key"), "node")
+    tasks = materialize(tasks, "comparing-tasks")
+    # One text of each node: rows that repeat a doc and its text are one.
+    read = texts.join(tasks.hint("merge"), ["doc", "text_key"]).select("node", "tasks", "text")
+    sets = read.mapInArrow(_sets, "node long, tasks array<long>, shingles binary")
     dealt = sets.select("node", "shingles", F.explode("tasks").alias("task"))
     sliced = dealt.withColumn("slice", F.pmod("task", F.lit(slices_for(docs))))
     links = sliced.groupBy("slice").applyInPandas(lambda rows: _verify(rows, percent), "a long, b long")
-    joined = components(links)
+    if through_doc:
+        named = filled.select("doc", "digest").distinct().join(nodes.select("digest", "node"), "digest").select("doc", "node")
+        named = materialize(named, "doc-nodes")
+        several = named.groupBy("doc").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first != last")
+        same = named.join(materialize(several, "repeated-docs"), "doc").where("node != first")
+        links = links.unionByName(same.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    return signed, nodes, components(links)
 
-    named = signed.join(nodes.select("digest", F.col("doc").alias("node")), "digest", "left").select(
-        "doc", "n_shingles", F.coalesce("node", "doc").alias("node")
-    )
-    found = named.join(joined, "node", "left").select("doc", "n_shingles", F.coalesce("component", "node").alias("component"))
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Groups of documents linked by nearly equal shingle sets; reads `doc_id, text`.
+
+    Two documents are linked if their sets share `percent` hundredths of their union. Returns one row per input row: `doc_id, n_shingles,
+    component_id, kept`. Documents with equal sets are
+    one node, which stands for all of them. A null text, or one without words, has an empty set, is
+    linked with nothing, and is its own component. A null doc_id counts as the largest, and gives a null
+    component_id where it is the smallest of its component. Rows that repeat a doc_id are one document: they are linked
+    with each other through it. Other columns are not read. An empty table gives no rows.
+    """
+    signed, nodes, joined = _linked_sets(docs, percent, through_doc=True)
+    firsts = nodes.select(F.col("node").alias("component"), F.col("doc").alias("component_doc"))
+    placed = nodes.select("digest", "node", "doc").join(joined, "node", "left").join(firsts, "component", "left")
+    placed = placed.select("digest", F.coalesce("component_doc", "doc").alias("component"))
+    found = signed.join(materialize(placed, "set-components"), "digest", "left")
+    found = found.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
     return found.select(
         as_doc_id(F.col("doc")).alias("doc_id"), "n_shingles", as_doc_id(F.col("component")).alias("component_id"),
         (F.col("doc") == F.col("component")).alias("kept"),
@@ -305,7 +326,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, with all its columns: the document with the smallest doc_id, once."""
-    kept = near_duplicates(docs, percent).where("kept").select(doc_key().alias("_doc")).distinct()
-    named = docs.withColumn("_doc", doc_key())
-    return named.join(kept, "_doc", "left_semi").dropDuplicates(["_doc"]).drop("_doc")
+    """One row of each component, with all its columns: the document with the smallest doc_id, once.
+
+    A document is a doc_id with its text. Different texts under one doc_id, or without one, are documents of their own and linked by
+    their sets only. A text without words is linked with nothing; of rows that repeat a doc_id and its text one stays.
+    """
+    signed, nodes, joined = _linked_sets(docs, percent, through_doc=False)
+    gone = joined.where("node != component").select("node")
+    kept = nodes.join(gone, "node", "left_anti").select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"))
+    wordless = signed.where("n_shingles = 0").select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"))
+    kept = materialize(kept.unionByName(wordless.distinct()), "kept-documents")
+    named = docs.withColumns({"_doc": doc_key(), "_text_key": text_key(F.col("text"))})
+    key = ["_doc", "_text_key"]
+    return named.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)

@@ -258,6 +258,17 @@ def test_near_duplicates_at_another_threshold(spark):
     assert near_dedup.banding(85) == (32, 7)
 
 
+def test_different_documents_under_one_key_are_kept(spark):
+    base = _passage(70, 120)
+    near = base[:60] + ["changed"] + base[61:]
+    texts = [_passage(80 + i, 50) for i in range(4)]
+    rows = [(1, " ".join(base)), (None, " ".join(near)), *[(None, " ".join(t)) for t in texts], (2, " ".join(_passage(90, 60))), (2, " ".join(_passage(91, 60)))]
+    rows += [(3, " ".join(base[:60] + ["other"] + base[61:])), (2, " ".join(_passage(91, 60))), (None, ""), (4, None)]
+    kept = near_dedup.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [rows[0], *rows[2:6], rows[6], rows[7], (None, ""), (4, None)]
+    assert Counter(map(tuple, kept.collect())) == Counter(want)
+
+
 def test_superminhash_estimates_similarity():
     r = np.random.RandomState(1)
     a = r.randint(0, 2**62, 1000).astype(np.uint64)
