@@ -350,6 +350,21 @@ def test_license_scan(spark, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_license_notices_over_several_lines_and_in_a_very_long_one(spark):
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    filler = _passage(95, 20000)
+    scattered = list(filler)
+    for at, word in [(10, "copyright"), (5000, "all"), (9000, "rights"), (19000, "reserved")]:
+        scattered[at] = word
+    texts = [(1, mit), (2, bsd), (3, " ".join(scattered))]
+    for k in range(40):  # at every place of a block
+        texts.append((10 + k, " ".join(filler[: 180 + k]) + "\n" + mit))
+    texts.append((4, " ".join(filler + ["copyright", "x", "all", "rights", "y", "reserved"] + filler)))
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: "mit", 2: "bsd", 3: "", 4: "reserved-notice", **{10 + k: "mit" for k in range(40)}}
+
+
 def _targets(sizes, weights=(5, 2, 1)):
     names = sorted([s for s in sizes if s is not None]) + [None] * (None in sizes)
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
