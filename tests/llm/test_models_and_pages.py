@@ -93,6 +93,22 @@ def test_pages_by_structure(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article>Body</article><section class='comments'><article class='comment'>Reader</article></section>", "Body"),
+        ("<main><p>Body</p><div id=comments><article><p>One</p></article><article><p>Two</p></article></div><p>end</p></main>", "Body end"),
+        ("<article><p>Body</p><article class='comment-body'>One</article><article class='comment'>Two</article><p>end</p></article>", "Body end"),
+        ("<article class='post comments-open'>Body</article><article class='related-post'>Other</article>", "Body"),
+        ("<div><div class='ad'>left open <article>Body</article></div>", "Body"),
+        ("<article>Body<div class='share'>left open</article><p>outside", "Body"),
+    ],
+)
+def test_comments_as_nested_articles(page, text):
+    main, _, marked = html_extract.page_blocks(page)
+    assert (" ".join(main), marked) == (text, True)
+
+
 def test_boilerplate_of_a_host_by_shared_runs(spark):
     top, end = "Daily Herald of the northern coast", "write to the editor at the usual address"
     rows = [(i, "http://x.org/%d" % i, f"<div>{top}</div><div>story {i} tells what {i} saw in town {i}</div><div>{end}</div>") for i in range(30)]
