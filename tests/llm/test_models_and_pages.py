@@ -120,6 +120,21 @@ def test_boilerplate_of_a_host_by_shared_runs(spark):
     assert got[92] == "the very same page of a host, stored many times over"
 
 
+def test_boilerplate_counts_distinct_pages_and_is_cut_inside_blocks(spark):
+    menu, end = "home news sport weather letters contact", "write to the editor at the usual address"
+    rows = [(i, "http://x.org/%d" % i, f"<div>{menu}</div><article>article number {i}</article>") for i in range(3)]
+    rows += [(10, "http://x.org/p", f"<div>{menu}</div><div>a page that marks nothing</div>")]
+    long = [" ".join(f"word{i}x{k}" for k in range(40)) for i in range(2)]
+    rows += [(20 + i, "http://y.org/%d" % i, f"<p>{t} {end}</p><div>today</div><div>{menu}</div>") for i, t in enumerate(long)]
+    rows += [(30 + i, "http://z.org/%d" % i, f"<div>{menu}</div><p>the {i} story</p><p>{menu.upper()}</p>") for i in range(2)]
+    rows += [(40, "http://one.org/", f"<div>{menu}</div><nav>a</nav>"), (41, "http://one.org/", f"<div>{menu}</div><nav>b</nav>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {
+        **{i: f"article number {i}" for i in range(3)}, 10: "a page that marks nothing", 20: long[0], 21: long[1],
+        30: "the 0 story", 31: "the 1 story", 40: menu, 41: menu,
+    }
+
+
 def test_token_suffix_array():
     import numpy as np
 
