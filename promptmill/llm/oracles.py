@@ -122,10 +122,95 @@ LEFT JOIN every_label el ON d.doc_id = el.doc_id LEFT JOIN best x ON d.doc_id =
 """
 
 
+# crc32 by bits: the polynomial is the fixed value of zlib's checksum
+CRC32 = (
+    "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT), lambda crc, b:"
+    " list_reduce([xor(crc, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, (c & 1) * 3988292384))), 4294967295)"
+)
+
+
+def _edit(cost: str, letter: str, line: str | None, after: str) -> str:
+    """A repair that begins with one more edit: cost, letters and lines; structs compare in that order."""
+    lines = f"{after}.lines" if line is None else f"[{line}] || {after}.lines"
+    return f"{{'cost': {after}.cost + {cost}, 'audit': '{letter}' || {after}.audit, 'lines': {lines}}}"
+
+
+def _least(options: list[str]) -> str:
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _with_inserts(prefix: str) -> str:
+    """Four columns before any insert from the same four after it."""
+    user, assistant = "'user:'", "'assistant:'"
+    to_a = _edit("3", "I", assistant, f"{prefix}3")
+    once = [_edit("3", "I", user, f"{prefix}2"), _edit("3", "I", user, f"{prefix}2"), to_a, _edit("3", "I", user, f"{prefix}2")]
+    twice = f"{{'cost': {prefix}3.cost + 6, 'audit': 'II' || {prefix}3.audit, 'lines': ['user:', 'assistant:'] || {prefix}3.lines}}"
+    own = [[f"{prefix}{s}", once[s], *([twice] if s < 2 else [])] for s in range(4)]
+    return ", ".join(f"{_least(options)} AS f{s}" for s, options in enumerate(own))
+
+
+def _row_edits(state: int) -> str:
+    """The best way on through a row from a state; f0 to f3 are what follows it."""
+    turn = (2, 2, 3, 2)[state]
+    made = "'assistant:' || text" if turn == 3 else "'user:' || text"
+    gone = _edit("4", "D", None, f"f{state}")
+    rerole = _edit("3 + late", "R", made, f"f{turn}")
+    legal = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[state]
+    keeps = " ".join(f"WHEN initial = '{c}' THEN " + _least([gone, rerole, _edit("late", "K", "role || ':' || text", f"f{to}")]) for c, to in legal.items())
+    return f"CASE WHEN must_go THEN {gone} {keeps} ELSE {_least([gone, rerole])} END AS h{state}"
+
+
+_NOTHING = "{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}"
+_DEAD = "{'cost': 1000000000000::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}"
+_TRIMMED = r"regexp_replace(text, '[\x20\x09-\x0D]+$', '')"
+
+# The best repair of the rows from each one on, for the four states of the pattern, from the last row to the first.
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+hashed AS (SELECT *, {CRC32.format("k")} % 20 AS fault FROM raw),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE fault <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, sha256(text) DESC, copy DESC) AS k,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         {_TRIMMED} AS trimmed, left(role, 1) AS initial FROM damaged),
+marked AS (
+  SELECT *, trimmed = '' AS blank, trimmed <> '' AND again AS duplicate,
+         trimmed <> '' AND NOT again AND right(trimmed, 1) NOT IN ('.', '!', '?') AS truncated,
+         initial || coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY k), '') AS pair FROM placed),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+best AS (
+  SELECT CAST(0 AS BIGINT) AS k, conv_id, {_with_inserts("h")}
+  FROM (SELECT conv_id, {_NOTHING} AS h0, {_DEAD} AS h1, {_DEAD} AS h2, {_NOTHING} AS h3 FROM ids) e
+  UNION ALL
+  SELECT k, conv_id, {_with_inserts("h")} FROM (
+    SELECT r.k, r.conv_id, {", ".join(_row_edits(s) for s in range(4))}
+    FROM best b JOIN (SELECT *, blank OR duplicate AS must_go, CASE WHEN truncated THEN 3 ELSE 0 END AS late FROM marked) r
+      ON r.k = b.k + 1 AND r.conv_id IS NOT DISTINCT FROM b.conv_id) t),
+counts AS (
+  SELECT conv_id, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (k > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id)
+SELECT i.conv_id, CAST(coalesce(c.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(c.blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(c.duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(c.truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(c.illegal, 0) AS BIGINT) AS illegal, b.f0.cost AS cost, b.f0.audit AS audit,
+       sha256(array_to_string(b.f0.lines, chr(10))) AS repaired_sha256
+FROM ids i LEFT JOIN counts c ON i.conv_id IS NOT DISTINCT FROM c.conv_id
+JOIN best b ON i.conv_id IS NOT DISTINCT FROM b.conv_id AND b.k = coalesce(c.n, 0)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": SUBSTRING_DEDUP,
     "op4_license_scan": license_sql(),
     "op5_exact_dedup": EXACT_DEDUP,
     "op6_decontamination": DECONTAMINATION,
     "op7_near_dedup": NEAR_DEDUP,
+    "op11_conversation_repair": CONVERSATION_REPAIR,
 }
