@@ -138,7 +138,7 @@ def byte_hash(data: np.ndarray, which: int = 0) -> RollingHash:
     return RollingHash(_BYTE_VALUES[which][data])
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of a batch: first row, end row, their UTF-8 bytes, and the offset of each row in them."""
     texts = batch.column(column)
     if texts.null_count:
@@ -148,7 +148,7 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(texts):
-        hi = int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, "right")) - 1
+        hi = int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1
         hi = min(max(hi, lo + 1), len(texts))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
