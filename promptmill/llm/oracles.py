@@ -206,6 +206,27 @@ FROM ids i LEFT JOIN counts c ON i.conv_id IS NOT DISTINCT FROM c.conv_id
 JOIN best b ON i.conv_id IS NOT DISTINCT FROM b.conv_id AND b.k = coalesce(c.n, 0)
 """
 
+RANKED_SEARCH = f"""
+WITH term AS (
+  SELECT row_no, doc_id, unnest({ALNUM_WORDS}) AS term
+  FROM (SELECT row_number() OVER () AS row_no, doc_id, text FROM documents) d),
+size AS (SELECT row_no, doc_id, count(*) AS n FROM term GROUP BY ALL),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM size),
+query AS (
+  SELECT query_no, item_id, term, count(*) AS repeats
+  FROM (SELECT query_no, item_id, unnest({ALNUM_WORDS}) AS term
+        FROM (SELECT row_number() OVER () AS query_no, item_id, text FROM benchmark) b) t GROUP BY ALL),
+tf AS (SELECT row_no, term, count(*) AS tf FROM term WHERE term IN (SELECT term FROM query) GROUP BY ALL),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+scored AS (
+  SELECT q.query_no, q.item_id, s.row_no, s.doc_id,
+         sum(q.repeats * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * s.n * t.docs) // t.length)))) AS score
+  FROM query q JOIN tf ON q.term = tf.term JOIN weight w ON w.term = tf.term JOIN size s ON s.row_no = tf.row_no, total t GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM placed WHERE rank <= 20
+"""
+
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": SUBSTRING_DEDUP,
     "op4_license_scan": license_sql(),
@@ -213,4 +234,5 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": DECONTAMINATION,
     "op7_near_dedup": NEAR_DEDUP,
     "op11_conversation_repair": CONVERSATION_REPAIR,
+    "op13_ranked_search": RANKED_SEARCH,
 }
