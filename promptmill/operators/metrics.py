@@ -24,18 +24,20 @@ def confusion(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return predictions.groupBy(*by, "label", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-def binary_metrics(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """precision, accuracy, f1_score for the positive class 1, in one pass."""
+BINARY_COUNTS = ("n_rows", "hits", "tp", "positives", "actuals")
+
+
+def binary_counts() -> list[Column]:
+    """Aggregates of `label` and `pred` for the positive class 1, named as in BINARY_COUNTS."""
     actual, said = F.col("label") == 1, F.col("pred") == 1
-    sums = predictions.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col("label") == F.col("pred")).alias("hits"),
-        F.count_if(actual & said).alias("tp"),
-        F.count_if(said).alias("positives"),
-        F.count_if(actual).alias("actuals"),
-    )
+    found = (F.count(F.lit(1)), F.count_if(F.col("label") == F.col("pred")), F.count_if(actual & said), F.count_if(said), F.count_if(actual))
+    return [count.alias(name) for count, name in zip(found, BINARY_COUNTS)]
+
+
+def binary_ratios(sums: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """keep, n_rows, precision, accuracy, f1_score from the counts."""
     return sums.select(
-        *by,
+        *keep,
         "n_rows",
         _ratio(F.col("tp"), F.col("positives")).alias("precision"),
         _ratio(F.col("hits"), F.col("n_rows")).alias("accuracy"),
@@ -43,6 +45,11 @@ def binary_metrics(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def binary_metrics(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """precision, accuracy, f1_score for the positive class 1, in one pass."""
+    return binary_ratios(predictions.groupBy(*by).agg(*binary_counts()), by)
+
+
 def macro_metrics(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """accuracy, and F1 averaged over the classes found among labels or predictions."""
     by = list(by)

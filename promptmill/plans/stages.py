@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from promptmill.functions.arrays import cross_entropy, softmax
 from promptmill.functions.text import sentiment_token, tokens
 from promptmill.operators.examples import kept_rows, row_reason, turned_away
-from promptmill.operators.metrics import auroc_ovo, binary_metrics, evaluate, macro_metrics
+from promptmill.operators.metrics import BINARY_COUNTS, auroc_ovo, binary_counts, binary_ratios, evaluate, macro_metrics
+from promptmill.operators.nested import each_run, train_nested, units_of_runs
 from promptmill.operators.ordering import range_slices, row_index
-from promptmill.operators.sampling import few_shot, sizes_holding, sweep_grid
+from promptmill.operators.sampling import few_shot
 from promptmill.operators.scorer import (
     TokenScorer,
     append_predictions,
@@ -25,7 +26,6 @@ from promptmill.operators.scorer import (
     load_scorer,
     one_model,
     score,
-    score_cells,
     train,
 )
 from promptmill.sources.storage import BROADCAST_BYTES, materialize
@@ -160,8 +160,8 @@ def sweep(
 ) -> DataFrame:
     """n, seed, split, the metrics of the task type and the loss: all runs learn, predict and are judged together.
 
-    The runs are cells of one scorer. Every sampled text is tokenized once, whatever the number of
-    samples it is in, and the held-out texts are read once for all runs.
+    The runs share one scorer of nested samples. Every sampled text is tokenized once, whatever the number of
+    samples it is in, and the held-out texts are read and scored once for all runs, whatever `limit` lets be sent at once.
     """
     usable = kept_rows(examples, _stage3_reason(classes))
     train_rows = usable.filter(F.col("split") == "train")
@@ -171,17 +171,15 @@ def sweep(
     # At most len(seeds) * max(sizes) keys, with at most one draw per seed each.
     texts = train_rows.join(F.broadcast(materialize(drawn, "few_shot")), "guid")
     stored = materialize(prompt_features(texts).select("label", "tokens", "draws"), "few_shot_texts")
-    grid = sweep_grid(examples.sparkSession, sizes, seeds)
-    member = stored.select("label", "tokens", F.inline("draws")).withColumn(
-        "n", F.explode(sizes_holding(F.col("rank"), sizes))
-    )
-    rows = member.join(F.broadcast(grid), ["n", "seed"]).select("cell", F.col("label").alias("class"), "tokens")
-    scorer = train(rows, classes)
-    held_out = usable.filter(F.col("split") != "train")
-    cells = score_cells(prompt_features(held_out), scorer, ["guid", "split", "label"], limit)
-    judged = cells.select("cell", "guid", "split", "label", *decide(F.col("units")))
+    draws = stored.select(F.col("label").alias("class"), "tokens", F.inline("draws"))
+    scorer = train_nested(draws, sizes, seeds, classes, limit)
+    held_out = prompt_features(usable.filter(F.col("split") != "train"))
+    keep = ["guid", "split", "label"]
+    scored = materialize(held_out.select(*keep, units_of_runs(scorer)(F.col("tokens")).alias("all_units")), "scored")
+    runs = each_run(with_batches(scored, batch_size), scorer, [*keep, "batch_id"])
+    judged = runs.select("cell", *keep, "batch_id", *decide(F.col("units")))
     found = judge(judged, ["cell", "split"], classes, task_type, batch_size)
-    return found.join(F.broadcast(grid), "cell").drop("cell")
+    return found.join(F.broadcast(scorer.runs()), "cell").drop("cell")
 
 
 def judge(
@@ -189,20 +187,29 @@ def judge(
 ) -> DataFrame:
     """One row for each group of `by`, which includes split: the metrics of the task type, and the loss.
 
-    `predicted` holds guid, split, label, pred, logits and the `by` columns; it is narrow and stored once. The loss is
-    the sum over batches of guids in order of their mean cross-entropy. Anything but `multiclass` is binary.
+    `predicted` holds guid, split, label, pred, logits and the `by` columns. The loss is the sum over batches of guids in order of
+    their mean cross-entropy; rows without a `batch_id` are stored and numbered first. Anything but `multiclass` is binary: counts and
+    cross-entropies are added up per batch in one pass. Ranks of several classes need the rows, which are stored once.
     """
     by = list(by)
-    rows = materialize(predicted.withColumn("ce", cross_entropy(F.col("logits"), F.col("label"))), "judged")
-    batches = split_batches(rows.select("guid", "split").distinct(), batch_size)
-    means = rows.join(batches, ["guid", "split"]).groupBy(*by, "batch_id").agg(F.avg("ce").alias("mean"))
+    if "batch_id" not in predicted.columns:
+        predicted = with_batches(materialize(predicted, "predicted"), batch_size)
+    rows = predicted.withColumn("ce", cross_entropy(F.col("logits"), F.col("label")))
+    if task_type != "multiclass":
+        batches = rows.groupBy(*by, "batch_id").agg(F.avg("ce").alias("mean"), *binary_counts())
+        sums = batches.groupBy(*by).agg(F.sum("mean").alias("loss"), *[F.sum(c).alias(c) for c in BINARY_COUNTS])
+        return binary_ratios(sums, [*by, "loss"])
+    rows = materialize(rows, "judged")
+    means = rows.groupBy(*by, "batch_id").agg(F.avg("ce").alias("mean"))
     losses = means.groupBy(*by).agg(F.sum("mean").alias("loss"))
-    if task_type == "multiclass":
-        ranked = auroc_ovo(rows.select(*by, "label", softmax(F.col("logits")).alias("probs")), tuple(range(classes)), by=by)
-        found = macro_metrics(rows, by).join(ranked, by)
-    else:
-        found = binary_metrics(rows, by)
-    return found.join(losses, by)
+    ranked = auroc_ovo(rows.select(*by, "label", softmax(F.col("logits")).alias("probs")), tuple(range(classes)), by=by)
+    return macro_metrics(rows, by).join(ranked, by).join(losses, by)
+
+
+def with_batches(stored: DataFrame, batch_size: int) -> DataFrame:
+    """Stored rows with their `batch_id`: consecutive runs of guids within each split; rows that share a guid share it."""
+    batches = split_batches(stored.select("guid", "split").distinct(), batch_size)
+    return stored.join(batches, ["guid", "split"])
 
 
 def split_batches(rows: DataFrame, batch_size: int) -> DataFrame:
