@@ -69,6 +69,18 @@ def as_doc_id(key: Column) -> Column:
     return F.when(key != NO_ID, key)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of the table has them; Spark does not tell upper from lower case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def first_copies(docs: DataFrame) -> DataFrame:
     """`doc, text_key, first, copies` of every row; `first` is the smallest doc with the same text.
 

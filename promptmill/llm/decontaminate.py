@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptmill.llm.common import alnum_words, as_doc_id, doc_key
+from promptmill.llm.common import alnum_words, as_doc_id, doc_key, free_names
 from promptmill.sources.storage import materialize
 
 WINDOW = 13
@@ -107,24 +107,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     )
 
 
-def _flagged(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    found = contamination(docs, benchmark).select(doc_key().alias("_doc"), F.col("row_key").alias("_key"), "spans", "contaminated")
-    named = docs.withColumns({"_doc": doc_key(), "_key": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return named, found.dropDuplicates(["_doc", "_key"])
+def _flagged(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The rows with a key of two columns, what was found by that key, and the names of both columns, which the caller does not use."""
+    key = free_names(docs, "doc_key", "text_digest")
+    found = contamination(docs, benchmark).select(doc_key().alias(key[0]), F.col("row_key").alias(key[1]), "spans", "contaminated")
+    named = docs.withColumns(dict(zip(key, (doc_key(), F.xxhash64(F.coalesce("text", F.lit("")))))))
+    return named, found.dropDuplicates(key), key
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows that are not contaminated, with all their columns."""
-    named, found = _flagged(docs, benchmark)
-    return named.join(found.where("contaminated").select("_doc", "_key"), ["_doc", "_key"], "left_anti").drop("_doc", "_key")
+    """The rows that are not contaminated, with all their columns; rows without text are clean. An empty table gives no rows."""
+    named, found, key = _flagged(docs, benchmark)
+    return named.join(found.where("contaminated").select(*key), key, "left_anti").drop(*key)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All rows; `clean_words` has the lower-cased words outside every hit window, in order."""
-    named, found = _flagged(docs, benchmark)
-    words = named.join(found.select("_doc", "_key", "spans"), ["_doc", "_key"], "left").withColumn("_w", alnum_words(F.col("text")))
-    hit = F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.first, s.first + s.size - 1))))")
-    marked = words.withColumn("_hit", hit)
-    return marked.withColumn("clean_words", F.expr("filter(_w, (x, i) -> not coalesce(array_contains(_hit, i), false))")).drop(
-        "_doc", "_key", "_w", "_hit", "spans"
-    )
+    """All rows; `clean_words` has the lower-cased words outside every hit window, in order, in place of a column of that name.
+
+    A null text has none. An empty table gives no rows.
+    """
+    named, found, key = _flagged(docs, benchmark)
+    spans, words, hit = free_names(named, "hit_spans", "all_words", "hit_places")
+    worded = named.join(found.select(*key, F.col("spans").alias(spans)), key, "left").withColumn(words, alnum_words(F.col("text")))
+    marked = worded.withColumn(hit, F.expr(f"array_distinct(flatten(transform({spans}, s -> sequence(s.first, s.first + s.size - 1))))"))
+    clean = F.expr(f"filter({words}, (x, i) -> not coalesce(array_contains({hit}, i), false))")
+    return marked.withColumn("clean_words", clean).drop(*key, spans, words, hit)

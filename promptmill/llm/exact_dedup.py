@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptmill.llm.common import _SPACE, as_doc_id, byte_hash, doc_key, group_starts, text_chunks
+from promptmill.llm.common import _SPACE, as_doc_id, byte_hash, doc_key, free_names, group_starts, text_chunks
 from promptmill.sources.storage import materialize
 
 # White space that normalisation deletes.
@@ -155,7 +155,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_unique(docs: DataFrame) -> DataFrame:
-    """The rows of a table that stay, with all their columns; rows that repeat doc_id and text stay once."""
-    found = exact_duplicates(docs).where("kept").select(doc_key().alias("_doc"), F.col("text_sha256").alias("_sha")).distinct()
-    named = docs.withColumns({"_doc": doc_key(), "_sha": F.sha2(F.translate(F.coalesce("text", F.lit("")), BLANK, ""), 256)})
-    return named.join(found, ["_doc", "_sha"], "left_semi").dropDuplicates(["_doc", "_sha"]).drop("_doc", "_sha")
+    """The rows of a table that stay, with all their columns; rows that repeat doc_id and text stay once.
+
+    Null texts count as empty, a null doc_id as the largest; an empty table gives no rows.
+    """
+    key = free_names(docs, "doc_key", "text_digest")
+    found = exact_duplicates(docs).where("kept").select(doc_key().alias(key[0]), F.col("text_sha256").alias(key[1])).distinct()
+    named = docs.withColumns(dict(zip(key, (doc_key(), F.sha2(F.translate(F.coalesce("text", F.lit("")), BLANK, ""), 256)))))
+    return named.join(found, key, "left_semi").dropDuplicates(key).drop(*key)

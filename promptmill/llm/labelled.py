@@ -41,7 +41,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: i
     usable = labels.where(F.col(label).isin(0, 1) & ~held_out(modulus, rest)).groupBy("doc_id").agg(F.max(label).alias("label"))
     usable = usable.where("doc_id is not null")
     share = min(1.0, most_rows / max(1, usable.count()))
-    chosen = usable.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(_STEPS)) < int(share * _STEPS))
+    number = F.xxhash64(F.lit(11), "doc_id")
+    # 62 bits of the hash, so that the share is met for any number of labels; compared as a double, which keeps 53 of them
+    place = F.pmod(number, F.lit(_STEPS)) + F.pmod(F.shiftrightunsigned(number, 20), F.lit(1 << 42)) / float(1 << 42)
+    chosen = usable.where(place < share * _STEPS)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # no more rows than the sample has
     return texts.join(F.broadcast(chosen), "doc_id").select(doc_key().alias("doc"), "text", F.col("label").cast("int"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptmill.llm.common import WORD, as_doc_id, doc_key
+from promptmill.llm.common import WORD, as_doc_id, doc_key, free_names
 from promptmill.sources.storage import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -178,3 +178,23 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED) ->
     return settled.unionByName(partial).select(
         as_doc_id(F.col("doc")).alias("doc_id"), "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken")
     )
+
+
+MIX_COLUMNS = ("size", "source_size", "target", "repeats", "taken")
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """Every row with all its columns and with what `mix` says of it, in place of columns of those names; `repeats` is 0 for one that the mix leaves out.
+
+    Rows that share doc_id, source and size share their rank, too, and are one choice: each of them gets the largest repeats of them.
+    Nulls, ties and empty tables as for `mix`.
+    """
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in MIX_COLUMNS])
+    key = free_names(docs, "mix_doc", "mix_source", "mix_source_missing", "mix_size")
+    missing, source = F.col("source").isNull(), F.coalesce(F.col("source"), F.lit(""))
+    found = mix(docs, weights, seed).select(
+        doc_key().alias(key[0]), source.alias(key[1]), missing.alias(key[2]), F.col("size").alias(key[3]), *MIX_COLUMNS
+    )
+    last = [F.max(c).alias(c) for c in MIX_COLUMNS]
+    named = docs.withColumns(dict(zip(key, (doc_key(), source, missing, word_count(F.col("text"))))))
+    return named.join(found.groupBy(*key).agg(*last), key).drop(*key)

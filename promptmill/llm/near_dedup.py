@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptmill.llm.common import RollingHash, Words, as_doc_id, doc_key, group_starts, mix, slices_for, text_chunks, text_key
+from promptmill.llm.common import RollingHash, Words, as_doc_id, doc_key, free_names, group_starts, mix, slices_for, text_chunks, text_key
 from promptmill.sources.storage import materialize
 
 SHINGLE = 5
@@ -329,13 +329,15 @@ def keep_representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each component, with all its columns: the document with the smallest doc_id, once.
 
     A document is a doc_id with its text. Different texts under one doc_id, or without one, are documents of their own and linked by
-    their sets only. A text without words is linked with nothing; of rows that repeat a doc_id and its text one stays.
+    their sets only. A text without words is linked with nothing; of rows that repeat a doc_id and its text one stays. Null texts are without words; an empty table
+    gives no rows.
     """
+    key = free_names(docs, "doc_key", "text_digest")
+    pair = [F.col("doc").alias(key[0]), F.col("text_key").alias(key[1])]
     signed, nodes, joined = _linked_sets(docs, percent, through_doc=False)
     gone = joined.where("node != component").select("node")
-    kept = nodes.join(gone, "node", "left_anti").select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"))
-    wordless = signed.where("n_shingles = 0").select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"))
+    kept = nodes.join(gone, "node", "left_anti").select(*pair)
+    wordless = signed.where("n_shingles = 0").select(*pair)
     kept = materialize(kept.unionByName(wordless.distinct()), "kept-documents")
-    named = docs.withColumns({"_doc": doc_key(), "_text_key": text_key(F.col("text"))})
-    key = ["_doc", "_text_key"]
+    named = docs.withColumns(dict(zip(key, (doc_key(), text_key(F.col("text"))))))
     return named.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
