@@ -37,6 +37,7 @@ SPECIAL_TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 MAX_LEN, SHORT_LEN, BATCH, TRAIN_BATCH, EPOCHS, WARMUP, PATIENCE, EVAL_EVERY = 512, 16, 32, 16, 10, 0.05, 5, 10
 SHOTS, SEED = 128, 9
 LABEL_WORDS = (3, 5, 7)
+SUBWORDS = 4000
 
 
 def pattern(question: str, sentiment: bool) -> list[str]:
@@ -304,6 +305,31 @@ TOXIC = [EXAMPLES, EXAMPLE_TOKENS, TRAIN_ROWS, trained("toxic", "train_rows", "l
 TOXIC_HELD = [*TOXIC, HELD_OUT, scored("held", "toxic", "held_out"),
               "preds AS (SELECT h.*, pred FROM held_out h JOIN held_pred USING (guid))"]
 SENTI = [EXAMPLES, EXAMPLE_TOKENS, TRAIN_ROWS, trained("senti", "train_rows", "senti_gold", 3)]
+# Pieces of up to 8 letters of all words, the most frequent ones, and the longest one at each place of a word.
+SUBWORD_PIECES = (
+    "word AS (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM docs) t GROUP BY token)",
+    """cut AS (
+      SELECT CASE WHEN a > 1 THEN '##' ELSE '' END || substr(token, a, size) AS piece, n
+      FROM (SELECT token, n, a, unnest(range(1, least(8, length(token) - a + 1) + 1)) AS size
+            FROM (SELECT token, n, unnest(range(1, length(token) + 1)) AS a FROM word) s) c)""",
+    f"known AS (SELECT piece FROM cut GROUP BY piece ORDER BY sum(n) DESC, piece LIMIT {SUBWORDS})",
+    """walk AS (
+      SELECT token, CAST(1 AS BIGINT) AS a, CAST([] AS VARCHAR[]) AS pieces FROM word
+      UNION ALL
+      SELECT token, a + size, list_append(pieces, piece) FROM (
+        SELECT w.token, w.a, w.pieces, k.piece, s.size, row_number() OVER (PARTITION BY w.token ORDER BY s.size DESC) AS nth
+        FROM walk w CROSS JOIN (SELECT unnest(range(1, 9)) AS size) s
+        JOIN known k ON k.piece = CASE WHEN w.a > 1 THEN '##' ELSE '' END || substr(w.token, w.a, s.size)
+        WHERE w.a + s.size <= length(w.token) + 1) f WHERE nth = 1)""",
+    """split AS (
+      SELECT w.token, coalesce(max(pieces) FILTER (a = length(w.token) + 1), ['[UNK]']) AS pieces
+      FROM word w JOIN walk USING (token) GROUP BY w.token)""",
+    """placed AS (
+      SELECT guid, i, token FROM (SELECT guid, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM docs) t)""",
+    """joined AS (
+      SELECT d.guid, coalesce(p.pieces, []) AS pieces FROM docs d
+      LEFT JOIN (SELECT guid, flatten(list(pieces ORDER BY i)) AS pieces FROM placed JOIN split USING (token) GROUP BY guid) p ON p.guid = d.guid)""",
+)
 DOCUMENT_TOKENS = f"docs AS (SELECT doc_id AS guid, {tokens('text')} AS tokens FROM documents)"
 SENTI_DOCUMENTS = [*SENTI, DOCUMENT_TOKENS, scored("doc", "senti", "docs")]
 # Examples whose tokens end with the token of their predicted sentiment.
@@ -716,6 +742,9 @@ def statements() -> dict[str, str]:
     out["train_token_weights"] = (
         with_(*TOXIC) + f"SELECT class::INTEGER AS class, token, n, {rnd('w / 1e9', 4)} AS weight FROM toxic_weight"
     )
+    out["subword_pieces"] = with_(DOCUMENT_TOKENS, *SUBWORD_PIECES).replace("WITH ", "WITH RECURSIVE ", 1) + (
+        "SELECT guid, CAST(len(pieces) AS INTEGER) AS n_pieces, array_to_string(pieces, ' ') AS pieces FROM joined"
+    )
     out["batch_assign"] = (
         with_(EXAMPLES, batches("batched", "examples", BATCH, "guid")) + "SELECT guid, batch_id, pos FROM batched"
     )

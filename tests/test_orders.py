@@ -1,11 +1,13 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from promptmill.operators import history, ordering, sampling
-from promptmill.operators.subwords import INNER, split_word, subword_vocab, subwords
+from promptmill.operators.subwords import INNER, Trie, subword_vocab, subwords
 
 
 def runs(seed=1):
@@ -92,6 +94,38 @@ def test_sample_is_the_head_of_the_shuffle(spark, k):
         assert [r["guid"] for r in sorted(got, key=lambda r: r["rank"]) if r["seed"] == seed] == want
 
 
+def split_word(word, pieces, longest, unknown):
+    out, at = [], 0
+    while at < len(word):
+        lead = INNER if at else ""
+        for size in range(min(longest, len(word) - at), 0, -1):
+            if lead + word[at : at + size] in pieces:
+                out.append(lead + word[at : at + size])
+                at += size
+                break
+        else:
+            return [unknown]
+    return out
+
+
+def test_trie_equals_brute_force():
+    r = np.random.RandomState(4)
+    draw = lambda n: "".join(r.choice(list("abé日𝄞"), n))
+    for round_ in range(30):
+        pieces = sorted({("" if r.rand() < 0.5 else INNER) + draw(r.randint(1, 5)) for _ in range(r.randint(1, 40))})
+        words = [draw(n) for n in r.randint(0, 12, 60)] + ["ab" * 150, "q", ""]
+        found, first = Trie(pieces).split(pa.array(words, pa.string()), 4)
+        got = [["[UNK]" if p < 0 else pieces[p] for p in found[a:b]] for a, b in zip(first, first[1:])]
+        assert got == [split_word(w, frozenset(pieces), 4, "[UNK]") for w in words]
+
+
+def test_subwords_of_nothing(spark):
+    df = spark.createDataFrame([(1, ["ab", "c"]), (2, []), (3, None)], "guid bigint, tokens array<string>")
+    none = spark.createDataFrame([], "piece string, n bigint")
+    got = {r["guid"]: r["p"] for r in df.select("guid", subwords(F.col("tokens"), none).alias("p")).collect()}
+    assert got == {1: ["[UNK]", "[UNK]"], 2: [], 3: []}
+
+
 def test_subwords_equal_brute_force(spark):
     rows = [(1, ["abab", "ab", "abc"]), (2, ["zzz", "a"]), (3, [])]
     df = spark.createDataFrame(rows, "guid bigint, tokens array<string>")
