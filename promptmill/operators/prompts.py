@@ -11,8 +11,12 @@ from promptmill.operators.vocabulary import (
     VOCAB_SIZE,
     Specials,
     ids_in_place,
+    lookup_bytes,
+    same_key,
     sentiment_reserved_ids,
+    token_ids,
 )
+from promptmill.sources.storage import BROADCAST_BYTES
 from promptmill.tasks import (
     FLAG_MASK,
     FLAG_PROMPT,
@@ -182,46 +186,56 @@ def pad(df: DataFrame, max_len: int, sp: Specials = Specials()) -> DataFrame:
 
 
 def fitted(
-    examples: DataFrame, slots: DataFrame, lookup: DataFrame, max_len: int, sp: Specials = Specials(), whole: bool = False
+    examples: DataFrame, slots: DataFrame, lookup: DataFrame, max_len: int, sp: Specials = Specials(), whole: bool = False, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Accepted examples, which carry their task columns, with the ids of all parts and the lengths that fit.
 
-    Text ids are looked up in each row; nothing is shuffled. Tokens past `max_len` can never survive the cut,
+    Text ids are looked up in each row and nothing is shuffled while the vocabulary's measured bytes fit the limit; beyond it they come from
+    `token_ids` and are joined by guid, which must be unique then. Tokens past `max_len` can never survive the cut,
     so they are dropped before the lookup unless the `whole` lengths are wanted. Second texts are
     encoded like first ones.
     """
     carried = ["guid", "task", "pattern", "label_id", "senti_pre"]
-    ids = ids_in_place(lookup, sp.unk)
-
-    def text_ids(column):
-        words = tokens(F.col(column))
-        return ids(words if whole else F.slice(words, 1, max_len))
-
-    second = "text_b" in examples.columns
-    rows = examples.select(
-        *carried,
-        text_ids("text_a").alias("text_ids"),
-        (F.when(F.col("text_b").isNotNull(), text_ids("text_b")) if second else F.lit(None).cast("array<int>")).alias("text_b_ids"),
-    )
+    none = F.lit(None).cast("array<int>")
+    texts = [t for t in ("text_a", "text_b") if t in examples.columns]
+
+    def words(column):
+        found = tokens(F.col(column))
+        return found if whole else F.slice(found, 1, max_len)
+
+    if lookup_bytes(lookup) <= limit:
+        ids = ids_in_place(lookup, sp.unk)
+        found = {t: F.when(F.col(t).isNotNull(), ids(words(t))) if t == "text_b" else ids(words(t)) for t in texts}
+        rows = examples.select(*carried, found["text_a"].alias("text_ids"), found.get("text_b", none).alias("text_b_ids"))
+    else:
+        rows = examples.select(*carried)
+        for text, out in (("text_a", "text_ids"), ("text_b", "text_b_ids")):
+            if text not in texts:
+                rows = rows.withColumn(out, none)
+                continue
+            given = examples.select("guid", words(text).alias("tokens"))
+            given = given.filter(F.col("tokens").isNotNull()) if text == "text_b" else given
+            made = token_ids(given, lookup, ["guid"], sp.unk, limit=limit).withColumnRenamed("ids", out)
+            rows = rows.join(made, same_key(rows, made, ["guid"]), "left").select(*[rows[c] for c in rows.columns], made[out])
     return with_parts(rows.join(F.broadcast(slots), "task"), max_len, sp)
 
 
 def encode(
-    examples: DataFrame, slots: DataFrame, lookup: DataFrame, max_len: int, sp: Specials = Specials()
+    examples: DataFrame, slots: DataFrame, lookup: DataFrame, max_len: int, sp: Specials = Specials(), limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Encode accepted examples that carry their task columns; any task whose phrases are in `slots`.
 
-    Rows whose fixed prompt parts leave no room are in `encode_rejects`.
+    Rows whose fixed prompt parts leave no room are in `encode_rejects`. `limit` as for `fitted`.
     """
-    rows = fitted(examples, slots, lookup, max_len, sp).filter(~too_tight(max_len))
+    rows = fitted(examples, slots, lookup, max_len, sp, limit=limit).filter(~too_tight(max_len))
     return assemble(rows, sp).withColumn("pet_label", F.get("verbalizer_ids", F.col("label_id")))
 
 
 def encode_rejects(
-    examples: DataFrame, slots: DataFrame, lookup: DataFrame, max_len: int, sp: Specials = Specials()
+    examples: DataFrame, slots: DataFrame, lookup: DataFrame, max_len: int, sp: Specials = Specials(), limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """guid, task, reason of the accepted examples that cannot be encoded in `max_len` ids."""
-    rows = fitted(examples, slots, lookup, max_len, sp).filter(too_tight(max_len))
+    rows = fitted(examples, slots, lookup, max_len, sp, limit=limit).filter(too_tight(max_len))
     return rows.select("guid", "task", F.lit("prompt does not fit").alias("reason"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -139,6 +140,73 @@ def ids_in_place(lookup: DataFrame, unk: int = Specials().unk) -> Callable[[Colu
 
 # Slices of the occurrences of one token when a vocabulary is too large to broadcast.
 SALTS = 16
+# Places of a token in the filter of known tokens, its bits per token, and its least and largest size as powers of two.
+FILTER_PLACES, FILTER_BITS, LEAST_BITS, MOST_BITS = 4, 12, 13, 36
+
+
+def _two_places(token: Column, bits: int) -> tuple[Column, Column]:
+    """Where a token begins in the filter, and how far apart its places are."""
+    return F.pmod(F.xxhash64(token), F.lit(bits)), F.pmod(F.xxhash64(token, F.lit(1)), F.lit(bits))
+
+
+def known_filter(lookup: DataFrame, limit: int = BROADCAST_BYTES) -> np.ndarray:
+    """A Bloom filter of all tokens of a lookup table, in words of 64 bits: as large as its tokens ask for, within the limit.
+
+    Bits are set where the tokens are and joined by word, so the driver gets the filter, never the tokens.
+    """
+    wanted = (FILTER_BITS * max(1, lookup.count()) - 1).bit_length()
+    allowed = min(MOST_BITS, max(LEAST_BITS, (8 * max(1, limit)).bit_length() - 1))
+    bits = 1 << min(max(LEAST_BITS, wanted), allowed)
+    begin, gap = _two_places(F.col("token"), bits)
+    place = F.explode(F.array(*[(begin + i * gap) % bits for i in range(FILTER_PLACES)]))
+    words = lookup.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+    found = words.agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("mask")).toArrow()
+    table = np.zeros(bits >> 6, np.int64)
+    table[found.column("word").to_numpy()] = found.column("mask").to_numpy()
+    return table
+
+
+def maybe_known(lookup: DataFrame, limit: int = BROADCAST_BYTES) -> Callable[[Column], Column]:
+    """A function of a token column: whether each token may be in the lookup table. Every known one may."""
+    table = known_filter(lookup, limit)
+    bits = len(table) << 6
+    shared = lookup.sparkSession.sparkContext.broadcast(table)
+    places = FILTER_PLACES
+
+    @F.arrow_udf("array<boolean>")
+    def found(begins: pa.Array, gaps: pa.Array) -> pa.Array:
+        first, gap = begins.flatten().to_numpy(), gaps.flatten().to_numpy()
+        there = np.ones(len(first), bool)
+        for i in range(places):
+            place = (first + i * gap) % bits
+            there &= (shared.value[place >> 6] >> (place & 63)) & 1 == 1
+        offsets = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(begins), 0)))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(there))
+
+    return lambda words: found(
+        F.transform(words, lambda t: _two_places(t, bits)[0]), F.transform(words, lambda t: _two_places(t, bits)[1])
+    )
+
+
+def _filled(unk: int) -> Callable[[Column, Column], Column]:
+    """Ids of a row from its number of tokens and the (pos, id) that were found; all others are `unk`."""
+
+    @F.arrow_udf("array<int>")
+    def fill(sizes: pa.Array, placed: pa.Array) -> pa.Array:
+        offsets = np.r_[0, np.cumsum(np.asarray(pc.fill_null(sizes, 0)))].astype(np.int64)
+        out = np.full(offsets[-1], unk, np.int32)
+        counts = np.asarray(pc.fill_null(pc.list_value_length(placed), 0))
+        pairs = placed.flatten()
+        if len(pairs):
+            out[np.repeat(offsets[:-1], counts) + pairs.field("pos").to_numpy()] = pairs.field("id").to_numpy()
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
+
+    return fill
+
+
+def same_key(left: DataFrame, right: DataFrame, keep: Sequence[str]) -> Column:
+    """Equal in all key columns; nulls are equal."""
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keep])
 
 
 def token_ids(
@@ -146,23 +214,22 @@ def token_ids(
 ) -> DataFrame:
     """Ids of a token column in reading order, as `ids`, beside the `keep` columns.
 
-    A vocabulary that fits the limit is looked up in each row. Beyond it, tokens are joined by shuffle, dealt
-    into SALTS slices so that no stop word gathers in one task; `keep` must be unique then, which is checked.
+    A vocabulary that fits the limit is looked up in each row. Beyond it, a Bloom filter keeps unknown tokens where they are; the
+    others are joined by shuffle, dealt into SALTS slices so that no stop word gathers in one task. `keep` must be unique then, which is checked.
     """
     if lookup_bytes(lookup) <= limit:
         return docs.select(*keep, ids_in_place(lookup, unk)(F.col(column)).alias("ids"))
     require_unique(docs, keep)
-    occurrences = docs.select(*keep, F.posexplode_outer(column).alias("pos", "token")).withColumn(
+    marked = docs.select(*keep, column, maybe_known(lookup, limit)(F.col(column)).alias("maybe"))
+    every = F.transform(column, lambda t, i: F.struct(i.alias("pos"), t.alias("token"), F.get("maybe", i).alias("maybe")))
+    occurrences = marked.select(*keep, F.inline(F.filter(every, lambda e: e["maybe"]))).withColumn(
         "salt", F.pmod(F.xxhash64(*keep, "pos"), F.lit(SALTS))
     )
     salted = lookup.select("token", "id", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
-    found = occurrences.join(salted, ["token", "salt"], "left")
-    placed = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unk)).alias("id")))
-    return (
-        found.groupBy(*keep)
-        .agg(F.array_sort(F.collect_list(placed)).alias("placed"))
-        .select(*keep, F.transform("placed", lambda p: p["id"]).alias("ids"))
-    )
+    found = occurrences.join(salted, ["token", "salt"]).groupBy(*keep).agg(F.collect_list(F.struct("pos", "id")).alias("placed"))
+    sizes = docs.select(*keep, F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0)).alias("n"))
+    rows = sizes.join(found, same_key(sizes, found, keep), "left")
+    return rows.select(*[sizes[k] for k in keep], _filled(unk)(F.col("n"), F.col("placed")).alias("ids"))
 
 
 def prompt_tokens(

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from promptmill.operators import vocabulary
+from promptmill.operators import prompts, vocabulary
 from promptmill.tasks import TASKS
 
 
@@ -72,3 +72,24 @@ def test_random_rows_stay_in_bounds(spark):
     got = {r["vec_id"]: r["embedding"] for r in vocabulary.randomize_rows(vectors, remap, 3).collect()}
     assert all(got[i] == [0.5, -2.0, 1.0] for i in range(18))
     assert all(abs(x) <= 2.0 for i in (18, 19) for x in got[i]) and got[18] != got[19]
+
+
+def test_filter_lets_every_known_token_through_and_stops_most_others(spark):
+    lookup = spark.range(3000).selectExpr("concat('k', id) AS token", "int(id) AS id")
+    may = vocabulary.maybe_known(lookup)
+    rows = spark.createDataFrame([(1, [f"k{i}" for i in range(3000)]), (2, [f"u{i}" for i in range(3000)]), (3, []), (4, None)], "guid int, tokens array<string>")
+    got = {r["guid"]: r["m"] for r in rows.select("guid", may(F.col("tokens")).alias("m")).collect()}
+    assert all(got[1]) and len(got[1]) == 3000 and sum(got[2]) < 90 and not got[3] and not got[4]
+    assert len(vocabulary.known_filter(lookup, 0)) == 1 << (vocabulary.LEAST_BITS - 6)
+
+
+def test_encoding_beyond_a_broadcast_is_the_same(spark, sf):
+    from promptmill.plans import queries
+
+    rows = queries._task_rows(spark, sf).withColumn("text_b", F.when(F.col("guid") % 3 == 0, F.concat(F.lit("second "), "text_a")))
+    lookup = queries._lookup(spark, sf)
+    slots = prompts.task_slots(vocabulary.prompt_tokens(spark, lookup))
+    for given in (rows, rows.drop("text_b")):
+        want, got = (prompts.encode(given, slots, lookup, 64, limit=limit) for limit in (vocabulary.BROADCAST_BYTES, 0))
+        order = lambda df: sorted(map(str, df.collect()))
+        assert want.columns == got.columns and order(want) == order(got)
