@@ -538,6 +538,9 @@ def statements() -> dict[str, str]:
     out: dict[str, str] = {}
     senti_docs = with_(*SENTI_DOCUMENTS)
     out["csv_roundtrip"] = "SELECT doc_id AS guid, text, lang, source, n_chars FROM documents"
+    out["csv_split_read"] = (
+        """SELECT doc_id AS guid, replace(text, '. ', '.' || chr(10) || chr(10) || '"') AS text, lang FROM documents"""
+    )
     out["read_examples_post"] = corpus_family(True)
     out["read_examples_text_joined"] = corpus_family(False)
     out["read_examples_text"] = corpus_family(True)

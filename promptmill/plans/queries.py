@@ -70,6 +70,15 @@ def csv_roundtrip(spark, sf):
     return corpus.read_csv(spark, path).withColumn("n_chars", F.col("n_chars").cast("bigint"))
 
 
+@query
+def csv_split_read(spark, sf):
+    """Cells with quotes and line breaks, in files of which each is read by many tasks."""
+    path = new_path(spark, "documents_lines_csv")
+    text = F.replace("text", F.lit(". "), F.lit('.\n\n"'))
+    sinks.write_csv(inputs.documents(spark, sf).select("guid", text.alias("text"), "lang"), path)
+    return corpus.read_csv_split(spark, path)
+
+
 def _read_family(spark, sf, task, column):
     path = new_path(spark, f"corpus_{column}")
     rows = inputs.examples(spark, sf).select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptmill.operators.examples import canonical
+from promptmill.sources.records import csv_records
 from promptmill.tasks import get_task
 
 # Quoted cells may hold line breaks and doubled quotes; only an empty cell is null, so that the
@@ -17,17 +18,35 @@ CSV_WRITE = {"header": True, "quote": '"', "escape": '"', "quoteAll": False, "nu
 def read_csv(spark: SparkSession, path: str | list[str], index: str = "guid") -> DataFrame:
     """All columns as strings by header name; the first, unnamed one is the row id.
 
-    A file with line breaks inside cells is read by one task, so a large corpus should come as
-    many files and be converted once with `to_parquet`.
+    One task reads a file, since cells may hold line breaks. `read_csv_split` gives the same rows by many
+    tasks; `to_parquet` converts a corpus once.
     """
-    raw = spark.read.options(**CSV_FORMAT).csv(path)
+    return _indexed(spark.read.options(**CSV_FORMAT).csv(path), index)
+
+
+def read_csv_split(spark: SparkSession, path: str | list[str], index: str = "guid") -> DataFrame:
+    """The rows of `read_csv`, with every file read by as many tasks as it has blocks.
+
+    The lines are written once to the shared folder. Quotes must stand around whole cells, as `write_csv` and
+    the usual writers put them; any other quote fails the job.
+    """
+    # The reader takes a line feed inside a heading for the end of lines, and leaves a carriage return at the last one.
+    names = [name.removesuffix("\r") for name in spark.read.options(**CSV_FORMAT).csv(path).columns]
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_FORMAT.items() if k != "header"}
+    places = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(f"{c} string" for c in places)
+    cells = csv_records(spark, path).select(F.from_csv("record", schema, options).alias("cells"))
+    return _indexed(cells.select(*[F.col(f"cells.{c}").alias(name) for c, name in zip(places, names)]), index)
+
+
+def _indexed(raw: DataFrame, index: str) -> DataFrame:
     first, *rest = raw.columns
     return raw.select(F.col(f"`{first}`").cast("bigint").alias(index), *[F.col(f"`{c}`") for c in rest])
 
 
 def to_parquet(spark: SparkSession, source: str | list[str], target: str) -> None:
     """Convert a CSV corpus once; every later read is splittable and reads only its columns."""
-    read_csv(spark, source).write.parquet(target)
+    read_csv_split(spark, source).write.parquet(target)
 
 
 def from_columns(df: DataFrame, task: str) -> DataFrame:
