@@ -1,20 +1,108 @@
-"""A second trainer: hashed token counts into Spark ML logistic regression."""
+"""A second trainer: logistic regression over weighted tokens, by gradient steps whose sums are whole numbers.
+
+Tokens fall into a fixed number of buckets, so a model has a size of its own, whatever the corpus. Every value
+that is summed over rows is a whole number; a step thus gives the same weights for every partitioning.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptmill.functions.text import key_range
+from promptmill.sources.storage import materialize
+
+BUCKETS = 1 << 12
+STEPS = 12
+RATE = 4.0
+# Values of features, weights and gradients are whole numbers of this part.
+UNIT = 1_000_000
+# Logarithms of document shares are whole numbers of this part.
+LOG_UNIT = 1000
+
+
+def _nearest(value: Column) -> Column:
+    """The nearest whole number; halves go up, which any engine computes alike."""
+    return F.floor(value + 0.5).cast("bigint")
+
+
+def token_buckets(tokens: Column, buckets: int = BUCKETS) -> Column:
+    """The distinct buckets of a document's tokens; `buckets` is a power of two up to 65536."""
+    return F.array_distinct(F.transform(F.array_distinct(tokens), lambda t: key_range(F.md5(t)) % buckets))
+
+
+def _column_of(model: DataFrame, name: str) -> Column:
+    """One column of a model as an array by bucket: at most 65537 entries, read once per plan."""
+    placed = F.array_sort(F.collect_list(F.struct("bucket", name)))
+    return model.agg(F.transform(placed, lambda p: p[name]).alias(name)).scalar()
+
+
+def _features(found: Column, logs: Column, buckets: int) -> Column:
+    """bucket and value of a document: its log weights scaled to length 1, and the constant, as the last bucket."""
+    logged = F.transform(found, lambda b: F.struct(b.alias("bucket"), F.get(logs, b).alias("log")))
+    square = F.aggregate(logged, F.lit(0).cast("bigint"), lambda total, f: total + f["log"] * f["log"])
+    length = F.sqrt(F.greatest(square, F.lit(1)).cast("double"))
+    scaled = F.transform(logged, lambda f: F.struct(f["bucket"].alias("bucket"), _nearest(f["log"] * F.lit(float(UNIT)) / length).alias("x")))
+    constant = F.struct(F.lit(buckets).alias("bucket"), F.lit(UNIT).cast("bigint").alias("x"))
+    return F.concat(F.filter(scaled, lambda f: f["x"] != 0), F.array(constant))
+
+
+def _score(features: Column, weights: Column) -> Column:
+    """The weighted sum of a document, in units of UNIT * UNIT."""
+    return F.aggregate(features, F.lit(0).cast("bigint"), lambda total, f: total + F.get(weights, f["bucket"]) * f["x"])
+
+
+def train_logistic(docs: DataFrame, label: str = "label", buckets: int = BUCKETS, steps: int = STEPS, rate: float = RATE) -> DataFrame:
+    """Learn from rows of `tokens` and a label of 0 or 1; other labels and nulls are left out.
+
+    Both labels weigh alike in sum, however rare one is. Returns `bucket, log, weight`, one row per bucket and one for the constant: write it as a table to keep it. A
+    bucket counts by the logarithm of the share of documents that have it. Each step reads the stored buckets of
+    the documents once; gradients are summed in the tasks before at most `buckets` rows per task are shuffled;
+    as many rows in all are broadcast to the weights.
+    The new weights are written, so a lost executor repeats one step at most. No rows give weights of 0.
+    """
+    spark = docs.sparkSession
+    rows = docs.filter(F.col(label).isin(0, 1)).select(
+        F.col(label).cast("int").alias("label"), token_buckets(F.coalesce("tokens", F.array().cast("array<string>")), buckets).alias("found")
+    )
+    stored = materialize(rows, "bucketed")
+    total, ones = stored.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
+    share = F.when(F.col("label") == 1, F.lit(total / (2.0 * max(ones, 1)))).otherwise(F.lit(total / (2.0 * max(total - ones, 1))))
+    held = stored.select(F.explode("found").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("held"))
+    log = F.log(F.lit(float(total + 1)) / (F.coalesce("held", F.lit(0)) + 1))
+    names = spark.range(0, buckets + 1, 1, 1).select(F.col("id").cast("int").alias("bucket"))
+    logs = F.when(F.col("bucket") < buckets, _nearest(F.lit(float(LOG_UNIT)) * log)).otherwise(F.lit(0).cast("bigint"))
+    model = materialize(
+        names.join(F.broadcast(held), "bucket", "left").select("bucket", logs.alias("log"), F.lit(0).cast("bigint").alias("weight")), "logistic"
+    )
+    if not total:
+        return model
+    known = stored.select("label", "found", _column_of(model, "log").alias("logs"))
+    ready = materialize(known.select("label", _features(F.col("found"), F.col("logs"), buckets).alias("features")), "features")
+    for _ in range(steps):
+        score = _score(F.col("features"), F.col("weights")) / F.lit(float(UNIT) * UNIT)
+        error = _nearest((F.lit(1.0) / (F.exp(-score) + 1.0) - F.col("label")) * share * F.lit(float(UNIT)))
+        weighed = ready.select("label", "features", _column_of(model, "weight").alias("weights"))
+        pulls = weighed.select(error.alias("error"), "features").select("error", F.inline("features"))
+        gradient = pulls.groupBy("bucket").agg(F.sum(_nearest(F.col("error") * F.col("x") / F.lit(float(UNIT)))).alias("gradient"))
+        step = _nearest(F.lit(float(rate)) * F.coalesce("gradient", F.lit(0)) / F.lit(float(total)))
+        moved = model.join(F.broadcast(gradient), "bucket", "left").select("bucket", "log", (F.col("weight") - step).alias("weight"))
+        model = materialize(moved, "logistic")
+    return model
 
-def train_logreg(docs: DataFrame, label: str = "label", features: int = 1 << 14, iterations: int = 20) -> PipelineModel:
-    """Fit on rows of `tokens` and an integer label; the model saves with `write()`."""
-    hashed = HashingTF(inputCol="tokens", outputCol="features", numFeatures=features)
-    fit = LogisticRegression(featuresCol="features", labelCol="target", maxIter=iterations, regParam=0.01)
-    return Pipeline(stages=[hashed, fit]).fit(docs.withColumn("target", F.col(label).cast("double")))
 
+def predict_logistic(model: DataFrame, docs: DataFrame, keep: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The columns of `keep`, `score` (whole, in units of UNIT * UNIT) and `pred`: 1 where the score is above 0.
 
-def predict_logreg(model: PipelineModel, docs: DataFrame, keep: list[str]) -> DataFrame:
-    return model.transform(docs).select(*keep, F.col("prediction").cast("int").alias("pred"))
+    Documents are scored where they are read. Null tokens count as none.
+    """
+    found, logs, weights = (f"model_{name}" for name in ("found", "logs", "weights"))
+    tokens = F.coalesce("tokens", F.array().cast("array<string>"))
+    known = docs.select(
+        *keep,
+        token_buckets(tokens, buckets).alias(found),
+        _column_of(model, "log").alias(logs),
+        _column_of(model, "weight").alias(weights),
+    )
+    score = _score(_features(F.col(found), F.col(logs), buckets), F.col(weights))
+    return known.select(*keep, score.alias("score")).withColumn("pred", (F.col("score") > 0).cast("int"))

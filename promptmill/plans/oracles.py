@@ -38,6 +38,7 @@ MAX_LEN, SHORT_LEN, BATCH, TRAIN_BATCH, EPOCHS, WARMUP, PATIENCE, EVAL_EVERY = 5
 SHOTS, SEED = 128, 9
 LABEL_WORDS = (3, 5, 7)
 SUBWORDS = 4000
+BUCKETS, LOGISTIC_STEPS, LOGISTIC_RATE = 4096, 12, 4.0
 
 
 def pattern(question: str, sentiment: bool) -> list[str]:
@@ -534,6 +535,42 @@ def own_task() -> str:
     )
 
 
+def nearest(value: str) -> str:
+    return f"CAST(floor({value} + 0.5) AS BIGINT)"
+
+
+def logistic() -> list[str]:
+    """Gradient steps, one expression after the other: buckets, their values, then weights after each step."""
+    steps = [
+        f"""found AS MATERIALIZED (SELECT DISTINCT guid, split, label, ('0x' || substr(md5(token), 1, 4))::INTEGER % {BUCKETS} AS bucket
+            FROM (SELECT guid, split, label, unnest(tokens) AS token FROM ex))""",
+        """learned AS (SELECT count(*) AS total, greatest(count(*) FILTER (label = 1), 1) AS ones,
+            greatest(count(*) FILTER (label = 0), 1) AS zeros FROM ex WHERE split = 'train')""",
+        """shares AS (SELECT guid, total / (2.0::DOUBLE * CASE WHEN label = 1 THEN ones ELSE zeros END) AS share
+            FROM ex CROSS JOIN learned WHERE split = 'train')""",
+        f"""held AS MATERIALIZED (SELECT b AS bucket, {nearest("1000.0::DOUBLE * ln((total + 1)::DOUBLE / (coalesce(n, 0) + 1))")} AS log
+            FROM range({BUCKETS}) r(b) CROSS JOIN learned
+            LEFT JOIN (SELECT bucket, count(*) AS n FROM found WHERE split = 'train' GROUP BY ALL) ON bucket = b)""",
+        "lengths AS (SELECT guid, sqrt(greatest(sum(log * log), 1)::DOUBLE) AS length FROM found JOIN held USING (bucket) GROUP BY ALL)",
+        f"""xs AS MATERIALIZED (SELECT guid, bucket, {nearest("log * 1000000.0::DOUBLE / length")} AS x
+            FROM found JOIN held USING (bucket) JOIN lengths USING (guid)
+            UNION ALL SELECT guid, {BUCKETS}, 1000000 FROM ex)""",
+        f"w0 AS (SELECT b::INTEGER AS bucket, 0::BIGINT AS weight FROM range({BUCKETS} + 1) r(b))",
+    ]
+    for i in range(LOGISTIC_STEPS):
+        score = "sum(x * weight)::BIGINT / 1000000000000.0::DOUBLE"
+        steps += [
+            f"""errors{i} AS (SELECT guid, {nearest(f"(1.0::DOUBLE / (exp(-({score})) + 1.0::DOUBLE) - any_value(label)) * any_value(share) * 1000000.0::DOUBLE")} AS error
+                FROM xs JOIN w{i} USING (bucket) JOIN ex USING (guid) JOIN shares USING (guid) GROUP BY guid)""",
+            f"""pulls{i} AS (SELECT bucket, sum({nearest("(error * x) / 1000000.0::DOUBLE")})::BIGINT AS pull
+                FROM xs JOIN errors{i} USING (guid) GROUP BY bucket)""",
+            f"""w{i + 1} AS MATERIALIZED (SELECT bucket,
+                weight - {nearest(f"({LOGISTIC_RATE}::DOUBLE * coalesce(pull, 0)) / total::DOUBLE")} AS weight
+                FROM w{i} CROSS JOIN learned LEFT JOIN pulls{i} USING (bucket))""",
+        ]
+    return steps
+
+
 def statements() -> dict[str, str]:
     out: dict[str, str] = {}
     senti_docs = with_(*SENTI_DOCUMENTS)
@@ -748,6 +785,10 @@ def statements() -> dict[str, str]:
     out["subword_pieces"] = with_(DOCUMENT_TOKENS, *SUBWORD_PIECES).replace("WITH ", "WITH RECURSIVE ", 1) + (
         "SELECT guid, CAST(len(pieces) AS INTEGER) AS n_pieces, array_to_string(pieces, ' ') AS pieces FROM joined"
     )
+    out["train_logistic"] = with_(EXAMPLES, EXAMPLE_TOKENS, *logistic()) + (
+        "SELECT guid, split, label, sum(x * weight)::BIGINT AS score, CAST(sum(x * weight) > 0 AS INTEGER) AS pred"
+        f" FROM xs JOIN w{LOGISTIC_STEPS} USING (bucket) JOIN ex USING (guid) WHERE split <> 'train' GROUP BY ALL"
+    )
     out["batch_assign"] = (
         with_(EXAMPLES, batches("batched", "examples", BATCH, "guid")) + "SELECT guid, batch_id, pos FROM batched"
     )

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptmill.functions.arrays import argmax, gather, max_abs, softmax, total_int
+from promptmill.operators import classifier, metrics, prompts, sampling, scorer, vocabulary
 from promptmill.operators import history as runs
-from promptmill.operators import metrics, prompts, sampling, scorer, vocabulary
-from promptmill.operators.classifier import predict_logreg, train_logreg
 from promptmill.operators.examples import accepted, canonical, rejected
 from promptmill.operators.subwords import subword_vocab, subwords
 from promptmill.plans import inputs, stages
@@ -566,8 +565,8 @@ def train_token_weights(spark, sf):
 @query
 def train_logistic(spark, sf):
     rows = stages.tokenized(inputs.examples(spark, sf))
-    model = train_logreg(rows.filter(F.col("split") == "train"))
-    return predict_logreg(model, rows.filter(F.col("split") != "train"), ["guid", "split", "label"])
+    model = classifier.train_logistic(rows.filter(F.col("split") == "train"))
+    return classifier.predict_logistic(model, rows.filter(F.col("split") != "train"), ["guid", "split", "label"])
 
 
 # --- orders over long histories -------------------------------------------------------------

@@ -27,7 +27,7 @@ def duck(sf):
 def test_every_oracle_has_a_query():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"train_logistic"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -42,11 +42,6 @@ def test_same_rows_as_sql(spark, sf, duck, name):
     assert Counter(tuple(r) for r in df.select(*columns).collect()) == Counter(want)
 
 
-@pytest.mark.parametrize("name", ["train_logistic"])
-def test_rows_only(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
-
-
 def test_entry(spark):
     assert entry.entry(spark).columns == ["guid", "split", "label", "senti_pre", "pred", "prob_yes"]
 

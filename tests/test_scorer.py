@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptmill.operators import scorer
-from promptmill.operators.classifier import predict_logreg, train_logreg
+from promptmill.operators.classifier import BUCKETS, predict_logistic, train_logistic
 from promptmill.plans import inputs, stages
 
 
@@ -201,9 +201,26 @@ def test_batch_hook_sees_every_row_once(spark):
 
 def test_logistic_trainer_separates_two_words(spark, tmp_path):
     rows = frame(spark, [(i, i % 2, ["yes" if i % 2 else "no", "hot"]) for i in range(40)])
-    model = train_logreg(rows)
-    model.write().overwrite().save(str(tmp_path / "lr"))
-    assert all(r["pred"] == r["label"] for r in predict_logreg(model, rows, ["guid", "label"]).collect())
+    train_logistic(rows).write.parquet(str(tmp_path / "lr"))
+    model = spark.read.parquet(str(tmp_path / "lr"))
+    assert model.count() == BUCKETS + 1
+    assert all(r["pred"] == r["label"] for r in predict_logistic(model, rows, ["guid", "label"]).collect())
+
+
+def test_logistic_weights_do_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = frame(spark, [(i, rng.randint(0, 1), rng.choices(words, k=rng.randint(0, 9))) for i in range(90)])
+    models = [sorted(map(tuple, train_logistic(r, steps=3).collect())) for r in (rows.coalesce(1), rows.repartition(7))]
+    assert models[0] == models[1] and any(w for _, _, w in models[0])
+
+
+def test_logistic_without_rows_or_tokens(spark):
+    rows = spark.createDataFrame([(1, 1, None), (2, 0, []), (3, None, ["a"]), (4, 7, ["b"])], "guid bigint, label int, tokens array<string>")
+    empty = train_logistic(rows.limit(0), steps=2)
+    assert {r["weight"] for r in empty.collect()} == {0}
+    scored = predict_logistic(train_logistic(rows, steps=2), rows, ["guid"]).collect()
+    assert {r["guid"]: r["pred"] for r in scored}.keys() == {1, 2, 3, 4}
 
 
 def test_batch_hook_keeps_any_key(spark):
