@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptmill.sources.corpus import CSV_WRITE
-from promptmill.sources.storage import is_finished, move
+from promptmill.sources.storage import exists, is_finished, materialize, replace_all
 
 
 def write_csv(df: DataFrame, path: str, index: str = "guid") -> None:
@@ -29,16 +29,16 @@ def write_if_absent(targets: dict[str, DataFrame], fmt: str = "csv") -> bool:
     """Compute and write all targets unless every one of them is finished; returns whether it wrote.
 
     The check comes before any job is planned, so a complete set costs nothing. Otherwise the whole set
-    is written beside the targets and moved into place when all of it is there, so that old and
-    new results never mix. A half-written target does not count.
+    is written beside the targets and moved into place when all of it is there; see `replace_all`. A half-written
+    target does not count.
     """
     if all(is_finished(df.sparkSession, path) for path, df in targets.items()):
         return False
+    session = next(iter(targets.values())).sparkSession
     staged = {path: f"{path.rstrip('/')}.{uuid.uuid4().hex}" for path in targets}
     for path, df in targets.items():
         write_annotated(df, staged[path], fmt)
-    for path, df in targets.items():
-        move(df.sparkSession, staged[path], path)
+    replace_all(session, staged)
     return True
 
 
@@ -48,5 +48,18 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 
 
 def append_metrics(log: DataFrame, path: str) -> None:
-    """Add rows of run, step, split, metric, value to the log, one folder per run."""
-    log.write.mode("append").partitionBy("run").parquet(path)
+    """Add rows of run, step, split, metric, value to the log, one folder per run.
+
+    A row replaces an earlier one of the same run, step, split and metric, so a run that is repeated, in whole or in
+    part, leaves its rows once; within `log` they must be unique. Only the folders of its runs are read and written
+    anew. One job at a time may write a run.
+    """
+    spark, key = log.sparkSession, ["run", "step", "split", "metric"]
+    new = materialize(log, "metrics")
+    rows = new
+    if exists(spark, path):
+        earlier = spark.read.schema(log.schema).parquet(path)
+        kept = earlier.join(new.select("run").distinct(), "run", "left_semi").join(new, key, "left_anti")
+        rows = materialize(new.unionByName(kept), "metrics")
+    dealt = rows.hint("rebalance", "run")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)

@@ -79,10 +79,38 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
-def move(spark: SparkSession, source: str, path: str) -> None:
-    """Put a finished folder in place of whatever is at `path`."""
+def _rename(spark: SparkSession, source: str, path: str) -> None:
     target, files = _path(spark, path)
-    files.delete(target, True)
     files.mkdirs(target.getParent())
     if not files.rename(_path(spark, source)[0], target):
         raise OSError(f"cannot move {source} to {path}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, files = _path(spark, path)
+    return files.exists(target)
+
+
+def replace_all(spark: SparkSession, sources: dict[str, str]) -> None:
+    """Put finished folders, by the path where each belongs, in place of whatever is there.
+
+    Everything old is set aside before the first new folder comes, so old and new ones never lie side by side. When a
+    move fails, all old folders are put back; when the driver is lost, paths are missing and what was set aside stays.
+    """
+    aside = {path: f"{path.rstrip('/')}.old-{uuid.uuid4().hex}" for path in sources if exists(spark, path)}
+    set_aside, placed = [], []
+    try:
+        for path, old in aside.items():
+            _rename(spark, path, old)
+            set_aside.append(path)
+        for path, source in sources.items():
+            _rename(spark, source, path)
+            placed.append(path)
+    except Exception:
+        for path in placed:
+            remove(spark, path)
+        for path in set_aside:
+            _rename(spark, aside[path], path)
+        raise
+    for old in aside.values():
+        remove(spark, old)

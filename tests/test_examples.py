@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptmill.operators.examples import accepted, rejected
-from promptmill.sources import corpus, sinks
+from promptmill.sources import corpus, sinks, storage
 from promptmill.tasks import TASKS, get_task, literal_parts, resolve_tasks
 
 
@@ -90,6 +90,42 @@ def test_write_if_absent_writes_the_whole_set_or_nothing(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
 
 
+def test_a_failed_move_leaves_the_old_set(spark, tmp_path, monkeypatch):
+    one = spark.range(1).withColumnRenamed("id", "guid")
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    sinks.write_if_absent({a: one, b: one}, "parquet")
+    (tmp_path / "b" / "_SUCCESS").unlink()
+    rename, moves = storage._rename, []
+
+    def broken(session, source, path):
+        moves.append(path)
+        if len(moves) == 4:
+            raise OSError("broken")
+        rename(session, source, path)
+
+    monkeypatch.setattr(storage, "_rename", broken)
+    with pytest.raises(OSError, match="broken"):
+        sinks.write_if_absent({a: one.limit(0), b: one.limit(0)}, "parquet")
+    monkeypatch.setattr(storage, "_rename", rename)
+    assert spark.read.parquet(a).count() == spark.read.parquet(b).count() == 1
+    assert storage.is_finished(spark, a) and not storage.is_finished(spark, b)
+
+
+def test_metrics_of_a_repeated_run_are_there_once(spark, tmp_path):
+    schema, path = "run string, step bigint, split string, metric string, value double", str(tmp_path / "log")
+
+    def append(*rows):
+        sinks.append_metrics(spark.createDataFrame(list(rows), schema), path)
+
+    append(("007", 1, "dev", "loss", 0.5), ("007", 2, "dev", "loss", 0.4), ("b", 1, "dev", "loss", 0.9))
+    append(("007", 1, "dev", "loss", 0.5), ("007", 2, "dev", "loss", 0.4))
+    append(("007", 2, "dev", "loss", 0.3), ("007", 3, "dev", "loss", 0.2), ("c", 1, "test", "loss", 1.0))
+    got = spark.read.schema(schema).parquet(path).collect()
+    assert sorted((r["run"], r["step"], r["value"]) for r in got) == [
+        ("007", 1, 0.5), ("007", 2, 0.3), ("007", 3, 0.2), ("b", 1, 0.9), ("c", 1, 1.0),
+    ]
+
+
 def test_numbers_written_with_a_point(spark, tmp_path):
     path = tmp_path / "c.csv"
     path.write_text(",post,label,senti_pre\n7,a,1.0,2\n8,b,x,0.5\n9,c,0,\n")
