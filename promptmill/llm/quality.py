@@ -26,6 +26,8 @@ BITS = 18
 SMOOTHING = 1.0
 COST = 1.0
 EPOCHS = 20
+# Rows, and numbers in them, of a block that is fitted at once; weights that a task hands on together.
+BLOCK, BLOCK_VALUES, LINE = 4096, 1 << 23, 1024
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -82,22 +84,11 @@ def margins(weights: np.ndarray, offset: float, values: np.ndarray, cuts: np.nda
     return (sums[cuts[1:]] - sums[cuts[:-1]]) / np.sqrt(np.maximum(np.diff(cuts), 1)) + offset
 
 
-def learn(features: list[bytes], labels: np.ndarray) -> Model:
-    rows = [np.frombuffer(f, np.int32) for f in features]
-    size = 1 << BITS
-    if len(set(labels.tolist())) < 2:  # one class alone: its score for every text
-        return Model(np.zeros(size, np.float32), 0.0, 0.0, 6.0 if len(labels) and labels[0] == 1 else -6.0)
-    good = np.full(size, SMOOTHING)
-    bad = np.full(size, SMOOTHING)
-    for row, label in zip(rows, labels):
-        (good if label == 1 else bad)[row] += 1
-    ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
-    ratio[(good + bad) < 2 * SMOOTHING + 2] = 0.0  # seen once: it says nothing about other texts
-
-    # dual coordinate descent for 1/2 |w|^2 + C * hinge, the offset being one more weight
-    weights, offset = np.zeros(size), 0.0
+def _descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, shares: tuple[float, float]) -> tuple[np.ndarray, float]:
+    """Weights and offset by dual coordinate descent for 1/2 |w|^2 + C * hinge, the offset being one more weight."""
+    weights, offset = np.zeros(len(ratio)), 0.0
     sign = np.where(labels == 1, 1.0, -1.0)
-    share = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels != 1).mean())
+    share = np.where(labels == 1, shares[1], shares[0])
     scale = [1 / np.sqrt(max(len(r), 1)) for r in rows]
     values = [ratio[r] * s for r, s in zip(rows, scale)]
     square = np.array([v @ v + 1.0 for v in values])
@@ -116,31 +107,91 @@ def learn(features: list[bytes], labels: np.ndarray) -> Model:
             alpha[i] = new
         if moved < 1e-3:
             break
-    final = (weights * ratio).astype(np.float32)
-    found = np.array([margins(final, offset, r, np.array([0, len(r)]))[0] for r in rows])
+    return weights, offset
+
+
+def learn(rows: DataFrame) -> Model | None:
+    """A model from all stored rows of `label, features`; None without any row.
+
+    The ratios come from counts over all rows. Blocks of rows are fitted where they are read, each by its own descent; their mean, by
+    rows, is the model, and the curve through the margins is fitted to those of all rows, counted by small steps.
+    """
+    sizes = labelled.class_sizes(rows)
+    total = sum(sizes.values())
+    if not total:
+        return None
+    ones = sum(n for (_, label), n in sizes.items() if label == 1)
+    size = 1 << BITS
+    if ones in (0, total):  # one class alone: its score for every text
+        return Model(np.zeros(size, np.float32), 0.0, 0.0, 6.0 if ones else -6.0)
+    having, good = labelled.number_counts(rows, size, lambda own: own)
+    bad = having - good + SMOOTHING
+    good = good + SMOOTHING
+    ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
+    ratio[(good + bad) < 2 * SMOOTHING + 2] = 0.0  # seen once: it says nothing about other texts
+    shares = 0.5 * total / (total - ones), 0.5 * total / ones
+    context = rows.sparkSession.sparkContext
+    sent = context.broadcast(ratio)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+        # the offset is the last weight
+        sums, n = np.zeros(size + 1), 0
+        held, held_labels = [], []
+
+        def fit() -> None:
+            weights, offset = _descent(held, np.array(held_labels), sent.value, shares)
+            sums[:size] += weights * len(held)
+            sums[size] += offset * len(held)
+
+        for values, labels, _ in labelled.read_features(batches):
+            held += values
+            held_labels += labels.tolist()
+            n += len(values)
+            if len(held) >= BLOCK or sum(map(len, held)) >= BLOCK_VALUES:
+                fit()
+                held, held_labels = [], []
+        if held:
+            fit()
+        # a task says a line on every weight, so that the means are over all rows
+        return np.arange(-(-(size + 1) // LINE)) if n else np.zeros(0, np.int64), _in_lines(sums / n) if n else np.zeros((0, LINE)), n, 0.0, 0.0
+
+    ids, means, _, _ = labelled.summed_moves(rows, run, LINE)
+    mean = means[np.argsort(ids)].reshape(-1)
+    final, offset = (mean[:size] * ratio).astype(np.float32), float(mean[size])
+    shared = context.broadcast(final)
+
+    def found_margins(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        cuts = np.r_[0, np.cumsum([len(v) for v in values])]
+        return np.zeros(len(values), np.int64), margins(shared.value, offset, np.concatenate(values), cuts)
+
+    counted = labelled.margin_counts(rows, found_margins)
+    found, n, n_good = (counted.column(c).to_numpy() for c in ("margin", "n", "ones"))
     # a logistic curve through the margins; both classes count alike
     slope, shift = 1.0, 0.0
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(slope * found + shift, -40, 40)))
-        error = share * (p - (labels == 1))
-        slope -= 0.5 * (error @ found / len(found) + 1e-3 * slope)
-        shift -= 0.5 * error.mean()
-    return Model(final, float(offset), float(max(slope, 1e-3)), float(shift))
+        error = shares[1] * n_good * (p - 1) + shares[0] * (n - n_good) * p
+        slope -= 0.5 * (error @ found / total + 1e-3 * slope)
+        shift -= 0.5 * error.sum() / total
+    return Model(final, offset, float(max(slope, 1e-3)), float(shift))
+
+
+def _in_lines(flat: np.ndarray) -> np.ndarray:
+    return np.r_[flat, np.zeros(-len(flat) % LINE)].reshape(-1, LINE)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, most_rows: int = labelled.MOST_ROWS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Quality of each text; reads `doc_id, text` and `doc_id, quality`.
 
-    Returns one row per input row: `doc_id, held_out, score, predicted`. The fit sees at most about
-    `most_rows` labelled rows that are not held out; scores come from the whole text alone. A null text
+    Returns one row per input row: `doc_id, held_out, score, predicted`. The fit sees every
+    labelled row that is not held out; scores come from the whole text alone. A null text
     is scored like an empty one. Labels that are null or neither 0 nor 1 are not learned from; with one
     class alone every text gets its score, with none score 0. Rows that repeat a doc_id are scored each;
     a null doc_id is not held out. Other columns are not read. An empty table gives no rows.
     """
-    fields = labelled.fit(labelled.sample(docs, labels, "quality", MODULUS, REST, most_rows), indicators, learn)
-    if fields is None:
-        fields = vars(Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, -40.0))
-    shared = docs.sparkSession.sparkContext.broadcast(fields)  # 2**BITS weights
+    rows = labelled.stored_features(labelled.sample(docs, labels, "quality", MODULUS, REST), indicators)
+    learned = learn(rows) or Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, -40.0)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(learned))  # 2**BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**shared.value)

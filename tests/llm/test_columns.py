@@ -1,5 +1,8 @@
 """Pipeline stages on tables whose columns are named as the working columns of the operators."""
 
+import zlib
+
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -68,3 +71,28 @@ def test_pipeline_returns_texts(spark, sf):
     found = corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
     assert {"doc_id", "text", "lang", "source", "repeats", "taken"} <= set(found.columns)
     assert found.where("text is not null and repeats > 0").count() > 0
+
+
+@pytest.mark.parametrize("label, modulus, rest", [("toxic", 4, 2), ("quality", 5, 0)])
+def test_every_label_that_is_not_held_out_teaches(spark, label, modulus, rest):
+    docs = spark.range(9_000).selectExpr("id AS doc_id", "'t' AS text")
+    labels = spark.range(9_000).selectExpr("id AS doc_id", f"cast(id % 2 AS int) AS {label}")
+    rows = labelled.stored_features(labelled.sample(docs, labels, label, modulus, rest), toxicity.features)
+    want = [i for i in range(9_000) if zlib.crc32(str(i).encode()) % modulus != rest]
+    sizes = labelled.class_sizes(rows)
+    assert [sum(n for (_, k), n in sizes.items() if k == one) for one in (0, 1)] == [sum(i % 2 == one for i in want) for one in (0, 1)]
+    having, ones = labelled.number_counts(rows, 1 << toxicity.BITS, lambda own: own[1:])
+    assert having.max() == len(want) and ones.max() == sum(i % 2 for i in want)
+
+
+def test_moves_of_tasks_are_weighed_by_their_rows(spark):
+    rows = spark.range(0, 4, 1, 4).selectExpr("cast(id AS int) AS id")
+
+    def move(batches):
+        (i,) = [x for b in batches for x in b.column("id").to_pylist()]
+        return np.array([20, i]), np.array([[i, 1.0], [5.0, 6.0]]), i + 1, i, 1
+
+    ids, moves, loss, n = labelled.summed_moves(rows, move, 2)
+    got = dict(zip(ids.tolist(), moves.tolist()))
+    assert (loss, n) == (6, 4) and got.keys() == {0, 1, 2, 3, 20}
+    assert got[20] == pytest.approx([(0 + 2 + 6 + 12) / 10, 1.0]) and got[2] == [5.0, 6.0]
