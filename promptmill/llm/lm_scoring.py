@@ -3,15 +3,14 @@
 Words and their counts are gathered from every training text. Subwords follow a public vocabulary, whose file is a parameter; a word
 is cut the same way wherever it stands, so its pieces are worked out once for each part of the texts. Pieces are ranked by their
 counts: the first ones are leaves of the model, the rest share the last class's leaves by their counts. The model learns by steps along
-gradients over windows of the training texts, in all tasks at once, whose parameters Spark averages after each round; the windows grow
-in number with the texts. Texts are scored where they are read.
+gradients over all windows of the training texts, each once, in all tasks at once, whose parameters Spark averages after each round. Texts are scored where they are read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import NamedTuple
 
@@ -25,10 +24,10 @@ from pyspark.sql import functions as F
 
 from promptmill.llm import attention
 from promptmill.llm.attention import CLASSES, FRESH, LEAVES, WINDOW
-from promptmill.llm.common import _SPACE, Words, mix, scan_splits, text_chunks
+from promptmill.llm.common import _SPACE, Words, mix, text_chunks
 from promptmill.llm.labelled import held_out
 from promptmill.operators.vocabulary import most_frequent
-from promptmill.sources.storage import materialize, new_path
+from promptmill.sources.storage import materialize
 
 # Subwords as ranks: lines of a piece in base64 and its id. The first id that is free ends a text.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -36,12 +35,15 @@ RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Places of a window that only see: they were scored in the window before.
 CONTEXT = WINDOW - FRESH
 
-# One in so many windows of the training texts is learned from, in so many rounds.
-SHARE, ROUNDS, RATE = 8, 6, 0.03
+# Every window of the training texts is learned from, in one of so many rounds.
+ROUNDS, RATE = 6, 0.03
 
 # Windows of a step along a gradient, and the steps that a task makes in a round at least.
 BATCH, LEAST_STEPS = 64, 48
 
+# Windows that are handed on at once.
+SENT_WINDOWS = 1 << 13
+
 # Most words whose counts and pieces are sent to the tasks, the most frequent ones of so many bytes at most; all others are joined.
 HOT_WORDS, HOT_BYTES = 1 << 17, 64
 
@@ -238,11 +240,12 @@ def piece_counts(words: DataFrame, ranks: Ranks, size: int) -> np.ndarray:
     return counts
 
 
-def training_windows(texts: DataFrame, ranks: Ranks, hot: Broadcast, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """`round, seen, pieces`: one in `share` windows of every text, dealt to the rounds by a hash of what they hold.
+def training_windows(texts: DataFrame, ranks: Ranks, hot: Broadcast) -> DataFrame:
+    """`seen, pieces`: every window of every text. The first `seen` pieces are context.
 
-    The first `seen` pieces are context.
+    Windows of texts that are cut at once come in the order of a hash of what they hold, so that a step mixes them.
     """
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks)
         for batch in batches:
@@ -253,31 +256,31 @@ def training_windows(texts: DataFrame, ranks: Ranks, hot: Broadcast, share: int
                 rows, begins = _windows(cuts)
                 sums = np.r_[np.uint64(0), np.cumsum(mix(pieces.astype(np.uint64)), dtype=np.uint64)]
                 ends = np.minimum(begins + FRESH, cuts[rows + 1])
-                hashes = mix(sums[ends] - sums[begins])
-                own = np.flatnonzero(hashes % np.uint64(share) == 0)
-                part = (hashes[own] // np.uint64(share) % np.uint64(rounds)).astype(np.int32)
+                own = np.argsort(mix(sums[ends] - sums[begins]), kind="stable")
                 seen = np.minimum(begins[own] - cuts[rows[own]], CONTEXT + 1)
-                raw = [pieces[a:b].astype(np.int32).tobytes() for a, b in zip(begins[own] - seen, ends[own])]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen.astype(np.int32)), pa.array(raw, pa.binary())], ["round", "seen", "pieces"])
+                froms, lengths = begins[own] - seen, ends[own] - begins[own] + seen
+                for a in range(0, len(own), SENT_WINDOWS):
+                    part = slice(a, a + SENT_WINDOWS)
+                    offs = np.r_[0, np.cumsum(lengths[part])]
+                    places = np.repeat(froms[part] - offs[:-1], lengths[part]) + np.arange(offs[-1])
+                    raw = [None, pa.py_buffer((offs * 4).astype(np.int32)), pa.py_buffer(pieces[places].astype(np.int32))]
+                    column = pa.Array.from_buffers(pa.binary(), len(offs) - 1, raw)
+                    yield pa.RecordBatch.from_arrays([pa.array(seen[part].astype(np.int32)), column], ["seen", "pieces"])
 
-    return texts.mapInArrow(gather, "round int, seen int, pieces binary")
+    return texts.mapInArrow(gather, "seen int, pieces binary")
 
 
-def _by_round(windows: DataFrame, splits: int) -> DataFrame:
-    """Stored in a folder per round, so that a round reads its own windows only; more files for a larger input.
+def _by_round(texts: DataFrame, ranks: Ranks, hot: Broadcast, rounds: int = ROUNDS) -> Callable[[int], DataFrame]:
+    """The training windows of a round: those of the texts that a hash deals to it. Nothing is stored or shuffled.
 
-    The order within a file is that of a hash, whichever task a window comes from.
+    Copies of a text are dealt to all rounds by their doc_id.
     """
-    spread = 1 + splits // 4
-    path = new_path(windows.sparkSession, "training-windows")
-    key = F.xxhash64("pieces")
-    dealt = windows.repartition(ROUNDS * spread, "round", F.pmod(key, F.lit(spread))).sortWithinPartitions("round", key, "pieces")
-    dealt.write.partitionBy("round").parquet(path)
-    return windows.sparkSession.read.schema(windows.schema).parquet(path)
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
+    return lambda k: training_windows(texts.where(number == k).select("text"), ranks, hot)
 
 
 def _stacked(batch: pa.RecordBatch, leaf: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and scored places of stored windows."""
+    """Inputs, targets and scored places of windows as `training_windows` gives them."""
     column = batch.column("pieces")
     cuts = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
     pieces = np.frombuffer(column.buffers()[2], np.int32, count=cuts[-1])
@@ -319,19 +322,21 @@ def _steps(flat: np.ndarray, like: attention.Params, parts: Iterator[tuple], rat
     return flat, loss, seen
 
 
-def learn(windows: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> Model:
-    """A model from stored windows, in rounds over a slice of them each.
+def learn(windows: Callable[[int], DataFrame], counts: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+    """A model from all windows, in rounds over those that `windows` gives for each.
 
     In a round every task goes its own steps over its windows from the same parameters; the means over the tasks, by scored
     pieces, begin the next round. Spark adds them up, so the driver sees at most 16 rows.
     """
-    context = windows.sparkSession.sparkContext
     vocab, leaf_mass = vocabulary(counts)
     like = first_params(leaf_mass)
     end = len(counts) - 1
     flat = attention.pack(like)
-    leaf = context.broadcast(vocab.leaf)
     for number in range(rounds):
+        own = windows(number)
+        context = own.sparkSession.sparkContext
+        if not number:
+            leaf = context.broadcast(vocab.leaf)
         sent = context.broadcast(flat.astype(np.float32))
         now = rate * (1 - number / rounds)
 
@@ -346,7 +351,7 @@ def learn(windows: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, rate: fl
             total = np.sum([np.frombuffer(s) for s in frame["params"]], axis=0)
             return pd.DataFrame({"loss": [frame["loss"].sum()], "seen": [frame["seen"].sum()], "params": [total.tobytes()]})
 
-        made = windows.where(F.col("round") == number).select("seen", "pieces").mapInArrow(walk, "loss double, seen long, params binary")
+        made = own.mapInArrow(walk, "loss double, seen long, params binary")
         parts = made.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("part")
         rows = parts.applyInPandas(add, "loss double, seen long, params binary").collect()
         seen = sum(r["seen"] for r in rows)
@@ -408,8 +413,8 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2, ranks_path: str = RA
     """
     spark = docs.sparkSession
     ranks = send_ranks(spark, ranks_path)
-    texts = docs.where(~held_out(modulus, rest)).select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = materialize(word_counts(texts), "word-counts")
+    texts = docs.where(~held_out(modulus, rest)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counts = materialize(word_counts(texts.select("text")), "word-counts")
     total = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("token").isNull(), F.col("n"))), F.lit(0)).alias("ends")
     ).first()
@@ -418,7 +423,7 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2, ranks_path: str = RA
     of_pieces[encoder.end] = total["ends"]
     words = counts.where("token is not null")
     hot = spark.sparkContext.broadcast(hot_words(words, most, encoder))
-    model = learn(_by_round(training_windows(texts, ranks, hot), scan_splits(texts)), of_pieces)
+    model = learn(_by_round(texts, ranks, hot), of_pieces)
     shared = spark.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)["doc_id"]
     given = docs.select(

@@ -144,3 +144,18 @@ def test_without_training_texts_and_empty(spark):
     (row,) = lm_scoring.score(df).collect()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 3, 0, 0, 0.0) and row.score < 0
     assert lm_scoring.score(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_every_window_of_every_training_text_teaches_once(spark, rows):
+    texts = spark.createDataFrame(rows, SCHEMA).repartition(3).selectExpr("doc_id", "coalesce(text, '') AS text")
+    ranks = lm_scoring.send_ranks(spark, lm_scoring.RANKS)
+    encoder = lm_scoring._encoder(ranks)
+    counts = lm_scoring.word_counts(texts.select("text"))
+    hot = spark.sparkContext.broadcast(lm_scoring.hot_words(counts.where("token is not null"), 7, encoder))
+    windows = lm_scoring._by_round(texts, ranks, hot, rounds=3)
+    found = [(k, np.frombuffer(r.pieces, np.int32), r.seen) for k in range(3) for r in windows(k).collect()]
+    assert {k for k, _, _ in found} == {0, 1, 2}
+    got = np.bincount(np.concatenate([p[seen:] for _, p, seen in found]), minlength=encoder.size)
+    want = lm_scoring.piece_counts(counts, ranks, encoder.size)
+    want[encoder.end] = len(rows)
+    assert (got == want).all()
