@@ -21,11 +21,16 @@ from pyspark.sql import functions as F
 
 from promptmill.functions.arrays import argmax, let
 from promptmill.operators.examples import require_unique
+from promptmill.operators.vocabulary import most_frequent
 from promptmill.sources.storage import BROADCAST_BYTES, materialize
 
 UNIT = 1_000_000_000
 # Weights that a task adds up at once, over all cells and classes.
-ADDED_AT_ONCE = 1 << 22
+ADDED_AT_ONCE = 1 << 20
+# Tokens of texts that a task works on at once.
+TOKENS_AT_ONCE = 1 << 20
+# Tokens of a larger scorer that are broadcast at most; a task has them in its memory.
+HOT_TOKENS = 1 << 18
 # Every document carries it once and its weights are the priors; no text can produce it.
 PRIOR_TOKEN = ""
 
@@ -137,13 +142,14 @@ def token_frequencies(tokens: Column) -> Column:
     return let(F.sort_array(tokens), from_sorted)
 
 
-def weight_table(scorer: TokenScorer) -> tuple[pa.Array, np.ndarray]:
-    """All tokens, and a row of weights for each: the classes of the first cell, then of the next.
+def weight_table(scorer: TokenScorer, weights: DataFrame | None = None) -> tuple[pa.Array, np.ndarray]:
+    """All tokens, or those of `weights`, and a row of weights for each: the classes of the first cell, then of the next.
 
-    For a scorer whose bytes were found to fit a broadcast. One more row, of zeros, is for unknown tokens.
+    For a scorer, or a part of one, whose bytes were found to fit a broadcast. One more row, of zeros, is for unknown tokens.
     """
     cells = {cell: i for i, cell in enumerate(sorted(scorer.cell_bytes))}
-    found = scorer.weights.select("token", F.inline("cells")).select("token", "cell", "weight").toArrow()
+    weights = scorer.weights if weights is None else weights
+    found = weights.select("token", F.inline("cells")).select("token", "cell", "weight").toArrow()
     coded = found.column("token").combine_chunks().dictionary_encode()
     table = np.zeros((len(coded.dictionary) + 1, len(cells) * scorer.classes), np.int64)
     if len(coded):
@@ -155,6 +161,37 @@ def weight_table(scorer: TokenScorer) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary, table
 
 
+def row_runs(batch: pa.Array, most: int = TOKENS_AT_ONCE) -> Iterator[pa.Array]:
+    """Runs of rows of a list array with about `most` elements each, at least one row."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch), 0)).astype(np.int64))
+    lo, before = 0, 0
+    while lo < len(batch):
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo, before = hi, ends[hi - 1]
+
+
+def _added(codes: np.ndarray, lengths: np.ndarray, table: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """For every row the prior plus the lines of its codes."""
+    ends = np.cumsum(lengths)
+    sums = np.tile(prior, (len(lengths), 1))
+    lo = 0
+    while lo < len(lengths):
+        start = ends[lo] - lengths[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, start + max(1, ADDED_AT_ONCE // table.shape[1]), "right")))
+        filled = lo + np.flatnonzero(lengths[lo:hi])
+        if len(filled):
+            firsts = ends[filled] - lengths[filled] - start
+            sums[filled] += np.add.reduceat(table[codes[start : ends[hi - 1]]], firsts, axis=0)
+        lo = hi
+    return sums
+
+
+def _lists(sums: np.ndarray) -> pa.Array:
+    offsets = pa.array(np.arange(len(sums) + 1, dtype=np.int32) * sums.shape[1])
+    return pa.ListArray.from_arrays(offsets, pa.array(sums.reshape(-1)))
+
+
 def units_in_place(scorer: TokenScorer) -> Callable[[Column], Column]:
     """A function of a token column: prior plus weights of all tokens, for every cell and class in one array.
 
@@ -168,25 +205,51 @@ def units_in_place(scorer: TokenScorer) -> Callable[[Column], Column]:
         words, table = shared.value
         prior_at = pc.index_in(pa.array([PRIOR_TOKEN]), value_set=words)[0].as_py()
         prior = table[-1] if prior_at is None else table[prior_at]
-        width = table.shape[1]
         for batch in batches:
             lengths = np.asarray(pc.fill_null(pc.list_value_length(batch), 0))
             codes = np.asarray(pc.fill_null(pc.index_in(batch.flatten(), value_set=words), len(words)))
             # a text cannot hold the prior's token
             codes = np.where(codes == prior_at, len(words), codes) if prior_at is not None else codes
-            ends = np.cumsum(lengths)
-            sums = np.tile(prior, (len(batch), 1))
-            lo = 0
-            while lo < len(batch):
-                start = ends[lo] - lengths[lo]
-                hi = max(lo + 1, int(np.searchsorted(ends, start + max(1, ADDED_AT_ONCE // width), "right")))
-                filled = lo + np.flatnonzero(lengths[lo:hi])
-                if len(filled):
-                    firsts = ends[filled] - lengths[filled] - start
-                    sums[filled] += np.add.reduceat(table[codes[start : ends[hi - 1]]], firsts, axis=0)
-                lo = hi
-            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width)
-            yield pa.ListArray.from_arrays(offsets, pa.array(sums.reshape(-1)))
+            yield _lists(_added(codes, lengths, table, prior))
+
+    return units
+
+
+def hot_units_in_place(scorer: TokenScorer, limit: int) -> Callable[[Column], Column]:
+    """A function of a token column: prior plus weights of the most frequent tokens as `all_units`, and all other tokens as `rare`.
+
+    The most frequent tokens are broadcast, as many as fit the limit; a row's other tokens come once each, with their number.
+    """
+    shared = scorer.weights.sparkSession.sparkContext.broadcast(weight_table(scorer, hot_tokens(scorer, limit)))
+
+    @F.arrow_udf("struct<all_units: array<bigint>, rare: array<struct<token: string, tf: bigint>>>")
+    def units(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, table = shared.value
+        prior_at = pc.index_in(pa.array([PRIOR_TOKEN]), value_set=words)[0].as_py()
+        prior = table[-1] if prior_at is None else table[prior_at]
+        for batch in batches:
+            sums, firsts, tokens, times = [np.zeros((0, table.shape[1]), np.int64)], [np.zeros(1, np.int64)], [], []
+            for run in row_runs(batch):
+                lengths = np.asarray(pc.fill_null(pc.list_value_length(run), 0)).astype(np.int64)
+                coded = run.flatten().dictionary_encode()
+                known = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=words), -1)).astype(np.int64)
+                known[known == prior_at] = len(words)  # a text cannot hold the prior's token
+                own = coded.indices.to_numpy(zero_copy_only=False)
+                codes = known[own]
+                cold = np.flatnonzero(codes < 0)
+                codes[cold] = len(words)
+                sums.append(_added(codes, lengths, table, prior))
+                size = len(coded.dictionary) + 1
+                rows = np.repeat(np.arange(len(run)), lengths)[cold]
+                pairs, n = np.unique(rows * size + own[cold], return_counts=True)
+                of_row, which = np.divmod(pairs, size)
+                firsts.append(firsts[-1][-1] + np.searchsorted(of_row, np.arange(1, len(run) + 1)))
+                tokens.append(coded.dictionary.take(pa.array(which)))
+                times.append(n.astype(np.int64))
+            entries = [pa.concat_arrays([pa.array([], pa.string()), *[t.cast(pa.string()) for t in tokens]]), pa.array(np.concatenate([np.zeros(0, np.int64), *times]))]
+            rare = pa.StructArray.from_arrays(entries, ["token", "tf"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(firsts).astype(np.int32)), rare)
+            yield pa.StructArray.from_arrays([_lists(np.concatenate(sums)), lists], ["all_units", "rare"])
 
     return units
 
@@ -196,27 +259,29 @@ def score_cells(
 ) -> DataFrame:
     """keep, cell, units array<bigint>: prior plus the weights of all tokens; unknown ones add nothing.
 
-    A scorer that fits the limit is broadcast and rows are scored where they are read. A larger one is
-    joined by shuffle, with its most frequent tokens broadcast up to the limit, so that no stop word gathers in
-    one task; `keep` must then be unique, which is checked.
+    A scorer that fits the limit is broadcast and rows are scored where they are read. Of a larger one the most frequent
+    tokens are broadcast; a row's sum over them is stored with its other tokens, once each, which alone are joined by shuffle.
+    So no text is read twice and no stop word gathers in one task; `keep` must then be unique, which is checked.
     """
     keep = list(keep)
     cells = sorted(scorer.cell_bytes)
+    entry = "transform(array({}), (c, i) -> struct(c as cell, slice(all_units, i * {} + 1, {}) as units))"
+    entries = F.expr(entry.format(", ".join(map(str, cells)), scorer.classes, scorer.classes))
     if scorer.nbytes <= limit:
-        entry = "transform(array({}), (c, i) -> struct(c as cell, slice(all_units, i * {} + 1, {}) as units))"
-        entries = F.expr(entry.format(", ".join(map(str, cells)), scorer.classes, scorer.classes))
         whole = docs.select(*keep, units_in_place(scorer)(F.col("tokens")).alias("all_units"))
         return whole.select(*keep, F.inline_outer(entries))
-    require_unique(docs, keep)
-    with_prior = F.concat(F.array(F.lit(PRIOR_TOKEN)), F.col("tokens"))
+    found = docs.select(*keep, hot_units_in_place(scorer, limit)(F.col("tokens")).alias("found"))
+    stored = materialize(found.select(*keep, "found.*"), "hot_units")
+    require_unique(stored, keep)
     names = [f"units{k}" for k in range(scorer.classes)]
-    counted = docs.select(*keep, F.inline(token_frequencies(with_prior)))
-    first = counted.join(F.broadcast(flat(hot_tokens(scorer, limit), names)), "token", "left")
-    rare = first.filter(F.col("cells").isNull()).drop("cells").join(flat(scorer.weights, names), "token")
-    matched = first.filter(F.col("cells").isNotNull()).unionByName(rare)
+    in_place = stored.select(*keep, F.inline_outer(entries)).select(
+        *keep, "cell", *[F.get("units", F.lit(k)).alias(u) for k, u in enumerate(names)]
+    )
+    rare = stored.select(*keep, F.inline("rare")).join(flat(scorer.weights, names), "token")
     # The outer form keeps Catalyst from adding a size check, which would work out all weights twice.
-    entries = matched.select(*keep, "tf", F.inline_outer("cells")).filter(F.col("cell").isNotNull())
-    sums = entries.groupBy(*keep, "cell").agg(*[F.sum(F.col(u) * F.col("tf")).alias(u) for u in names])
+    joined = rare.select(*keep, "tf", F.inline_outer("cells")).filter(F.col("cell").isNotNull())
+    more = joined.select(*keep, "cell", *[(F.col(u) * F.col("tf")).alias(u) for u in names])
+    sums = in_place.unionByName(more).groupBy(*keep, "cell").agg(*[F.sum(u).alias(u) for u in names])
     return sums.select(*keep, "cell", F.array(*names).alias("units"))
 
 
@@ -227,12 +292,13 @@ def flat(weights: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def hot_tokens(scorer: TokenScorer, limit: int) -> DataFrame:
-    """The most frequent tokens of a scorer, as many as fit the limit if every cell knew them; the prior always."""
-    k = 1 + limit // (48 + len(scorer.cell_bytes) * (16 + 16 * scorer.classes))
+    """The most frequent tokens of a scorer, HOT_TOKENS or as many as fit the limit if every cell knew them; the prior always."""
+    k = min(HOT_TOKENS, 1 + limit // (48 + len(scorer.cell_bytes) * (16 + 16 * scorer.classes)))
     in_cell = F.transform("cells", lambda c: F.aggregate(c["n"], F.lit(0).cast("bigint"), lambda acc, x: acc + x))
     frequency = F.aggregate(in_cell, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    order = [(F.col("token") == PRIOR_TOKEN).desc(), frequency.desc(), F.col("token")]
-    return scorer.weights.orderBy(*order).limit(k)
+    is_prior = F.col("token") == PRIOR_TOKEN
+    others = most_frequent(scorer.weights.filter(~is_prior).withColumn("n", frequency), k - 1).drop("n")
+    return scorer.weights.filter(is_prior).unionByName(others)
 
 
 def decide(units: Column) -> tuple[Column, Column]:

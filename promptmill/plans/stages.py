@@ -28,12 +28,15 @@ from promptmill.operators.scorer import (
     score,
     train,
 )
-from promptmill.sources.storage import BROADCAST_BYTES, materialize
+from promptmill.sources.storage import BROADCAST_BYTES, broadcast_if_small, materialize
 from promptmill.tasks import SEEDS, SENTIMENTS, SIZES
 
 # Rows of an evaluation batch: the reported loss is the sum of batch means.
 EVAL_BATCH = 16
 
+# Bytes of a key and a prediction that are sent to the texts.
+PREDICTION_BYTES = 48
+
 # A sentiment model: a scorer learned here, or any function from a text column to a class column.
 SentimentModel = TokenScorer | Callable[[Column], Column]
 
@@ -83,7 +86,9 @@ def annotate(
     if model.nbytes <= limit:
         return rows.withColumn("senti_pre", class_in_place(model)(tokens(F.col(text))))
     scored = score(tokenized(rows.select(*key, text), text), model, key, limit)
-    return append_predictions(rows, materialize(scored.select(*key, "pred"), "sentiments"), key)
+    stored = materialize(scored.select(*key, "pred"), "sentiments")
+    # narrow rows go to the texts, unless there are too many to send
+    return append_predictions(rows, broadcast_if_small(stored, stored.count() * PREDICTION_BYTES), key)
 
 
 def annotate_rejects(corpus: DataFrame, text: str = "text_a") -> DataFrame:

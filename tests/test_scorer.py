@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +234,19 @@ def test_batch_hook_keeps_any_key(spark):
 
     got = scorer.score_batches(rows, factory, ["conv_id", "turn"]).collect()
     assert {(r["conv_id"], r["turn"], r["logits"][0]) for r in got} == {(i, f"t{i}", float(i)) for i in range(9)}
+
+
+def test_rows_without_tokens_are_scored_whatever_the_limit(spark):
+    model = scorer.train(scorer.one_model(frame(spark, [(i, i % 2, ["yes" if i % 2 else "no", f"w{i}"]) for i in range(20)]), "label", 2), 2)
+    rows = spark.createDataFrame([(1, None), (2, []), (3, ["w3", "w3", "new", "yes", ""])], "guid bigint, tokens array<string>")
+    whole = {r["guid"]: (r["pred"], r["logits"]) for r in scorer.score(rows, model).collect()}
+    assert whole.keys() == {1, 2, 3}
+    for limit in (0, 300):
+        assert {r["guid"]: (r["pred"], r["logits"]) for r in scorer.score(rows, model, limit=limit).collect()} == whole
+
+
+def test_runs_of_rows_hold_all_rows_and_few_elements():
+    lists = pa.array([["a"] * n if n is not None else None for n in [3, 0, None, 9, 1, 1, 1, 1, 0]]).slice(1)
+    runs = list(scorer.row_runs(lists, 3))
+    assert [x for r in runs for x in r.to_pylist()] == lists.to_pylist()
+    assert [len(r.flatten()) for r in runs] == [0, 9, 3, 1]
