@@ -10,10 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptmill.operators.scorer import row_runs
 from promptmill.operators.vocabulary import SPECIAL_TOKENS, most_frequent, token_counts
 
 INNER = "##"
 LONGEST_PIECE = 8
+# Tokens of texts that a task cuts at once.
+TOKENS_AT_ONCE = 1 << 18
 
 
 def subword_vocab(docs: DataFrame, size: int, longest: int = LONGEST_PIECE) -> DataFrame:
@@ -139,15 +142,20 @@ def subwords(tokens: Column, vocab: DataFrame, longest: int = LONGEST_PIECE) ->
         trie = shared.value
         names = pa.concat_arrays([trie.pieces, pa.array([unknown])])
         for batch in batches:
-            lengths = np.asarray(pc.fill_null(pc.list_value_length(batch), 0)).astype(np.int64)
-            coded = pc.fill_null(batch.flatten(), "").dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            piece, first = trie.split(coded.dictionary, longest)
-            sizes = np.diff(first)[codes]
-            ends = np.r_[0, np.cumsum(sizes)]
-            places = np.repeat(first[:-1][codes] - ends[:-1], sizes) + np.arange(ends[-1])
-            ids = np.where(piece < 0, len(trie.pieces), piece)[places]
-            offsets = ends[np.r_[0, np.cumsum(lengths)]].astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(ids)))
+            found = [np.zeros(1, np.int64)]
+            pieces = []
+            for run in row_runs(batch, TOKENS_AT_ONCE):
+                lengths = np.asarray(pc.fill_null(pc.list_value_length(run), 0)).astype(np.int64)
+                coded = pc.fill_null(run.flatten(), "").dictionary_encode()
+                codes = coded.indices.to_numpy(zero_copy_only=False)
+                piece, first = trie.split(coded.dictionary, longest)
+                sizes = np.diff(first)[codes]
+                ends = np.r_[0, np.cumsum(sizes)]
+                places = np.repeat(first[:-1][codes] - ends[:-1], sizes) + np.arange(ends[-1])
+                ids = np.where(piece < 0, len(trie.pieces), piece)[places]
+                found.append(found[-1][-1] + ends[np.cumsum(lengths)])
+                pieces.append(ids.astype(np.int32))
+            offsets = np.concatenate(found).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(np.concatenate([np.zeros(0, np.int32), *pieces]))))
 
     return split(tokens)
