@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmill.operators.scorer import ADDED_AT_ONCE, PRIOR_TOKEN, UNIT
+from promptmill.operators.scorer import ADDED_AT_ONCE, PRIOR_TOKEN, UNIT, row_runs
 from promptmill.sources.storage import BROADCAST_BYTES, fixed_table, materialize
 
 
@@ -127,30 +127,37 @@ def units_of_runs(scorer: NestedScorer) -> Callable[[Column], Column]:
     logs, prior = np.log(scorer.below), scorer.prior.reshape(-1)
     width, carrier = len(prior), PRIOR_TOKEN
 
+    def added(run: pa.Array) -> np.ndarray:
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(run), 0)).astype(np.int64)
+        coded = run.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        found = [np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=s.value.tokens), -1)) for s in sent]
+        own = pc.index(coded.dictionary, carrier).as_py()
+        ends = np.cumsum(lengths)
+        sums = np.tile(prior, (len(run), 1))
+        lo = 0
+        while lo < len(run) and width:
+            start = ends[lo] - lengths[lo]
+            hi = max(lo + 1, int(np.searchsorted(ends, start + max(1, ADDED_AT_ONCE // width), "right")))
+            filled = lo + np.flatnonzero(lengths[lo:hi])
+            # a long text is added up in pieces, too
+            step = max(1, ADDED_AT_ONCE // width) if hi == lo + 1 else ends[hi - 1] - start
+            for at_ in range(start, ends[hi - 1], max(1, step)):
+                here, which = np.unique(codes[at_ : min(at_ + step, ends[hi - 1])], return_inverse=True)
+                table = np.zeros((len(here), width), np.int64)
+                for share, at in zip(sent, found):
+                    # a text cannot hold the token that every document carries
+                    known = np.flatnonzero((at[here] >= 0) & (here != own))
+                    table[known] = _weights(share.value, at[here[known]], logs, shape)
+                firsts = [0] if hi == lo + 1 else ends[filled] - lengths[filled] - start
+                sums[filled] += np.add.reduceat(table[which], firsts, axis=0)
+            lo = hi
+        return sums
+
     @F.arrow_udf("array<bigint>")
     def units(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            lengths = np.asarray(pc.fill_null(pc.list_value_length(batch), 0))
-            coded = batch.flatten().dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            found = [np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=s.value.tokens), -1)) for s in sent]
-            own = pc.index(coded.dictionary, carrier).as_py()
-            ends = np.cumsum(lengths)
-            sums = np.tile(prior, (len(batch), 1))
-            lo = 0
-            while lo < len(batch) and width:
-                start = ends[lo] - lengths[lo]
-                hi = max(lo + 1, int(np.searchsorted(ends, start + max(1, ADDED_AT_ONCE // width), "right")))
-                filled = lo + np.flatnonzero(lengths[lo:hi])
-                if len(filled):
-                    here, which = np.unique(codes[start : ends[hi - 1]], return_inverse=True)
-                    table = np.zeros((len(here), width), np.int64)
-                    for share, at in zip(sent, found):
-                        # a text cannot hold the token that every document carries
-                        known = np.flatnonzero((at[here] >= 0) & (here != own))
-                        table[known] = _weights(share.value, at[here[known]], logs, shape)
-                    sums[filled] += np.add.reduceat(table[which], ends[filled] - lengths[filled] - start, axis=0)
-                lo = hi
+            sums = np.concatenate([np.zeros((0, width), np.int64), *map(added, row_runs(batch))])
             offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width)
             yield pa.ListArray.from_arrays(offsets, pa.array(sums.reshape(-1)))
 

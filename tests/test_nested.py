@@ -1,6 +1,10 @@
 """Scorers of nested samples against one scorer per cell."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +70,21 @@ def test_sweep_makes_no_row_per_token_and_run(spark, sf):
     plan = stages.sweep(rows, (16, 64), (9, 99))._jdf.queryExecution().executedPlan().toString()
     # the only generator makes a row per held-out row and run; tokens are summed where the rows are read
     assert plan.count("Generate inline(transform") == 1 and "Generate explode" not in plan
+
+
+def test_a_long_text_is_added_up_in_little_memory(spark):
+    sizes, seeds, classes = (16, 32, 64, 128, 256, 512, 1024), tuple(range(10)), 3
+    slots = len(seeds) * len(sizes) * classes
+    share = nested._Share(pa.array(["a", "b"]), np.array([0, slots, slots]), np.arange(slots, dtype=np.int32), np.ones(slots, np.int64))
+    shape = (len(seeds), len(sizes), classes)
+    own = nested.NestedScorer(spark, sizes, seeds, [SimpleNamespace(value=share)], np.full(shape, 9.0), np.ones(shape, np.int64))
+    units = nested.units_of_runs(own).func
+    (short,) = units(iter([pa.array([["a", "c"], [], ["a", "a", "a"]])]))
+    one = np.array(short.to_pylist()) - 1
+    assert (one[2] == 3 * one[0]).all() and not one[1].any() and one[0].any()
+    tracemalloc.start()
+    (long,) = units(iter([pa.array([["a", "c"] * 100_000, ["a"]])]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (np.array(long.to_pylist()) - 1 == [100_000 * one[0], one[0]]).all()
+    assert peak < 100 << 20
