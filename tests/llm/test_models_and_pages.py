@@ -13,7 +13,7 @@ from promptmill.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
-TABLES = ["documents", "pages", "benchmark", "labels"]
+TABLES = ["documents", "pages", "benchmark", "labels", "conversations"]
 
 
 @pytest.fixture(scope="module")
