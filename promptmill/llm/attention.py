@@ -135,8 +135,13 @@ def log_shares(p: Params, inputs: np.ndarray, targets: np.ndarray, scored: np.nd
 
 def gradient(p: Params, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[Params, float, int]:
     """Sums over the scored targets: derivatives of their loss, the loss, and their number."""
-    sums = {k: np.zeros(v.shape, np.float64) for k, v in p.items()}
+    sums: Params = {}
     loss, count = 0.0, 0
+
+    def add(name: str, part: np.ndarray) -> None:
+        # the first block's are kept as they are: a step has no other
+        sums[name] = sums[name] + part.astype(np.float64) if name in sums else part
+
     for lo in range(0, len(inputs), TOGETHER):
         part = slice(lo, lo + TOGETHER)
         x, n = inputs[part], len(inputs[part])
@@ -147,26 +152,32 @@ def gradient(p: Params, inputs: np.ndarray, targets: np.ndarray, scored: np.ndar
         count += len(goal)
 
         at = np.arange(len(goal))
-        classes = f.classes / f.class_sums[:, None]
-        leaves = f.leaves / f.leaf_sums[:, None]
+        classes = np.divide(f.classes, f.class_sums[:, None], out=f.classes)
+        leaves = np.divide(f.leaves, f.leaf_sums[:, None], out=f.leaves)
         classes[at, goal // LEAVES] -= 1
         leaves[at, goal[f.order] % LEAVES] -= 1
-        sums["class"] += f.h2.T @ classes
+        add("class", f.h2.T @ classes)
         d2 = classes @ p["class"][:WIDTH].T
         sorted_d = np.empty_like(d2)
+        of_leaves = np.zeros(p["leaf"].shape, d2.dtype)
+        cuts = f.cuts.tolist()
         for c in range(CLASSES):
-            own = slice(f.cuts[c], f.cuts[c + 1])
-            sums["leaf"][c] += f.sorted_h[own].T @ leaves[own]
-            sorted_d[own] = leaves[own] @ p["leaf"][c, :WIDTH].T
+            if cuts[c] < cuts[c + 1]:
+                own = slice(cuts[c], cuts[c + 1])
+                np.matmul(f.sorted_h[own].T, leaves[own], out=of_leaves[c])
+                np.matmul(leaves[own], p["leaf"][c, :WIDTH].T, out=sorted_d[own])
+        add("leaf", of_leaves)
         d2[f.order] += sorted_d
-        dz = (d2 @ p["down"].T) * (f.z > 0)
-        sums["down"] += f.z.T @ d2
-        sums["up"] += f.h1.T @ dz
-        sums["up_bias"] += dz.sum(0)
-        d1 = d2 + dz @ p["up"].T
-        sums["out"] += f.mixed.T @ d1
-
-        a = f.weights / f.weight_sums.reshape(n, FRESH, 1)
+        dz = d2 @ p["down"].T
+        dz *= f.z > 0
+        add("down", f.z.T @ d2)
+        add("up", f.h1.T @ dz)
+        add("up_bias", dz.sum(0))
+        d1 = dz @ p["up"].T
+        d1 += d2
+        add("out", f.mixed.T @ d1)
+
+        a = np.divide(f.weights, f.weight_sums.reshape(n, FRESH, 1), out=f.weights)
         dmixed = np.zeros((n * FRESH, WIDTH), d1.dtype)
         dmixed[which] = d1 @ p["out"].T
         dmixed = dmixed.reshape(n, FRESH, WIDTH)
@@ -176,23 +187,28 @@ def gradient(p: Params, inputs: np.ndarray, targets: np.ndarray, scored: np.ndar
         da -= (da * a).sum(-1, keepdims=True)
         da *= a
         dq = (da @ f.k).reshape(-1, WIDTH) * _SCALE
-        sums["query"] += f.h0[:, _CONTEXT:].reshape(-1, WIDTH).T @ dq
+        add("query", f.h0[:, _CONTEXT:].reshape(-1, WIDTH).T @ dq)
         dfresh += dq @ p["query"].T
-        dkv = np.concatenate([da.transpose(0, 2, 1) @ f.q, a.transpose(0, 2, 1) @ dmixed], axis=-1).reshape(-1, 2 * WIDTH)
-        sums["key_value"] += f.h0.reshape(-1, WIDTH).T @ dkv
+        dkv = np.empty((n, WINDOW, 2 * WIDTH), d1.dtype)
+        np.matmul(da.transpose(0, 2, 1), f.q, out=dkv[..., :WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dmixed, out=dkv[..., WIDTH:])
+        dkv = dkv.reshape(-1, 2 * WIDTH)
+        add("key_value", f.h0.reshape(-1, WIDTH).T @ dkv)
         dh0 = (dkv @ p["key_value"].T).reshape(n, WINDOW, WIDTH)
         dh0[:, _CONTEXT:] += dfresh.reshape(n, FRESH, WIDTH)
-        sums["place"] += dh0.sum(0)
+        add("place", dh0.sum(0))
         flat = x.reshape(-1).astype(np.int16)
         rows = np.argsort(flat, kind="stable")
         flat = flat[rows]
         starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        sums["piece"][flat[starts]] += np.add.reduceat(dh0.reshape(-1, WIDTH).take(rows, axis=0), starts, axis=0)
-    return sums, loss, count
+        of_pieces = np.zeros(p["piece"].shape, dh0.dtype)
+        of_pieces[flat[starts]] = np.add.reduceat(dh0.reshape(-1, WIDTH).take(rows, axis=0), starts, axis=0)
+        add("piece", of_pieces)
+    return {k: sums.get(k, np.zeros(v.shape)) for k, v in p.items()}, loss, count
 
 
-def pack(p: Params) -> np.ndarray:
-    return np.concatenate([v.reshape(-1) for v in p.values()])
+def pack(p: Params, dtype: type | None = None) -> np.ndarray:
+    return np.concatenate([v.reshape(-1) for v in p.values()], dtype=dtype)
 
 
 def unpack(flat: np.ndarray, like: Params) -> Params:
@@ -208,14 +224,21 @@ class Adam:
 
     def __init__(self, size: int, rate: float):
         self.rate, self.step = rate, 0
-        self.mean, self.square = np.zeros(size), np.zeros(size)
+        self.mean, self.square, self._one, self._other = (np.zeros(size) for _ in range(4))
 
-    def move(self, flat: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    def move(self, flat: np.ndarray, slope: np.ndarray) -> None:
+        """In place."""
+        one, other = self._one, self._other
         self.step += 1
         self.mean *= 0.9
-        self.mean += 0.1 * slope
+        self.mean += np.multiply(slope, 0.1, out=one)
         self.square *= 0.98
-        self.square += 0.02 * (slope * slope)
-        size = np.sqrt(self.square / (1 - 0.98**self.step))
-        size += 1e-8
-        return flat - (self.rate / (1 - 0.9**self.step)) * self.mean / size
+        np.multiply(slope, slope, out=one)
+        one *= 0.02
+        self.square += one
+        np.divide(self.square, 1 - 0.98**self.step, out=one)
+        np.sqrt(one, out=one)
+        one += 1e-8
+        np.multiply(self.mean, self.rate / (1 - 0.9**self.step), out=other)
+        other /= one
+        flat -= other

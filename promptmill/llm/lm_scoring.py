@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 from typing import NamedTuple
 
@@ -41,8 +41,8 @@ ROUNDS, RATE = 6, 0.03
 # Windows of a step along a gradient, and the steps that a task makes in a round at least.
 BATCH, LEAST_STEPS = 64, 48
 
-# Windows that are handed on at once.
-SENT_WINDOWS = 1 << 13
+# Windows that are cut at once, and those that are gone through at once: the last batch of these is a shorter one.
+SENT_WINDOWS, RUN_WINDOWS = 1 << 13, 10_000
 
 # Most words whose counts and pieces are sent to the tasks, the most frequent ones of so many bytes at most; all others are joined.
 HOT_WORDS, HOT_BYTES = 1 << 17, 64
@@ -240,43 +240,71 @@ def piece_counts(words: DataFrame, ranks: Ranks, size: int) -> np.ndarray:
     return counts
 
 
-def training_windows(texts: DataFrame, ranks: Ranks, hot: Broadcast) -> DataFrame:
+def _cut(batches: Iterator[pa.RecordBatch], ranks: Ranks, hot: Broadcast) -> Iterator[pa.RecordBatch]:
     """`seen, pieces`: every window of every text. The first `seen` pieces are context.
 
     Windows of texts that are cut at once come in the order of a hash of what they hold, so that a step mixes them.
     """
+    encoder = _encoder(ranks)
+    for batch in batches:
+        for lo, hi, data, offsets in text_chunks(batch, size=SCORED_BYTES):
+            words, first = _words(data, offsets)
+            codes, _, ids, starts = hot.value.code(words, encoder)
+            pieces, cuts = _sequences(codes, first, ids, starts, encoder.end)
+            rows, begins = _windows(cuts)
+            sums = np.r_[np.uint64(0), np.cumsum(mix(pieces.astype(np.uint64)), dtype=np.uint64)]
+            ends = np.minimum(begins + FRESH, cuts[rows + 1])
+            own = np.argsort(mix(sums[ends] - sums[begins]), kind="stable")
+            seen = np.minimum(begins[own] - cuts[rows[own]], CONTEXT + 1)
+            froms, lengths = begins[own] - seen, ends[own] - begins[own] + seen
+            del words, codes, sums
+            for a in range(0, len(own), SENT_WINDOWS):
+                part = slice(a, a + SENT_WINDOWS)
+                offs = np.r_[0, np.cumsum(lengths[part])]
+                places = np.repeat(froms[part] - offs[:-1], lengths[part]) + np.arange(offs[-1])
+                raw = [None, pa.py_buffer((offs * 4).astype(np.int32)), pa.py_buffer(pieces[places].astype(np.int32))]
+                column = pa.Array.from_buffers(pa.binary(), len(offs) - 1, raw)
+                yield pa.RecordBatch.from_arrays([pa.array(seen[part].astype(np.int32)), column], ["seen", "pieces"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order, `size` at once; the last ones may be fewer."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        while rows + batch.num_rows >= size:
+            yield pa.concat_batches([*held, batch.slice(0, size - rows)])
+            batch, held, rows = batch.slice(size - rows), [], 0
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+    if held:
+        yield pa.concat_batches(held)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks)
-        for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch, size=SCORED_BYTES):
-                words, first = _words(data, offsets)
-                codes, _, ids, starts = hot.value.code(words, encoder)
-                pieces, cuts = _sequences(codes, first, ids, starts, encoder.end)
-                rows, begins = _windows(cuts)
-                sums = np.r_[np.uint64(0), np.cumsum(mix(pieces.astype(np.uint64)), dtype=np.uint64)]
-                ends = np.minimum(begins + FRESH, cuts[rows + 1])
-                own = np.argsort(mix(sums[ends] - sums[begins]), kind="stable")
-                seen = np.minimum(begins[own] - cuts[rows[own]], CONTEXT + 1)
-                froms, lengths = begins[own] - seen, ends[own] - begins[own] + seen
-                for a in range(0, len(own), SENT_WINDOWS):
-                    part = slice(a, a + SENT_WINDOWS)
-                    offs = np.r_[0, np.cumsum(lengths[part])]
-                    places = np.repeat(froms[part] - offs[:-1], lengths[part]) + np.arange(offs[-1])
-                    raw = [None, pa.py_buffer((offs * 4).astype(np.int32)), pa.py_buffer(pieces[places].astype(np.int32))]
-                    column = pa.Array.from_buffers(pa.binary(), len(offs) - 1, raw)
-                    yield pa.RecordBatch.from_arrays([pa.array(seen[part].astype(np.int32)), column], ["seen", "pieces"])
-
-    return texts.mapInArrow(gather, "seen int, pieces binary")
-
-
-def _by_round(texts: DataFrame, ranks: Ranks, hot: Broadcast, rounds: int = ROUNDS) -> Callable[[int], DataFrame]:
-    """The training windows of a round: those of the texts that a hash deals to it. Nothing is stored or shuffled.
-
-    Copies of a text are dealt to all rounds by their doc_id.
-    """
-    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
-    return lambda k: training_windows(texts.where(number == k).select("text"), ranks, hot)
+
+def training_windows(texts: DataFrame, ranks: Ranks, hot: Broadcast) -> DataFrame:
+    """The rows of `_cut` as a table."""
+    return texts.mapInArrow(lambda batches: _cut(batches, ranks, hot), "seen int, pieces binary")
+
+
+class Rounds(NamedTuple):
+    """The training windows by round: those of the texts that a hash deals to it. Nothing is stored or shuffled."""
+
+    texts: DataFrame
+    ranks: Ranks
+    hot: Broadcast
+    rounds: int
+
+    def of(self, k: int) -> DataFrame:
+        """`text` of a round. Copies of a text are dealt to all rounds by their doc_id."""
+        return self.texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.rounds)) == k).select("text")
+
+    def __call__(self, k: int) -> DataFrame:
+        return training_windows(self.of(k), self.ranks, self.hot)
+
+
+def _by_round(texts: DataFrame, ranks: Ranks, hot: Broadcast, rounds: int = ROUNDS) -> Rounds:
+    return Rounds(texts, ranks, hot, rounds)
 
 
 def _stacked(batch: pa.RecordBatch, leaf: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -303,9 +331,10 @@ def _steps(flat: np.ndarray, like: attention.Params, parts: Iterator[tuple], rat
     kept: list[tuple] = []
 
     def step(views):
-        nonlocal flat
         sums, more, n = attention.gradient(attention.unpack(flat, like), *views)
-        flat = adam.move(flat, attention.pack(sums) / max(n, 1))
+        slope = attention.pack(sums, np.float64)
+        slope /= max(n, 1)
+        adam.move(flat, slope)
         return more, n
 
     for views in parts:
@@ -322,18 +351,20 @@ def _steps(flat: np.ndarray, like: attention.Params, parts: Iterator[tuple], rat
     return flat, loss, seen
 
 
-def learn(windows: Callable[[int], DataFrame], counts: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> Model:
-    """A model from all windows, in rounds over those that `windows` gives for each.
+def learn(windows: Rounds, counts: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+    """A model from all windows, in rounds over those that `windows` has for each.
 
     In a round every task goes its own steps over its windows from the same parameters; the means over the tasks, by scored
-    pieces, begin the next round. Spark adds them up, so the driver sees at most 16 rows.
+    pieces, begin the next round. Spark adds them up, so the driver sees at most 16 rows. A task cuts its windows in the
+    Python process that learns from them: a second one would hold the vocabulary and the words again, and pass all windows through the JVM.
     """
     vocab, leaf_mass = vocabulary(counts)
     like = first_params(leaf_mass)
     end = len(counts) - 1
     flat = attention.pack(like)
+    ranks, hot = windows.ranks, windows.hot
     for number in range(rounds):
-        own = windows(number)
+        own = windows.of(number)
         context = own.sparkSession.sparkContext
         if not number:
             leaf = context.broadcast(vocab.leaf)
@@ -341,7 +372,8 @@ def learn(windows: Callable[[int], DataFrame], counts: np.ndarray, rounds: int =
         now = rate * (1 - number / rounds)
 
         def walk(batches: Iterator[pa.RecordBatch], sent=sent, now=now) -> Iterator[pa.RecordBatch]:
-            parts = (_stacked(batch, leaf.value, end) for batch in batches if batch.num_rows)
+            cut = _runs(_cut(batches, ranks, hot), RUN_WINDOWS)
+            parts = (_stacked(batch, leaf.value, end) for batch in cut)
             reached, loss, seen = _steps(sent.value, like, parts, now)
             if seen:
                 columns = [pa.array([loss]), pa.array([seen], pa.int64()), pa.array([(reached * seen).tobytes()], pa.binary())]

@@ -159,3 +159,34 @@ def test_every_window_of_every_training_text_teaches_once(spark, rows):
     want = lm_scoring.piece_counts(counts, ranks, encoder.size)
     want[encoder.end] = len(rows)
     assert (got == want).all()
+
+
+def test_a_training_task_cuts_its_windows_in_the_process_that_learns(spark, rows, monkeypatch):
+    # two Python processes for each core went over an executor's memory
+    table = type(spark.range(1))
+    plans, collect = [], table.collect
+    monkeypatch.setattr(table, "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    lm_scoring.score(spark.createDataFrame(rows, SCHEMA), most=7)
+    learned = [p.count("MapInArrow") for p in plans if "FlatMapGroupsInPandas" in p]
+    assert learned == [1] * lm_scoring.ROUNDS
+
+
+def test_runs_keep_all_rows_in_order():
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"{n}:{i}".encode() for i in range(n)], pa.binary())], ["v"]) for n in (0, 3, 25, 10, 0, 7)]
+    runs = list(lm_scoring._runs(iter(batches), 10))
+    assert [r.num_rows for r in runs] == [10, 10, 10, 10, 5]
+    assert [v for r in runs for v in r.column("v").to_pylist()] == [v for b in batches for v in b.column("v").to_pylist()]
+    assert list(lm_scoring._runs(iter(batches[:1]), 10)) == []
+
+
+def test_gradients_of_many_windows_are_sums_of_blocks():
+    params = lm_scoring.first_params(np.random.RandomState(0).poisson(5.0, 1024) + 1.0)
+    r = np.random.RandomState(6)
+    n = 2 * attention.TOGETHER + 5
+    views = r.randint(0, 1024, (n, 32)), r.randint(0, 1024, (n, 24)), r.rand(n, 24) < 0.7
+    whole = attention.gradient(params, *views)
+    parts = [attention.gradient(params, *(v[a : a + attention.TOGETHER] for v in views)) for a in range(0, n, attention.TOGETHER)]
+    assert whole[2] == sum(p[2] for p in parts) and whole[1] == pytest.approx(sum(p[1] for p in parts))
+    assert all(np.allclose(whole[0][k], sum(p[0][k].astype(float) for p in parts), atol=1e-6) for k in params)
+    none = attention.gradient(params, *(v[:0] for v in views))
+    assert none[1:] == (0.0, 0) and all(not none[0][k].any() and none[0][k].shape == params[k].shape for k in params)
