@@ -181,9 +181,12 @@ def _sequences(codes: np.ndarray, first: np.ndarray, ids: np.ndarray, starts: np
     ids, starts, sizes = np.r_[ids, np.int32(end)], starts, np.r_[sizes, 1]
     codes = np.insert(codes, first[1:], len(sizes) - 1)
     lengths = sizes[codes]
-    cuts = np.r_[0, np.cumsum(lengths)]
-    places = np.repeat(starts[codes] - cuts[:-1], lengths)
-    places += np.arange(cuts[-1])
+    cuts = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(lengths, out=cuts[1:])
+    # places of half the size where they fit: there are several for each word
+    small = np.int32 if cuts[-1] + len(ids) < 1 << 31 else np.int64
+    places = np.repeat((starts[codes] - cuts[:-1]).astype(small), lengths)
+    places += np.arange(cuts[-1], dtype=small)
     return ids[places], cuts[first + np.arange(rows + 1)]
 
 
@@ -246,13 +249,16 @@ def _cut(batches: Iterator[pa.RecordBatch], ranks: Ranks, hot: Broadcast) -> Ite
     Windows of texts that are cut at once come in the order of a hash of what they hold, so that a step mixes them.
     """
     encoder = _encoder(ranks)
+    mixed = mix(np.arange(encoder.size, dtype=np.uint64))
     for batch in batches:
         for lo, hi, data, offsets in text_chunks(batch, size=SCORED_BYTES):
             words, first = _words(data, offsets)
             codes, _, ids, starts = hot.value.code(words, encoder)
             pieces, cuts = _sequences(codes, first, ids, starts, encoder.end)
             rows, begins = _windows(cuts)
-            sums = np.r_[np.uint64(0), np.cumsum(mix(pieces.astype(np.uint64)), dtype=np.uint64)]
+            sums = np.zeros(len(pieces) + 1, np.uint64)
+            mixed.take(pieces, out=sums[1:])
+            np.cumsum(sums, out=sums)
             ends = np.minimum(begins + FRESH, cuts[rows + 1])
             own = np.argsort(mix(sums[ends] - sums[begins]), kind="stable")
             seen = np.minimum(begins[own] - cuts[rows[own]], CONTEXT + 1)
